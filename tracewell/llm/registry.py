@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import language, quality, toxicity
+from tracewell.llm import language, licenses, mixing, pieces, quality, topk, toxicity, urls
 from tracewell.session import share_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,15 @@ def queries() -> dict[str, Query]:
     found = [
         language.op1_language_id,
         toxicity.op3_toxicity,
+        pieces.op5_sentencepiece,
+        licenses.op6_license_scan,
+        urls.op7_url_filter,
         quality.op8_quality,
+        mixing.op9_mixing,
+        topk.op10_topk,
     ]
     return {f.__name__: _shared(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk": topk.TOPK_SQL}
