@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import language, licenses, mixing, pieces, quality, topk, toxicity, urls
+from tracewell.llm import fingerprints, language, licenses, mixing, pieces, quality, topk, toxicity, urls
 from tracewell.session import share_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
     found = [
         language.op1_language_id,
         toxicity.op3_toxicity,
+        fingerprints.op4_fingerprints,
         pieces.op5_sentencepiece,
         licenses.op6_license_scan,
         urls.op7_url_filter,
