@@ -44,6 +44,18 @@ def token_buckets(texts: pa.Array):
         yield i, j, own, buckets, starts - here[np.searchsorted(here, starts, "right") - 1], ends - here[np.searchsorted(here, starts, "right") - 1]
 
 
+def packed(buckets: np.ndarray) -> bytes:
+    """Ascending buckets as two-byte steps, or as they are (with one odd byte) if a step needs more."""
+    steps = np.diff(buckets, prepend=0)
+    return steps.astype(np.uint16).tobytes() if not len(steps) or steps.max() < 1 << 16 else buckets.astype(np.int32).tobytes() + b"="
+
+
+def unpacked(data) -> np.ndarray:
+    if len(data) % 2:
+        return np.frombuffer(data, np.int32, (len(data) - 1) // 4)
+    return np.cumsum(np.frombuffer(data, np.uint16), dtype=np.int64)
+
+
 def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score): Ruzzo and Tompa's scan.
 
@@ -154,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
         def work(texts: pa.Array) -> list[pa.Array]:
             out = []
             for i, j, own, buckets, *_ in token_buckets(texts):
-                out += [np.unique(buckets[own[k] : own[k + 1]]).tobytes() for k in range(j - i)]
+                out += [packed(np.unique(buckets[own[k] : own[k + 1]])) for k in range(j - i)]
             return [pa.array(out, pa.binary())]
 
         return work
@@ -165,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     def count_kernel():
         def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
             for found, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                total[np.frombuffer(found.as_buffer(), np.int32) + label * SIZE] += 1
+                total[unpacked(found.as_buffer()) + label * SIZE] += 1
                 total[2 * SIZE + label] += 1
 
         return add
