@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import fingerprints, language, licenses, mixing, pieces, quality, topk, toxicity, urls
+from tracewell.llm import fingerprints, jaccard, language, licenses, mixing, pieces, quality, topk, toxicity, urls
 from tracewell.session import share_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def _shared(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     found = [
         language.op1_language_id,
+        jaccard.op2_jaccard_join,
         toxicity.op3_toxicity,
         fingerprints.op4_fingerprints,
         pieces.op5_sentencepiece,
@@ -34,8 +35,10 @@ def queries() -> dict[str, Query]:
         mixing.op9_mixing,
         topk.op10_topk,
     ]
-    return {f.__name__: _shared(f) for f in found}
+    import corpus_pipeline
+
+    return {f.__name__: _shared(f) for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": topk.TOPK_SQL}
+    return {"op2_jaccard_join": jaccard.JACCARD_SQL, "op10_topk": topk.TOPK_SQL}
