@@ -469,8 +469,8 @@ def q49(spark, sf_dir):
     return incremental.compared(now, incremental.snapshot(changed, "doc_id", "text").unionByName(gone))
 
 
-@register("q50_progress_window", """SELECT CAST(floor(epoch_ms(ts) / 500.0) * 500 AS BIGINT) AS window_ms, count(*) AS findings, count(DISTINCT event_type) AS phases, max(event_id) AS last_event FROM events GROUP BY 1""")
+@register("q50_progress_window", """SELECT CAST((epoch_us(ts) // 500000) * 500 AS BIGINT) AS window_ms, count(*) AS findings, count(DISTINCT event_type) AS phases, max(event_id) AS last_event FROM events GROUP BY 1""")
 def q50(spark, sf_dir):
-    millis = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")  # whatever the session's zone
-    start = (F.floor(millis / 500.0) * 500).cast("long")
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")  # whatever the session's zone
+    start = ((micros - F.pmod(micros, F.lit(500_000))) / 1000).cast("long")
     return table(spark, sf_dir, "events").groupBy(start.alias("window_ms")).agg(F.count("*").alias("findings"), F.countDistinct("event_type").alias("phases"), F.max("event_id").alias("last_event"))
