@@ -79,6 +79,11 @@ def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], kerne
     return shown.mapInArrow(run, schema)
 
 
+def if_small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """df of a few plain columns, marked for broadcast if it has so many rows at most (some 40 MB); else for Spark to shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def class_sample(df: DataFrame, label: str, key: str, per_class: int, salt: int) -> DataFrame:
     """About per_class rows of each label, chosen by a hash of the key; every row of a smaller class.
 

@@ -105,6 +105,10 @@ class Model:
                 out.append((a, b, s, float(np.exp(log_expected))))
         return out
 
+    def least(self, tokens: np.ndarray) -> np.ndarray:
+        """The score that a significant passage of a text of so many tokens has at least; no text's gains together fall below it."""
+        return (self.constant + np.log(np.maximum(tokens, 1)) - np.log(self.level)) / self.decay
+
     def evidence(self, passages: list[tuple[int, int, float, float]]) -> float:
         """-ln of the chance that clean text has passages like these, by the sum over passages."""
         return float(sum(-np.log(max(e, 1e-300)) for *_, e in passages))
@@ -127,7 +131,7 @@ def token_gains(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int
 def decay_of(gain: np.ndarray, share: np.ndarray, drift: float) -> float:
     """lambda > 0 with E[exp(lambda * score)] = 1 under clean text, by bisection."""
     at = np.flatnonzero(gain)
-    p, s = share[at], gain[at]
+    p, s = share[at], gain[at].astype(float)
     rest = max(1e-9, 1 - p.sum())
 
     def excess(x: float) -> float:
@@ -182,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 
         return add
 
-    total = tables.summed(own.join(known.filter(~fold), "id").select("buckets", "label"), 2 * SIZE + 2, count_kernel)
+    taught = tables.if_small(known.filter(~fold))
+    total = tables.summed(own.join(taught, "id").select("buckets", "label"), 2 * SIZE + 2, count_kernel)
     other, toxic, n_other, n_toxic = total[:SIZE], total[SIZE : 2 * SIZE], int(total[-2]), int(total[-1])
     if not n_other or not n_toxic:
         share = n_toxic / max(1, n_other + n_toxic)
@@ -236,8 +241,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         def work(texts: pa.Array) -> list[pa.Array]:
             evidence, passages = np.zeros(len(texts)), [[] for _ in range(len(texts))]
             for i, j, own, buckets, starts, ends in token_buckets(texts):
-                gaining = K.per_doc(model.gain[buckets] > 0, own)
-                for k in np.flatnonzero(gaining):
+                for k in np.flatnonzero(K.per_doc(model.gain[buckets].astype(float), own) >= model.least(np.diff(own)) - 1e-6):
                     first = own[k]
                     found = model.scan(buckets[first : own[k + 1]])
                     evidence[i + k] = model.evidence(found)
