@@ -63,7 +63,7 @@ def test_last_rule_wins(spark):
 
 
 def test_package_names(spark):
-    df = spark.createDataFrame([("lodash/fp", "lodash"), ("@a/b/c", "@a/b"), ("node:fs", "fs"), ("react", "react")], "s string, want string")
+    df = spark.createDataFrame([("lodash/fp", "lodash"), ("@a/b/c", "@a/b"), ("node:fs", "node:fs"), ("react", "react")], "s string, want string")
     assert df.filter(names.package_of(F.col("s")) != F.col("want")).collect() == []
 
 

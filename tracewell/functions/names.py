@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def package_of(specifier: Column) -> Column:
-    """The package of an import: without node:, with its scope, without a subpath."""
-    bare = F.regexp_replace(specifier, "^node:", "")
-    parts = F.split(bare, "/")
-    return F.when(bare.startswith("@"), F.array_join(F.slice(parts, 1, 2), "/")).otherwise(F.element_at(parts, 1))
+    """The package of an import: with its scope, without a subpath; a runtime module (node:fs) is itself."""
+    parts = F.split(specifier, "/")
+    scoped = F.when(specifier.startswith("@"), F.array_join(F.slice(parts, 1, 2), "/"))
+    return F.when(specifier.startswith("node:"), specifier).otherwise(F.coalesce(scoped, F.element_at(parts, 1)))
 
 
 def nearest(name: Column, popular: Sequence[str]) -> Column:
