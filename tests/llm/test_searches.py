@@ -57,6 +57,8 @@ def copies():
     base, passage = " ".join(word() for _ in range(150)), " ".join(word() for _ in range(60))
     texts = [edited(k, base, k % 7) for k in range(220)] + [base] * 15
     texts += [" ".join([word() for _ in range(r.randrange(1, 200))] + ([passage] if k % 3 else [])) for k in range(150)]
+    long = " ".join(word() for _ in range(560))
+    texts += [edited(k, long, k) for k in range(0, 40, 4)] + [" ".join(long.split()[: 460 + 20 * k]) for k in range(5)]
     texts += ["a b", "A  b", "a b c d e", "a\tb\nc d e", ""]
     return list(enumerate(texts))
 
@@ -108,6 +110,16 @@ def test_signature_bounds_the_difference():
         assert np.bitwise_count(jaccard.signature(a).view(np.uint64) ^ jaccard.signature(b).view(np.uint64)).sum() <= differ
 
 
+def test_folded_signatures_are_signatures_of_fewer_words():
+    r = np.random.default_rng(3)
+    a = np.unique(r.integers(0, 2**63, 600).astype(np.uint64))
+    assert jaccard.lanes(512) == 8 and jaccard.lanes(513) == 16 and jaccard.lanes(1025) == 32 and len(jaccard.signature(a)) == 16
+    odd = np.zeros(512, int)
+    for h in a.tolist():
+        odd[(h >> 32) % 512] ^= 1
+    assert (np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64) == jaccard.folded(jaccard.signature(a))).all()
+
+
 def test_jaccard_sql_twin(spark):
     db = duckdb.connect()
     db.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")

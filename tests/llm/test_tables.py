@@ -95,7 +95,8 @@ def test_mix_near_targets(spark, odd):
 def test_targets_stop_at_three_times_the_size(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 2000), (None, 0)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sized).collect()}
-    assert got == {"a": 30.0, "b": 2980 * 2 / 3, "c": 2980 / 3, None: 0.0} or all(math.isclose(got[s], v, abs_tol=1e-6) for s, v in brute_targets({"a": 10, "b": 1000, "c": 2000, None: 0}).items())
+    want = brute_targets({"a": 10, "b": 1000, "c": 2000, None: 0})
+    assert want["a"] == 30.0 and all(math.isclose(got[s], v, abs_tol=1e-6) for s, v in want.items())
 
 
 def test_demand_is_inverted(spark):
@@ -110,12 +111,10 @@ def test_mixed_rows_are_in_order_of_time(spark, odd, empty):
     assert out.columns == docs.columns
     sized = mixing.sizes(docs, "doc_id", "text", "source")
     plan = {r["id"]: r for r in mixing.plan(sized, sized.count()).collect()}
-    times = {}
     counts = {}
     for r in out.collect():
         counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + 1
     assert counts == {i: r["copies"] for i, r in plan.items() if r["copies"]}
-    assert times == {}
     assert mixing.mixed(odd).columns == odd.columns
     assert mixing.mixed(empty).count() == 0
 

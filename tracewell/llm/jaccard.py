@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct shingles of WORDS words
 similarity reaches 0.8, that is 9 * common >= 4 * (n + m), or 9 * different <= n + m.
 
 1. One pass over the texts makes, for each document, the size and the hash of its set; for the first of equal sets in a
-   task also a signature of 512 bits, each the parity of the members that hash to it, and the set's prefix: its
+   task also a signature of about n bits, each the parity of the members that hash to it, and the set's prefix: its
    n - ceil(0.8 n) + 1 first members in one global order. Linked sets share a prefix member in any global order; ours puts
    members last that many documents share, so passages that documents have in common are hardly ever looked up.
 2. Sets that share a prefix member meet. A member with up to FEW sets gives their pairs; one with more gives its list of
@@ -39,14 +39,13 @@ from tracewell.llm import kernels as K
 from tracewell.llm import tables
 
 WORDS = 5
-LANES = 8  # 64-bit words of a signature
+LANES = 8  # 64-bit words of the smallest signatures
 FEW = 32
 TILE = 4096
 #: Shingles in a tile of whole sets: 32 MB.
 TILE_MEMBERS = 4 << 20
 SHARED = 1 << 17
 _TURN = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-_LANES = [f"s{k}" for k in range(LANES)]
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> Iterator[np.ndarray]:
@@ -80,12 +79,24 @@ def set_hash(members: np.ndarray) -> int:
         return int(K.mix(np.array([both], np.uint64))[0].astype(np.int64))
 
 
+def lanes(n: int) -> int:
+    """64-bit words of the signature of n members: a power of two with at least n bits, so that unlike sets differ in enough."""
+    return max(LANES, 1 << max(0, -(-n // 64) - 1).bit_length())
+
+
 def signature(members: np.ndarray) -> np.ndarray:
-    """LANES words: each bit the parity of the members that hash to it."""
-    odd = np.bincount((members >> np.uint64(55)).astype(np.int64), minlength=64 * LANES) & 1
+    """Words of bits, each the parity of the members that hash to it."""
+    size = 64 * lanes(len(members))
+    odd = np.bincount((members >> np.uint64(32)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def folded(sign: np.ndarray) -> np.ndarray:
+    """The signature of half as many words, along the last axis."""
+    half = sign.shape[-1] // 2
+    return sign[..., :half] ^ sign[..., half:]
+
+
 def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
@@ -152,12 +163,13 @@ def shared_members(docs: DataFrame, text_col: str, local: int = 4, least: int =
         kept, lowest = kept + count, step
     if lowest is None:
         return np.zeros(0, np.uint64)
-    got = counts.filter(F.floor(4 * F.log2("n")) >= lowest).orderBy("n", "member").collect()
-    return np.array([r["member"] for r in got], np.int64).view(np.uint64)
+    got = counts.filter(F.floor(4 * F.log2("n")) >= lowest).toArrow()
+    member, n = got.column("member").to_numpy(), got.column("n").to_numpy()
+    return member[np.lexsort((member, n))].view(np.uint64)
 
 
 def described(docs: DataFrame, shared: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, s0.., prefix): node is the set's hash; signature and prefix only for the first of equal sets in a task."""
+    """(id, n, node, sign, prefix): node is the set's hash; signature and prefix only for the first of equal sets in a task."""
     order = docs.sparkSession.sparkContext.broadcast(shared)
 
     def kernel():
@@ -165,26 +177,24 @@ def described(docs: DataFrame, shared: np.ndarray, id_col: str, text_col: str) -
 
         def work(texts: pa.Array) -> list[pa.Array]:
             n, node, sign, prefix = [], [], [], []
-            blank = [None] * LANES
             for members in sets(*K.flat(texts)):
                 n.append(len(members))
                 name = set_hash(members) if len(members) else None
                 node.append(name)
                 if name is None or name in seen:
-                    sign.append(blank)
+                    sign.append(None)
                     prefix.append(None)
                 else:
                     seen.add(name)
-                    sign.append(signature(members).tolist())
+                    sign.append(signature(members))
                     prefix.append(ranks.prefix(members).view(np.int64))
             if len(seen) > 1 << 20:
                 seen.clear()
-            lanes = list(zip(*sign, strict=True)) if sign else [[]] * LANES
-            return [pa.array(n, pa.int64()), pa.array(node, pa.int64()), *(pa.array(x, pa.int64()) for x in lanes), pa.array(prefix, pa.list_(pa.int64()))]
+            return [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sign, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
 
         return work
 
-    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(s, T.LongType()) for s in _LANES), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sign", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))]
     return tables.add_columns(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", fields, kernel, keep=["id"])
 
 
@@ -252,27 +262,44 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kind, out_a, out_b, out_n)], names=names)
 
 
-def forest(node: np.ndarray, n: np.ndarray, sign: np.ndarray, same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+def forest(node: np.ndarray, n: np.ndarray, signs: list[np.ndarray], same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Edges that span what links among the nodes: every node is compared with those that nothing has reached yet.
 
-    Links are pairs whose signatures allow 9 * different <= n + m, and that same() confirms if it is given.
+    Links are pairs whose signatures allow 9 * different <= n + m, and that same() confirms if it is given. Signatures of
+    one number of words lie in one matrix; those of sets that can link have as many words, or twice or half as many.
     """
-    waiting = np.arange(len(node))
+    words = np.array([len(x) for x in signs])
+    every = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
+    whole = {w: np.stack([signs[i] for i in at]).view(np.uint64) for w, at in every.items()}
+    halves = {w: folded(m) for w, m in whole.items() if w // 2 in every}
+    place = np.zeros(len(node), np.int64)
+    for at in every.values():
+        place[at] = np.arange(len(at))
+    free = np.ones(len(node), bool)
     out = []
-    while len(waiting):
-        queue, waiting = [waiting[0]], waiting[1:]
-        while queue and len(waiting):
+    for root in range(len(node)):
+        if not free[root]:
+            continue
+        free[root], queue = False, [root]
+        while queue:
             u = queue.pop()
-            m = n[waiting]
-            fit = (5 * m >= 4 * n[u]) & (5 * n[u] >= 4 * m)
-            differ = np.bitwise_count(sign[waiting[fit]] ^ sign[u]).sum(axis=1, dtype=np.int64)
-            near = waiting[fit][9 * differ <= n[u] + m[fit]]
-            if same is not None:
-                near = np.array([v for v in near if same(u, v)], waiting.dtype)
-            if len(near):
+            w = int(words[u])
+            own = whole[w][place[u]]
+            for other, table, key in ((w, whole.get(w), own), (2 * w, halves.get(2 * w), own), (w // 2, whole.get(w // 2), folded(own))):
+                if table is None:
+                    continue
+                at = every[other]
+                m = n[at]
+                at = at[free[at] & (5 * m >= 4 * n[u]) & (5 * n[u] >= 4 * m)]
+                if not len(at):
+                    continue
+                differ = np.bitwise_count(table[place[at]] ^ key).sum(axis=1, dtype=np.int64)
+                near = at[9 * differ <= n[u] + n[at]]
+                if same is not None:
+                    near = np.array([v for v in near if same(u, v)], at.dtype)
                 out += [(int(node[u]), int(node[v])) for v in near]
                 queue += near.tolist()
-                waiting = waiting[~np.isin(waiting, near)]
+                free[near] = False
     return out
 
 
@@ -299,14 +326,15 @@ def tiles(rows: DataFrame, weight, most: int) -> DataFrame:
 
 
 def _signature_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, tile, node, n, s0..) sorted by group and tile to the edges of each tile's forest."""
+    """Rows (group, tile, node, n, sign) sorted by group and tile to the edges of each tile's forest."""
     for table, edge in runs(batches, 2):
-        columns = [table.column(k).to_numpy() for k in range(table.num_columns)]
+        node, n = table.column(2).to_numpy(), table.column(3).to_numpy()
         bounds = edge if edge[-1] == table.num_rows else np.append(edge, table.num_rows)
-        sign = np.column_stack(columns[4:]).view(np.uint64)
+        sign = table.column(4).combine_chunks()
+        words, at = sign.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sign.value_lengths().to_numpy())])
         out: list[tuple[int, int]] = []
         for a, b in zip(bounds, bounds[1:], strict=False):
-            out += forest(columns[2][a:b], columns[3][a:b], sign[a:b])
+            out += forest(node[a:b], n[a:b], [words[at[k] : at[k + 1]] for k in range(a, b)])
         yield _edge_batch(out)
 
 
@@ -335,7 +363,7 @@ def _exact_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 return 9 * int((y[at] == x).sum()) >= 4 * (len(x) + len(y))
 
-            out += forest(np.array([k for k, _ in own], np.int64), n, np.array([signature(m) for m in members]).view(np.uint64), same)
+            out += forest(np.array([k for k, _ in own], np.int64), n, [signature(m) for m in members], same)
         yield _edge_batch(out)
 
 
@@ -373,13 +401,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     met = tables.cut(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "kind long, a long, b long, n long"))
 
     # equal sets of several tasks have equal signatures; any will do
-    signs = first.groupBy("node").agg(F.min("n").alias("n"), *[F.min(s).alias(s) for s in _LANES])
-    left = signs.select(F.col("node").alias("a"), F.col("n").alias("na"), *[F.col(s).alias(f"a_{s}") for s in _LANES])
-    right = signs.select(F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(s).alias(f"b_{s}") for s in _LANES])
-    differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _LANES), F.lit(0))
+    signs = first.groupBy("node").agg(F.min("n").alias("n"), F.min("sign").alias("sign"))
+    left = signs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sign").alias("sa"))
+    right = signs.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("sb"))
+    least = F.least(F.size("sa"), F.size("sb"))
+    fold = lambda x: F.when(F.size(x) > least, F.zip_with(F.slice(x, F.lit(1), least), F.slice(x, least + 1, least), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+    differ = F.aggregate(F.zip_with(fold("sa"), fold("sb"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
     pairs = met.filter("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b").filter(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
     lists = met.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("node"), "n")
-    tiled = tiles(lists, F.lit(1), TILE).join(signs.drop("n"), "node").select("group", "tile", "node", "n", *_LANES)
+    tiled = tiles(lists, F.lit(1), TILE).join(signs.drop("n"), "node").select("group", "tile", "node", "n", "sign")
     chained = _by_group(tiled, ["group", "tile"]).mapInArrow(_signature_forest, "a long, b long")
     families = components(pairs.unionByName(chained).distinct())
 
