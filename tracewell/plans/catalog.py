@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tracewell.plans import findings  # noqa: F401
+    from tracewell.plans import findings, sources  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

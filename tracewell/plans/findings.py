@@ -206,12 +206,13 @@ def _turns(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
-_TURN = Window.partitionBy("conv_id").orderBy("turn")
+def _in_turn():
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 @register("q23_sequence_gap", "SELECT conv_id, turn, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant', false) AS next_awaited FROM conversations")
 def q23(spark, sf_dir):
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.coalesce(F.lead("role").over(_TURN) == "assistant", F.lit(False)).alias("next_awaited"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.coalesce(F.lead("role").over(_in_turn()) == "assistant", F.lit(False)).alias("next_awaited"))
 
 
 @register("q24_last_statement", """SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn,
@@ -224,7 +225,7 @@ def q24(spark, sf_dir):
   OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS level FROM conversations""")
 def q25(spark, sf_dir):
     delta = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", -1).otherwise(0)
-    before = F.sum(delta).over(_TURN.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(delta).over(_in_turn().rowsBetween(Window.unboundedPreceding, -1))
     return _turns(spark, sf_dir).select("conv_id", "turn", F.greatest(F.lit(0), F.coalesce(before, F.lit(0))).cast("long").alias("level"))
 
 
@@ -434,7 +435,7 @@ def q45(spark, sf_dir):
 
 
 @register("q46_flow_summary", _flow_sql(*_FORWARD) + """ SELECT sink, source, CAST(depth AS INTEGER) AS depth, count(*) AS flows, CAST(max(depth_) AS INTEGER) AS max_hops
-  FROM (SELECT node % 3 AS sink, start % 2 AS source, depth, depth AS depth_ FROM flows) GROUP BY GROUPING SETS ((sink), (source), (depth), ())""")
+  FROM (SELECT node % 3 AS sink, start % 2 AS source, depth, depth AS depth_ FROM flows) GROUP BY GROUPING SETS ((sink), (source), (depth), ()) HAVING count(*) > 0""")
 def q46(spark, sf_dir):
     flows = _flows(spark, sf_dir, *_FORWARD).select((F.col("node") % 3).alias("sink"), (F.col("start") % 2).alias("source"), "depth", F.col("depth").alias("hops"))
     return flows.groupingSets([["sink"], ["source"], ["depth"], []], "sink", "source", "depth").agg(F.count("*").alias("flows"), F.max("hops").alias("max_hops"))
@@ -453,7 +454,7 @@ def q47(spark, sf_dir):
 @register("q48_reaching_defs", """SELECT * FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS def_turn FROM conversations)
   WHERE role = 'assistant'""")
 def q48(spark, sf_dir):
-    last = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(_TURN.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(_in_turn().rowsBetween(Window.unboundedPreceding, -1))
     return _turns(spark, sf_dir).select("conv_id", "turn", "role", last.alias("def_turn")).filter("role = 'assistant'")
 
 
