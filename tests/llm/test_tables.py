@@ -92,6 +92,17 @@ def test_mix_near_targets(spark, odd):
     check_mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"))
 
 
+def test_mix_sql_twin(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = db.execute(mixing.MIXING_SQL)
+    names = [d[0] for d in found.description]
+    got = registry.queries()["op9_mixing"](spark, SF)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 2000), (None, 0)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sized).collect()}

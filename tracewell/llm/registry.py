@@ -41,4 +41,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard.JACCARD_SQL, "op10_topk": topk.TOPK_SQL}
+    return {"op2_jaccard_join": jaccard.JACCARD_SQL, "op9_mixing": mixing.MIXING_SQL, "op10_topk": topk.TOPK_SQL}
