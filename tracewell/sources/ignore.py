@@ -50,8 +50,14 @@ def parse(lines: Iterable[str]) -> list[tuple[str, bool]]:
 
 
 def load(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
-    """The rules of a file; few by nature, and needed as expressions on the driver."""
-    return parse(r["value"] for r in spark.read.text(path, wholetext=False).coalesce(1).collect())
+    """The rules of a file in any store that Spark reads. Its readers skip names with a leading dot, so this asks the store itself."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return parse(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines())
+    finally:
+        stream.close()
 
 
 def ignored(path: Column, rules: Sequence[tuple[str, bool]]) -> Column:
