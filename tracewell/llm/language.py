@@ -166,13 +166,15 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
         return work
 
     kept = sample.select(F.col(label_col).cast("string").alias("__label"), F.col(id_col).alias("__id"), F.col(text_col).alias("__body"))
-    got = tables.add_columns(kept, "__body", [T.StructField("__index", T.BinaryType()), T.StructField("__value", T.BinaryType())], kernel, keep=["__label", "__id"]).collect()
-    got.sort(key=lambda r: (str(r["__id"]), r["__label"], bytes(r["__index"])))
-    labels = sorted({r["__label"] for r in got})
+    # as Arrow columns, so that the driver holds no object for each row
+    got = tables.add_columns(kept, "__body", [T.StructField("__index", T.BinaryType()), T.StructField("__value", T.BinaryType())], kernel, keep=["__label", "__id"]).toArrow()
+    got = got.sort_by([("__id", "ascending"), ("__label", "ascending"), ("__index", "ascending")]).combine_chunks()
+    truth = got.column("__label").to_pylist()
+    labels = sorted(set(truth))
     rows = []
-    for r in got:
-        index = np.frombuffer(bytes(r["__index"]), np.int32)
-        rows.append((index, np.frombuffer(bytes(r["__value"]), np.float32) * idf[index] * _SCALE, labels.index(r["__label"])))
+    for label, i, v in zip(truth, got.column("__index"), got.column("__value"), strict=True):
+        index = np.frombuffer(i.as_buffer(), np.int32)
+        rows.append((index, np.frombuffer(v.as_buffer(), np.float32) * idf[index] * _SCALE, labels.index(label)))
     apart = [r for k, r in enumerate(rows) if k % 5 == 4]
     fitted = [r for k, r in enumerate(rows) if k % 5 != 4] or rows
     weight, bias = ftrl(fitted, len(labels), 1 << BITS, alpha, beta, l1, l2, epochs, seed=7)
