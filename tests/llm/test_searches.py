@@ -90,6 +90,15 @@ def test_jaccard_of_odd_rows(spark, odd, empty):
     assert jaccard.classes(empty).count() == 0 and jaccard.deduplicated(empty).count() == 0
 
 
+def test_components_of_many_edges_and_of_few_agree(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few, many = (sorted(map(tuple, jaccard.components(df, small=s).collect())) for s in (1 << 20, 0))
+    assert few == many and dict(few)[460] == 400
+    assert jaccard.components(df.limit(0)).count() == 0
+
+
 def test_prefixes_of_linked_sets_meet():
     r = np.random.default_rng(4)
     order = jaccard.Order(r.integers(0, 2**63, 5).astype(np.uint64))

@@ -367,13 +367,36 @@ def _exact_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _edge_batch(out)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b) to (node, label), by union-find."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = sorted(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "label"])
+
+
+def components(edges: DataFrame, rounds: int = 60, small: int = 1 << 20) -> DataFrame:
     """(node, label): the smallest node that each node of edges(a, b) is connected with.
 
-    Hash-min with pointer jumping: every round takes the smallest label among neighbours and then the label's own label,
-    so the number of rounds grows with the logarithm of the longest path. Each round is checkpointed.
+    Up to `small` edges, as counted (16 MB), one task unites them. More take hash-min with pointer jumping: every round takes
+    the smallest label among neighbours and then the label's own label, so the number of rounds grows with the logarithm of
+    the longest path. Each round is checkpointed.
     """
-    both = tables.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = tables.cut(edges.select("a", "b").distinct())
+    if edges.count() <= small:
+        return tables.cut(edges.coalesce(1).mapInArrow(_united, "node long, label long"))
+    both = tables.cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = tables.cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
@@ -411,14 +434,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lists = met.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("node"), "n")
     tiled = tiles(lists, F.lit(1), TILE).join(signs.drop("n"), "node").select("group", "tile", "node", "n", "sign")
     chained = _by_group(tiled, ["group", "tile"]).mapInArrow(_signature_forest, "a long, b long")
-    families = components(pairs.unionByName(chained).distinct())
+    families = components(pairs.unionByName(chained))
 
     # one row for each set of a family: the text of any document that has it
     sized = about.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     wanted = families.join(sized, "node").filter(F.col("id").isNotNull()).select(F.col("label").alias("group"), "node", "n", "id")
     asked = tiles(wanted, F.col("n"), TILE_MEMBERS).select("id", "group", "tile")
     sent = _by_group(docs.join(asked, "id").select("group", "tile", F.coalesce("text", F.lit("")).alias("text")), ["group", "tile"])
-    linked = components(sent.mapInArrow(_exact_forest, "a long, b long").distinct())
+    linked = components(sent.mapInArrow(_exact_forest, "a long, b long"))
 
     lowest = sized.join(linked, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     best = lowest.groupBy("label").agg(F.min("id").alias("component_id"))
