@@ -75,12 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's rows are written in the shared folder and read by the next."""
-    docs = tables.read(spark, sf_dir, "documents")
+    """Applies the stages to documents; each stage's rows are written in the shared folder, read by the next and then removed (the last's stay)."""
+    docs, before = tables.read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             where = tables.scratch(spark, name)
             docs.write.parquet(where)
             docs = spark.read.parquet(where)
+            if before:
+                tables.remove(spark, before)
+            before = where
     return docs

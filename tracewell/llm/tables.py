@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -101,11 +100,10 @@ def class_sample(df: DataFrame, label: str, key: str, per_class: int, salt: int)
 def summed(df: DataFrame, size: int, kernel: Callable[[], Callable[[pa.RecordBatch, np.ndarray], None]]) -> np.ndarray:
     """The sum over all rows of a fixed-size count vector that kernel()'s function adds a batch of df to.
 
-    Each task makes one vector, sent as blocks; blocks meet in two rounds of about the square root of the tasks each,
-    so neither a task nor the driver gets more than that many blocks and one vector.
+    Each task makes one vector, sent as blocks. Blocks meet in three rounds, 64 at a time in the first two, so a group holds
+    at most 64 blocks up to a quarter of a million tasks, and the driver gets one vector.
     """
-    parts = max(1, df.rdd.getNumPartitions())
-    fan, blocks = max(1, math.isqrt(parts)), 64
+    fan, blocks = 64, 64
     step = -(-size // blocks)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,17 +114,19 @@ def summed(df: DataFrame, size: int, kernel: Callable[[], Callable[[pa.RecordBat
             add(batch, total[:size])
             seen = True
         if seen:
-            salt = TaskContext.get().partitionId() % fan
+            salt = TaskContext.get().partitionId() // fan
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()), pa.array([x.tobytes() for x in total.reshape(blocks, step)], pa.binary())], names=["block", "salt", "data"])
 
     def add_up(group: pa.Table) -> pa.Table:
         total = np.zeros(step, np.int64)
         for x in group.column("data"):
             total += np.frombuffer(x.as_buffer(), np.int64)
-        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "salt": pa.array([group.column("salt")[0].as_py() // fan], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, salt int, data binary"
-    out = df.mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add_up, schema).groupBy("block").applyInArrow(add_up, schema)
+    out = df.mapInArrow(count, schema)
+    for keys in (["block", "salt"], ["block", "salt"], ["block"]):
+        out = out.groupBy(*keys).applyInArrow(add_up, schema)
     total = np.zeros(step * blocks, np.int64)
     for row in out.collect():
         total[row.block * step : (row.block + 1) * step] = np.frombuffer(bytes(row.data), np.int64)
