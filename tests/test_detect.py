@@ -81,3 +81,28 @@ def test_functions_and_scopes():
     functions = {r["name"]: r["about"] for r in rows if r["kind"] == "function"}
     assert functions["a"]["exported"] == "true" and functions["m"]["async"] == "true" and functions["f"]["params"] == "y"
     assert {r["name"]: r["scope"] for r in rows if r["kind"] == "call"} == {"b": "a", "n": "m", "g": "f"}
+
+
+def test_source_text_is_read_to_its_end(spark):
+    """What stands after the first thousands of characters of a handler, a parameter list or a literal counts as well."""
+    much = "log(1);\n" * 600
+    handler = "app.post('/u', (req, res) => {\n" + much + "%s });"
+    codes = {
+        "input": handler % "db.users.create(req.body);",
+        "schema": handler % "const zodded = 1; db.users.create(req.body);",
+        "guard": "app.get('/o/:id', async (req, res) => {\n" + much + "if (requireAdmin) { await db.orders.findById(req.params.id); } });",
+        "stack": "res.json({ a: '" + "x" * 3000 + "', message: err.stack });",
+    }
+    files = spark.createDataFrame([(f"src/{k}.ts", v) for k, v in codes.items()], "path string, content string")
+    read = facts.extract(files)
+    got = {(r["engine"], r["path"], r["severity"]) for r in engines.detect(read, spark.createDataFrame([], "name string")).filter("engine IN ('missing-input-validation', 'stack-trace-exposure') OR engine = 'idor' AND path = 'src/guard.ts'").collect()}
+    assert got == {("missing-input-validation", "src/input.ts", "error"), ("missing-input-validation", "src/guard.ts", "info"), ("stack-trace-exposure", "src/stack.ts", "error")}
+    rows = facts.read_file(f"function f({', '.join(f'parameter{k}' for k in range(400))}) {{ try {{ a(); }} catch (e) {{ {much} }} }} const s = '{'y' * 5000}';")
+    assert next(r for r in rows if r["kind"] == "function" and r["name"] == "f")["about"]["params"].endswith("parameter399")
+    assert len(next(r for r in rows if r["kind"] == "literal")["name"]) == 5000 and len(next(r for r in rows if r["kind"] == "catch")["about"]["body"]) > 4000
+
+
+def test_long_facts_come_in_several_batches(spark):
+    files = spark.createDataFrame([(f"src/{k}.ts", "a(b(c('some text that is long')));") for k in range(5)], "path string, content string")
+    want = sorted((f"src/{k}.ts", ix) for k in range(5) for ix in range(4))
+    assert sorted((r["path"], r["ix"]) for r in facts.extract(files, step=50).collect()) == want

@@ -18,7 +18,8 @@ from tracewell.extract.tokens import Source, unquoted
 SCHEMA = "path string, kind string, ix int, name string, line int, column int, end_line int, scope string, about map<string,string>"
 _ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("ix", pa.int32()), ("name", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("end_line", pa.int32()), ("scope", pa.string()), ("about", pa.map_(pa.string(), pa.string()))])
 _NOT_METHODS = frozenset("async if for while switch catch with function return await typeof super import".split())
-_TEXT = 2000
+#: Of an error only so much is shown; source text is never cut, as detectors search all of it.
+_SHOWN = 2000
 
 
 class Reader:
@@ -36,7 +37,7 @@ class Reader:
         s = self.s
         at = s.tokens[k].at
         last = s.tokens[end].at if end is not None and 0 <= end < len(s.tokens) else at
-        told = {key: (str(v).lower() if isinstance(v, bool) else str(v)[:_TEXT]) for key, v in about.items() if v is not None}
+        told = {key: (str(v).lower() if isinstance(v, bool) else str(v)) for key, v in about.items() if v is not None}
         self.rows.append({"kind": kind, "name": name, "line": s.line(at), "column": s.column(at), "end_line": s.line(last), "scope": self.scope(k)[0], "about": told})
 
     def scope(self, k: int) -> tuple[str, bool]:
@@ -97,7 +98,7 @@ class Reader:
         end = s.partner[start] if s.word(start) == "{" and s.partner[start] > 0 else self._expression_end(start)
         self.functions.append((opened - 1, end, name or "(anonymous)", is_async))
         params = s.between(opened, close) if s.word(opened) == "(" else s.word(opened)
-        self.rows.append({"kind": "function", "name": name or "(anonymous)", "line": s.line(s.tokens[k].at), "column": s.column(s.tokens[k].at), "end_line": s.line(s.tokens[min(end, len(s.tokens) - 1)].at), "scope": "", "about": {"async": str(is_async).lower(), "params": params[:_TEXT], "exported": str(self._exported(k)).lower()}})
+        self.rows.append({"kind": "function", "name": name or "(anonymous)", "line": s.line(s.tokens[k].at), "column": s.column(s.tokens[k].at), "end_line": s.line(s.tokens[min(end, len(s.tokens) - 1)].at), "scope": "", "about": {"async": str(is_async).lower(), "params": params, "exported": str(self._exported(k)).lower()}})
 
     def _exported(self, k: int) -> bool:
         return any(self.s.word(j) == "export" for j in range(max(0, k - 6), k) if all(self.s.word(x) not in (";", "}") for x in range(j, k)))
@@ -222,7 +223,7 @@ class Reader:
             return
         given = s.word(k - 2) if s.word(k - 1) in ("=", ":") and s.kind(k - 2) in ("name", "string") else ""
         around = s.word(k - 2) if s.word(k - 1) == "(" else ""
-        self.add("literal", value[:_TEXT], k, given=given.strip("\"'"), argument_of=around, form=s.kind(k))
+        self.add("literal", value, k, given=given.strip("\"'"), argument_of=around, form=s.kind(k))
 
     def _next_member(self, k: int) -> str:
         return self.s.word(k + 2) if self.s.word(k + 1) in (".", "?.") else ""
@@ -271,19 +272,27 @@ def read_file(text: str) -> list[dict]:
     return Reader(text).read()
 
 
-def extract(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """Facts of every file. A file that cannot be read yields one row of kind error instead of ending the job."""
+def extract(files: DataFrame, path_col: str = "path", content_col: str = "content", step: int = 1 << 24) -> DataFrame:
+    """Facts of every file. A file that cannot be read yields one row of kind error instead of ending the job.
+
+    Facts are sent on after about step characters, as calls inside calls repeat their text.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, size = [], 0
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows = read_file(text)
                 except Exception as e:  # one bad file must not hide the others
-                    rows = [{"kind": "error", "name": f"{type(e).__name__}: {e}"[:_TEXT], "line": 1, "column": 1, "end_line": 1, "scope": "", "about": {}}]
+                    rows = [{"kind": "error", "name": f"{type(e).__name__}: {e}"[:_SHOWN], "line": 1, "column": 1, "end_line": 1, "scope": "", "about": {}}]
                 rows.sort(key=lambda r: (r["line"], r["column"]))
-                out += [r | {"path": path, "ix": ix, "about": list(r["about"].items())} for ix, r in enumerate(rows)]
+                for ix, r in enumerate(rows):
+                    out.append(r | {"path": path, "ix": ix, "about": list(r["about"].items())})
+                    size += len(r["name"]) + sum(map(len, r["about"].values()))
+                    if size >= step:
+                        yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+                        out, size = [], 0
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
     return files.select(F.col(path_col).alias("path"), F.coalesce(F.col(content_col), F.lit("")).alias("content")).mapInArrow(run, SCHEMA)
