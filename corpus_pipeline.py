@@ -4,7 +4,7 @@ quality classifier -> language ID -> n-gram Jaccard join -> mixing sources -> Se
 
 Every stage gets (spark, docs, sf_dir), where docs are the rows that its predecessor kept, and returns the columns of
 documents (the last: doc_id, source and token ids). Models are learnt from the whole tables in sf_dir, never from held-out
-rows; every decision is on the rows given. Rows without an id take no part from the Jaccard stage on.
+rows; every decision is on the rows given. Rows without an id stay in; of near duplicates one with an id stays, if there is one.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ LEAST_SURE = 0.35
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates the document with the smallest id."""
     share_code(spark)
-    return jaccard.deduplicated(docs.filter(F.col("doc_id").isNotNull()))
+    return jaccard.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,6 +90,15 @@ def test_jaccard_of_odd_rows(spark, odd, empty):
     assert jaccard.classes(empty).count() == 0 and jaccard.deduplicated(empty).count() == 0
 
 
+def test_every_class_keeps_one_row(spark):
+    """Ids that repeat with other texts or are null: a class keeps its row of the smallest id, and no class is lost."""
+    word = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(5, word(1), "a"), (5, word(2), "b"), (9, word(2) + " end", "c"), (None, word(3), "d"), (None, word(3), "d"), (None, word(4), "e"), (None, word(1), "f"), (7, word(5), "g"), (7, word(5), "g"), (None, None, "h"), (None, "", "i"), (8, None, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["source"]) for r in jaccard.deduplicated(docs).collect()), key=repr)
+    assert got == sorted([(5, "a"), (5, "b"), (None, "d"), (None, "e"), (7, "g"), (None, "h"), (None, "i"), (8, "j")], key=repr)
+
+
 def test_components_of_many_edges_and_of_few_agree(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]

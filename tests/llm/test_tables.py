@@ -130,6 +130,22 @@ def test_mixed_rows_are_in_order_of_time(spark, odd, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixed_draws_rows_without_ids_and_with_equal_ids(spark):
+    rows = [(k // 2 if k % 3 else None, f"{'w ' * (5 + k % 7)}{k % 50}", "ab"[k % 2] if k % 5 else None) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed(docs, bytes_per_range=2000).collect()
+    size, drawn = {}, {}
+    for _, text, source in rows:
+        size[source] = size.get(source, 0) + len(text.split())
+    for r in out:
+        drawn[r["source"]] = drawn.get(r["source"], 0) + len(r["text"].split())
+    for source, want in brute_targets(size).items():
+        assert abs(drawn[source] - want) <= 12
+    assert {tuple(r) for r in out} <= set(rows) and any(r["doc_id"] is None for r in out)
+    full = {s for s, want in brute_targets(size).items() if want >= size[s]}
+    assert full and {r for r in rows if r[2] in full} <= {tuple(r) for r in out}
+
+
 # URLs
 
 

@@ -450,13 +450,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that another document of a smaller id stands for: one row of each class, all columns as they were."""
-    keep = classes(docs, id_col, text_col).filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("__id"), "left_semi")
-    if not docs.groupBy(id_col).count().filter(F.col("count") > 1).limit(1).count():
-        return kept
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    return kept.withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").drop("__nth")
+    """docs without those that another document of a smaller id stands for: one row of each class, all columns as they were.
+
+    A row's key is its id (null: after all others) and its text's hash, so ids may be null or repeat with different texts.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"))
+    keyed = docs.withColumn("__key", key)
+    found = classes(keyed, "__key", text_col)
+    keep = tables.cut(found.filter(F.col("id") == F.col("component_id")).groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("__rows")))
+    kept = keyed.join(keep.select("__id"), F.col("__key") == F.col("__id"), "left_semi")
+    if keep.filter("__rows > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__key"])
+    return kept.drop("__key")
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
