@@ -405,16 +405,16 @@ def q43(spark, sf_dir):
     return graphs.summary_fixpoint(hits, calls)
 
 
-def _flow_sql(source: str, target: str, start: str, sink: str) -> str:
+def _flow_sql(source: str, target: str, start: str, sink: str, depth: int = 4) -> str:
     return f"""WITH RECURSIVE {_EDGES}, p AS (SELECT s_suppkey AS start, s_suppkey AS node, 0 AS depth, [s_suppkey] AS trail FROM supplier WHERE {start}
       UNION ALL SELECT p.start, e.{target}, p.depth + 1, list_append(p.trail, e.{target}) FROM p JOIN (SELECT DISTINCT caller, callee FROM edges) e ON p.node = e.{source}
-      WHERE p.depth < 4 AND NOT list_contains(p.trail, e.{target})),
+      WHERE p.depth < {depth} AND NOT list_contains(p.trail, e.{target})),
       flows AS (SELECT start, node, depth, array_to_string(trail, '>') AS trail FROM p WHERE depth > 0 AND {sink})"""
 
 
-def _flows(spark, sf_dir, source: str, target: str, start: str, sink: str) -> DataFrame:
+def _flows(spark, sf_dir, source: str, target: str, start: str, sink: str, depth: int = 4) -> DataFrame:
     first = table(spark, sf_dir, "supplier").filter(start).select(F.col("s_suppkey").alias("start"), F.col("s_suppkey").alias("node"))
-    found = graphs.paths(call_edges(spark, sf_dir), first, source, target, 4).filter(f"depth > 0 AND {sink}")
+    found = graphs.paths(call_edges(spark, sf_dir), first, source, target, depth).filter(f"depth > 0 AND {sink}")
     return found.withColumn("trail", F.array_join(F.col("trail").cast("array<string>"), ">"))
 
 
@@ -434,13 +434,39 @@ def q45(spark, sf_dir):
     return _flows(spark, sf_dir, *_BACKWARD)
 
 
-@register("q46_flow_summary", _flow_sql(*_FORWARD) + """ SELECT sink, source, CAST(depth AS INTEGER) AS depth, count(*) AS flows, CAST(max(depth_) AS INTEGER) AS max_hops
-  FROM (SELECT node % 3 AS sink, start % 2 AS source, depth, depth AS depth_ FROM flows) GROUP BY GROUPING SETS ((sink), (source), (depth), ()) HAVING count(*) > 0""")
-def q46(spark, sf_dir):
-    flows = _flows(spark, sf_dir, *_FORWARD).select((F.col("node") % 3).alias("sink"), (F.col("start") % 2).alias("source"), "depth", F.col("depth").alias("hops"))
+_SUMMARY = """ SELECT sink, source, CAST(depth AS INTEGER) AS depth, count(*) AS flows, CAST(max(depth_) AS INTEGER) AS max_hops
+  FROM (SELECT node % 3 AS sink, start % 2 AS source, depth, depth AS depth_ FROM flows) GROUP BY GROUPING SETS ((sink), (source), (depth), ()) HAVING count(*) > 0"""
+
+
+def _summed(flows: DataFrame) -> DataFrame:
+    flows = flows.select((F.col("node") % 3).alias("sink"), (F.col("start") % 2).alias("source"), "depth", F.col("depth").alias("hops"))
     return flows.groupingSets([["sink"], ["source"], ["depth"], []], "sink", "source", "depth").agg(F.count("*").alias("flows"), F.max("hops").alias("max_hops"))
 
 
+@register("q46_flow_summary", _flow_sql(*_FORWARD) + _SUMMARY)
+def q46(spark, sf_dir):
+    return _summed(_flows(spark, sf_dir, *_FORWARD))
+
+
+#: The reference's depth of a flow query. q44 to q46 stop at 4, as their SQL does.
+DEEP = 10
+
+
+@register("q55_forward_flows_deep", _flow_sql(*_FORWARD, DEEP) + " SELECT * FROM flows")
+def q55(spark, sf_dir):
+    return _flows(spark, sf_dir, *_FORWARD, DEEP)
+
+
+@register("q56_backward_flows_deep", _flow_sql(*_BACKWARD, DEEP) + " SELECT * FROM flows")
+def q56(spark, sf_dir):
+    return _flows(spark, sf_dir, *_BACKWARD, DEEP)
+
+
+@register("q57_flow_summary_deep", _flow_sql(*_FORWARD, DEEP) + _SUMMARY)
+def q57(spark, sf_dir):
+    return _summed(_flows(spark, sf_dir, *_FORWARD, DEEP))
+
+
 @register("q47_lattice_join", """WITH f AS (SELECT user_id, event_id, CAST(event_id % 5 AS INTEGER) AS a, CAST(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) % 5 AS INTEGER) AS b FROM events)
   SELECT event_id, CASE WHEN a = b THEN a WHEN a = 0 THEN b WHEN b = 0 THEN a ELSE 4 END AS joined, CASE WHEN a = b THEN a WHEN a = 4 THEN b WHEN b = 4 THEN a ELSE 0 END AS met,
   a = b OR a = 0 OR b = 4 AS leq FROM f WHERE b IS NOT NULL""")
