@@ -188,6 +188,29 @@ def test_trees_score_in_columns_as_they_were_fitted(spark):
     assert scored.filter((F.col("p") > 0.5).cast("double") == F.col("y")).count() >= 760
 
 
+def test_url_statistics_come_from_all_pages(spark):
+    """Suffix rates are of all labelled pages, rare ones as well, and a sample of equal classes keeps the shares of all."""
+    rows = [(k, f"http://h{k}.{'rare' if k % 300 == 0 else 'com'}/p{k % 7}", "block" if k % 300 == 0 or k % 20 == 1 else "allow") for k in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label string")
+    model = urls.train(pages, per_class=100)
+    blocked = sum(r[2] == "block" for r in rows)
+    prior = blocked / 6000
+    want = {"rare": (20 + 20 * prior) / 40, "com": (blocked - 20 + 20 * prior) / (5980 + 20)}
+    got = {r["__suffix"]: r["__known"] for r in model.suffixes.collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k]) for k in want)
+    assert math.isclose(model.prior, prior) and math.isclose(model.base, math.log(prior / (1 - prior)), abs_tol=1e-9)
+    assert urls.judge(pages.filter("label = 'allow'"), model, rules=()).filter("verdict = 'block'").count() <= 0.05 * (6000 - blocked)
+
+
+def test_the_pipeline_decodes_what_it_encodes(spark):
+    import hashlib
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = tables.read(spark, SF, "documents").limit(40)
+    for r in corpus_pipeline.encode(spark, docs, SF).collect():
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(r["ids"]).encode()).hexdigest()
+
+
 def test_native_queries_run_no_python(spark):
     for name in ("op7_url_filter", "op9_mixing"):
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

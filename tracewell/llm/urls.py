@@ -1,7 +1,8 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
 Features, rules and scores are Column expressions throughout; the trees are fitted on the driver to a bounded sample of
-labelled URLs (per_class of each label) and scored as nested CASE expressions. Labels are given, or come from the rules:
+labelled URLs (per_class of each label, weighted back to all) and scored as nested CASE expressions. The block rates of host
+suffixes are counted over all labelled URLs and joined as a table. Labels are given, or come from the rules:
 URLs that a rule judges teach the trees, which never see host or path by name, only lexical shape and the block rate of
 host suffixes.
 
@@ -67,11 +68,11 @@ def suffix_of(host: Column) -> Column:
 
 @dataclass
 class Trees:
-    """Boosted regression trees: each is nested (feature, threshold, left, right) or a leaf's value."""
+    """Boosted regression trees: each is nested (feature, threshold, left, right) or a leaf's value. suffixes: (__suffix, __known)."""
 
     base: float = -2.0
     trees: list = field(default_factory=list)
-    suffixes: dict[str, float] = field(default_factory=dict)
+    suffixes: DataFrame | None = None
     prior: float = 0.5
 
     def column(self, features: dict[str, Column]) -> Column:
@@ -86,17 +87,18 @@ class Trees:
             total = total + node(tree)
         return 1 / (1 + F.exp(-total))
 
-    def rate(self, host: Column) -> Column:
-        """The smoothed share of blocked URLs of a host's last label."""
-        if not self.suffixes:
-            return F.lit(self.prior)
-        known = F.create_map(*[F.lit(x) for kv in sorted(self.suffixes.items()) for x in kv])
-        return F.coalesce(F.element_at(known, suffix_of(host)), F.lit(self.prior))
+    def rated(self, rows: DataFrame, host: str = "host") -> DataFrame:
+        """rows with __suffix_rate: the smoothed share of blocked URLs of a host's last label."""
+        if self.suffixes is None:
+            return rows.withColumn("__suffix_rate", F.lit(self.prior))
+        met = rows.withColumn("__suffix", suffix_of(F.col(host))).join(self.suffixes, "__suffix", "left")
+        return met.withColumn("__suffix_rate", F.coalesce("__known", F.lit(self.prior))).drop("__suffix", "__known")
 
 
-def boost(x: np.ndarray, y: np.ndarray, names: Sequence[str], rounds: int = 24, depth: int = 3, rate: float = 0.3, bins: int = 32, least: int = 10, ridge: float = 1.0) -> tuple[float, list]:
-    """Newton boosting of the logistic loss on binned features."""
-    p0 = min(max(y.mean(), 1e-3), 1 - 1e-3)
+def boost(x: np.ndarray, y: np.ndarray, names: Sequence[str], rounds: int = 24, depth: int = 3, rate: float = 0.3, bins: int = 32, least: int = 10, ridge: float = 1.0, weight: np.ndarray | None = None) -> tuple[float, list]:
+    """Newton boosting of the logistic loss on binned features; rows count by their weight."""
+    w = np.ones(len(y)) if weight is None else weight
+    p0 = min(max(np.average(y, weights=w), 1e-3), 1 - 1e-3)
     base = float(np.log(p0 / (1 - p0)))
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
     code = np.column_stack([np.searchsorted(c, x[:, k], "left") for k, c in enumerate(cuts)])
@@ -107,7 +109,7 @@ def boost(x: np.ndarray, y: np.ndarray, names: Sequence[str], rounds: int = 24,
         best = (1e-6, None, None)
         for k in range(x.shape[1]) if left else ():
             n = len(cuts[k]) + 1
-            sums = [np.cumsum(np.bincount(code[rows, k], w, n))[:-1] for w in (g[rows], h[rows], np.ones(len(rows)))]
+            sums = [np.cumsum(np.bincount(code[rows, k], v, n))[:-1] for v in (g[rows], h[rows], np.ones(len(rows)))]
             if not len(sums[0]):
                 continue
             gl, hl, cl = sums
@@ -126,30 +128,35 @@ def boost(x: np.ndarray, y: np.ndarray, names: Sequence[str], rounds: int = 24,
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
-        trees.append(grow(np.arange(len(y)), p - y, p * (1 - p), depth))
+        trees.append(grow(np.arange(len(y)), w * (p - y), w * p * (1 - p), depth))
     return base, trees
 
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", id_col: str = "page_id", per_class: int = 4000) -> Trees:
-    """Fits to about per_class URLs of each label (allow or block); only their features reach the driver."""
+    """Fits to about per_class URLs of each label (allow or block), weighted by their label's share of all; only their features reach the driver."""
     url = F.col(url_col)
-    sample = tables.class_sample(labelled.filter(F.col(label_col).isin("allow", "block") & F.col(id_col).isNotNull()), label_col, id_col, per_class, salt=23)
-    host, path = host_of(url), path_of(url)
-    columns = lexical(url, host, path, F.lit(0.0))
-    got = sample.select(F.col(id_col).alias("id"), (F.col(label_col) == "block").cast("int").alias("y"), suffix_of(host).alias("suffix"), *[c.alias(n) for n, c in columns.items()]).collect()
-    if not got:
+    labelled = labelled.filter(F.col(label_col).isin("allow", "block") & F.col(id_col).isNotNull())
+    blocked = (F.col(label_col) == "block").cast("int")
+    counts = tables.cut(labelled.groupBy(suffix_of(host_of(url)).alias("__suffix")).agg(F.count("*").alias("n"), F.sum(blocked).alias("blocked")))
+    every = counts.agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
+    if not every["n"]:
         return Trees()
-    got.sort(key=lambda r: (str(r["id"]), r["suffix"] or ""))
+    prior = every["blocked"] / every["n"]
+    known = tables.if_small(counts.select("__suffix", ((F.col("blocked") + F.lit(20 * prior)) / (F.col("n") + 20)).alias("__known")))
+    model = Trees(suffixes=known, prior=prior)
+    sample = tables.class_sample(labelled, label_col, id_col, per_class, salt=23)
+    shown = model.rated(sample.select(F.col(id_col).alias("id"), url.alias("url"), blocked.alias("y"), host_of(url).alias("host"), path_of(url).alias("path")))
+    columns = lexical(F.col("url"), F.col("host"), F.col("path"), F.col("__suffix_rate"))
+    got = shown.select("id", "y", "host", *[c.alias(n) for n, c in columns.items()]).collect()
+    if not got:
+        return model
+    got.sort(key=lambda r: (str(r["id"]), r["host"]))
     y = np.array([r["y"] for r in got], float)
-    prior = float(y.mean())
-    n, blocked = {}, {}
-    for r in got:
-        n[r["suffix"]] = n.get(r["suffix"], 0) + 1
-        blocked[r["suffix"]] = blocked.get(r["suffix"], 0) + r["y"]
-    rates = {s: (blocked[s] + 20 * prior) / (n[s] + 20) for s in n}
-    x = np.array([[*(r[f] for f in FEATURES[:-1]), rates[r["suffix"]]] for r in got], float)
-    base, trees = boost(x, y, FEATURES)
-    return Trees(base, trees, rates, prior)
+    x = np.array([[r[f] for f in FEATURES] for r in got], float)
+    taken = y.sum(), len(y) - y.sum()
+    share = np.where(y == 1, every["blocked"] / max(1, taken[0]), (every["n"] - every["blocked"]) / max(1, taken[1]))
+    model.base, model.trees = boost(x, y, FEATURES, weight=share / share.mean())
+    return model
 
 
 def judge(pages: DataFrame, model: Trees, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", block_from: float = 0.5) -> DataFrame:
@@ -157,8 +164,8 @@ def judge(pages: DataFrame, model: Trees, rules: Sequence[tuple[str, str, str]]
     taken = {"host", "path", "rule", "verdict", "score"}
     shown = pages.select(*[c for c in pages.columns if c.lower() not in taken or c == url_col], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    features = lexical(F.col(url_col), F.col("host"), F.col("path"), model.rate(F.col("host")))
-    named = shown.withColumns({f"__{n}": c for n, c in features.items()})
+    features = lexical(F.col(url_col), F.col("host"), F.col("path"), F.col("__suffix_rate"))
+    named = model.rated(shown).withColumns({f"__{n}": c for n, c in features.items()})
     scored = named.withColumn("score", model.column({n: F.col(f"__{n}") for n in features})).drop(*[f"__{n}" for n in features])
     return scored.withColumns({"rule": rule, "verdict": F.coalesce(says, F.when(F.col("score") >= block_from, "block").otherwise("allow"))})
 
