@@ -3,7 +3,7 @@
 quality classifier -> language ID -> n-gram Jaccard join -> mixing sources -> SentencePiece.
 
 Every stage gets (spark, docs, sf_dir), where docs are the rows that its predecessor kept, and returns the columns of
-documents (the last: doc_id, source and token ids). Models are learnt from the whole tables in sf_dir, never from held-out
+documents (the last: doc_id, source, token ids and the hash of the decoded text). Models are learnt from the whole tables in sf_dir, never from held-out
 rows; every decision is on the rows given. Rows without an id stay in; of near duplicates one with an id stays, if there is one.
 """
 
@@ -54,12 +54,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the end id."""
+    """Token ids of every document, with the end id, and the SHA-256 of the text that they decode to."""
     import public_tokenizers
 
     share_code(spark)
-    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "source"])
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "source"], decoded_as="decoded")
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Stage]] = [
