@@ -59,3 +59,10 @@ def test_flows_of_ten_calls(spark, deep, shallow):
     assert oracle.differences(got, oracle.connect(sf), SQL[deep]) == ""
     if shallow:
         assert got.agg({"depth": "max"}).first()[0] > 4 and got.count() > catalog.queries()[shallow](spark, sf).count()
+
+
+def test_every_event_and_node_takes_part(spark):
+    found = catalog.queries()["q60_baseline_new_by_date"](spark, SF)
+    assert {r[0] for r in found.selectExpr("ord % 3").distinct().collect()} == {0, 1, 2}
+    starts = catalog.queries()["q61_reverse_closure_all"](spark, SF).select("start").distinct()
+    assert starts.count() == spark.read.parquet(f"{SF}/supplier.parquet").count()

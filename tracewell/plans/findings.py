@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import paths, scalars
 from tracewell.operators import graphs, incremental, report, triage
 from tracewell.plans.catalog import register
-from tracewell.sources.issues import ENGINES, FOLDERS, TOPICS, call_edges, issues, pick, table
+from tracewell.sources.issues import ENGINES, FOLDERS, TOPICS, call_edges, from_events, issues, pick, table
 
 # the SQL side of the adapters and of the triage chain
 
@@ -501,3 +501,25 @@ def q50(spark, sf_dir):
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")  # whatever the session's zone
     start = ((micros - F.pmod(micros, F.lit(500_000))) / 1000).cast("long")
     return table(spark, sf_dir, "events").groupBy(start.alias("window_ms")).agg(F.count("*").alias("findings"), F.countDistinct("event_type").alias("phases"), F.max("event_id").alias("last_event"))
+
+
+# the whole tables of q30 and q41, whose SQL takes parts
+
+
+@register("q60_baseline_new_by_date", f"""{_WITH}, f AS (SELECT *, {_BASE} AS fingerprint FROM issues), c AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS middle FROM events),
+  old AS (SELECT event_id FROM events, c WHERE epoch_us(ts) < middle) SELECT ord, fingerprint FROM f WHERE ord NOT IN (SELECT event_id FROM old)
+  AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE ord IN (SELECT event_id FROM old))""")
+def q60(spark, sf_dir):
+    """Every event is on one side: the first half of the time is the baseline, the rest (and what has no time) is tested."""
+    events = table(spark, sf_dir, "events").withColumn("__at", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))"))
+    middle = events.agg(F.expr("(min(__at) + max(__at)) div 2").alias("at")).first()["at"]
+    old = F.coalesce(F.col("__at") < F.lit(middle), F.lit(False))
+    side = lambda which: from_events(events.filter(which)).withColumn("fingerprint", _keys()[2])
+    return report.new_against(side(~old), side(old)).select("ord", "fingerprint")
+
+
+@register("q61_reverse_closure_all", f"""WITH RECURSIVE {_EDGES}, r AS (SELECT s_suppkey AS start, s_suppkey AS node FROM supplier
+  UNION SELECT r.start, e.caller FROM r JOIN edges e ON r.node = e.callee) SELECT start, node FROM r""")
+def q61(spark, sf_dir):
+    start = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("start"), F.col("s_suppkey").alias("node"))
+    return graphs.reachable(call_edges(spark, sf_dir), start, "callee", "caller")
