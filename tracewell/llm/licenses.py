@@ -2,8 +2,10 @@
 
 A notice with k permitted edits is split into k + 1 parts: any text within k edits holds one part exactly (pigeonhole).
 One Aho-Corasick pass finds all parts of all notices; around each hit the regex library's bounded-error matching
-verifies the edits and reports the span. The base phrases are notices without edits, whose only part is their rarest word;
-they match word by word, whatever stands between the words.
+verifies the edits and reports the best span there. Hits of one alignment share their window; windows are never joined, so
+notices that stand close together are all found. Of spans of one notice that share half of it or more, the one with the
+fewest edits stays, on ties the first. The base phrases are notices without edits, whose only part is their last word; they
+match word by word, whatever stands between the words.
 
 Defined results: a null or empty text has no words, no spans and score 0. Repeated rows each get a row.
 """
@@ -11,6 +13,7 @@ Defined results: a null or empty text has no words, no spans and score 0. Repeat
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,16 @@ def parts(notice: str, edits: int) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def apart(spans: set[tuple[int, int, int]], most: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) by edits and place, each unless it shares more than `most` with one kept before; as (start, end, edits)."""
+    kept: list[tuple[int, int, int]] = []  # ascending, each overlapping the next by `most` at most
+    for e, a, b in sorted(spans):
+        at = bisect_left(kept, (a, b, e))
+        if all(min(b, y) - max(a, x) <= most for x, y, _ in kept[max(0, at - 2) : at + 2]):
+            kept.insert(at, (a, b, e))
+    return kept
+
+
 class Scanner:
     """Finds spans in one lower-cased text."""
 
@@ -82,19 +95,17 @@ class Scanner:
                 if want[0] == "base":
                     phrases.setdefault(want[1], want[2])
                 else:
-                    _, notice, edits = self.notices[want[1]]
-                    a, b = max(0, first - want[3] - edits), first - want[3] + len(notice) + edits
-                    own = windows.setdefault(want[1], (want[2], []))[1]
-                    if own and a <= own[-1][1]:
-                        own[-1][1] = max(b, own[-1][1])
-                    else:
-                        own.append([a, b])
+                    windows.setdefault(want[1], (want[2], set()))[1].add(first - want[3])
         out = [(self.base[k][0], m.start(), m.end(), 0, True) for k, exact in phrases.items() for m in exact.finditer(text)]
         out.sort(key=lambda s: (s[1], s[0]))
         for k, (fuzzy, places) in windows.items():
-            for a, b in places:
-                for m in fuzzy.finditer(text, a, min(b, len(text))):
-                    out.append((self.notices[k][0], m.start(), m.end(), sum(m.fuzzy_counts), False))
+            label, notice, edits = self.notices[k]
+            found = set()
+            for at in places:
+                m = fuzzy.search(text, max(0, at - edits), min(len(text), at + len(notice) + edits))
+                if m:
+                    found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+            out += [(label, a, b, e, False) for a, b, e in apart(found, len(notice) // 2)]
         return out
 
 
