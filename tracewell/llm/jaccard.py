@@ -7,8 +7,8 @@ similarity reaches 0.8, that is 9 * common >= 4 * (n + m), or 9 * different <= n
    task also a signature of about n bits, each the parity of the members that hash to it, and the set's prefix: its
    n - ceil(0.8 n) + 1 first members in one global order. Linked sets share a prefix member in any global order; ours puts
    members last that many documents share, so passages that documents have in common are hardly ever looked up.
-2. Sets that share a prefix member meet. A member with up to FEW sets gives their pairs; one with more gives its list of
-   sets, which is cut into size-banded tiles (sizes within one band or the next can link). The bits that differ in two
+2. Sets that share a prefix member meet. A member with up to FEW sets gives their pairs; one with more, or known to be held by
+   many documents, gives its list of sets, which is cut into size-banded tiles (sizes within one band or the next can link). The bits that differ in two
    signatures bound the different members from below, so their overlap from above; pairs beyond the bound go. A tile
    returns no pairs but a spanning forest of those that are left.
 3. What the forest connects is a family. The sets of a family are made again from their texts, each sent once (in tiles
@@ -111,22 +111,23 @@ class Order:
         self.gate = np.zeros(1 << 22, bool)
         self.gate[(shared >> np.uint64(42)).astype(np.int64)] = True
 
-    def prefix(self, members: np.ndarray) -> np.ndarray:
-        size = prefix_size(len(members))
+    def prefix(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix of a set: its members that few documents hold, and those that many do."""
+        size, none = prefix_size(len(members)), members[:0]
         if not len(self.sorted):
-            return members[:size]
+            return members[:size], none
         maybe = np.flatnonzero(self.gate[(members >> np.uint64(42)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.sorted, members[maybe]), len(self.sorted) - 1)
         hit = self.sorted[at] == members[maybe]
         if not hit.any():
-            return members[:size]
+            return members[:size], none
         late, rank = maybe[hit], self.rank[at[hit]]
         early = np.ones(len(members), bool)
         early[late] = False
         first = members[early][:size]
         if len(first) == size:
-            return first
-        return np.concatenate([first, members[late[np.argsort(rank, kind="stable")]][: size - len(first)]])
+            return first, none
+        return first, members[late[np.argsort(rank, kind="stable")]][: size - len(first)]
 
 
 def shared_members(docs: DataFrame, text_col: str, local: int = 4, least: int = 2 * FEW) -> np.ndarray:
@@ -169,14 +170,15 @@ def shared_members(docs: DataFrame, text_col: str, local: int = 4, least: int =
 
 
 def described(docs: DataFrame, shared: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, sign, prefix): node is the set's hash; signature and prefix only for the first of equal sets in a task."""
+    """(id, row, n, node, sign, prefix, common): node is the set's hash, row the hash of id and text; signature and prefix (the
+    members that few and that many documents hold) only for the first of equal sets in a task."""
     order = docs.sparkSession.sparkContext.broadcast(shared)
 
     def kernel():
         ranks, seen = Order(order.value), set()
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            n, node, sign, prefix = [], [], [], []
+            n, node, sign, prefix, common = [], [], [], [], []
             for members in sets(*K.flat(texts)):
                 n.append(len(members))
                 name = set_hash(members) if len(members) else None
@@ -184,18 +186,22 @@ def described(docs: DataFrame, shared: np.ndarray, id_col: str, text_col: str) -
                 if name is None or name in seen:
                     sign.append(None)
                     prefix.append(None)
+                    common.append(None)
                 else:
                     seen.add(name)
+                    few, many = ranks.prefix(members)
                     sign.append(signature(members))
-                    prefix.append(ranks.prefix(members).view(np.int64))
+                    prefix.append(few.view(np.int64))
+                    common.append(many.view(np.int64))
             if len(seen) > 1 << 20:
                 seen.clear()
-            return [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sign, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
+            return [pa.array(n, pa.int64()), pa.array(node, pa.int64())] + [pa.array(x, pa.list_(pa.int64())) for x in (sign, prefix, common)]
 
         return work
 
-    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sign", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))]
-    return tables.add_columns(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", fields, kernel, keep=["id"])
+    numbers = T.ArrayType(T.LongType())
+    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("sign", numbers), T.StructField("prefix", numbers), T.StructField("common", numbers)]
+    return tables.add_columns(docs.select(F.col(id_col).alias("id"), "row", F.col(text_col).alias("body")), "body", fields, kernel, keep=["id", "row"])
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -307,12 +313,13 @@ def tiles(rows: DataFrame, weight, most: int) -> DataFrame:
     """rows (group, node, n, ...) with a column tile: groups of up to most in weight have one; the rows of larger groups go to
     each tile that pairs their part of their size band with a part of the same or the next band."""
     rows = rows.withColumn("weight", weight)
-    totals = rows.groupBy("group").agg(F.sum("weight").alias("total"))
-    small_or_large = rows.join(totals, "group")
-    small = small_or_large.filter(F.col("total") <= most).withColumn("tile", F.lit(0).cast("long"))
-    large = small_or_large.filter(F.col("total") > most).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)))
-    bands = large.groupBy("group", "band").agg(F.ceil(F.sum("weight") / (most / 2)).cast("long").alias("parts"))
-    side = lambda shift, name: bands.select("group", (F.col("band") + shift).alias("band"), F.col("parts").alias(name))
+    # one row for each group above `most`, so that rows meet it where they lie and no group's rows land in one task
+    totals = tables.if_small(tables.cut(rows.groupBy("group").agg(F.sum("weight").alias("total")).filter(F.col("total") > most).select("group")))
+    small = rows.join(totals, "group", "left_anti").withColumn("tile", F.lit(0).cast("long"))
+    large = rows.join(totals, "group").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)))
+    bands = tables.cut(large.groupBy("group", "band").agg(F.ceil(F.sum("weight") / (most / 2)).cast("long").alias("parts")))
+    few = bands.count() <= 1 << 20
+    side = lambda shift, name: (F.broadcast if few else lambda x: x)(bands.select("group", (F.col("band") + shift).alias("band"), F.col("parts").alias(name)))
     large = large.join(side(0, "parts"), ["group", "band"]).join(side(-1, "above"), ["group", "band"], "left").join(side(1, "below"), ["group", "band"], "left")
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     code = lambda low, a, b: F.xxhash64(low, a, b)  # noqa: E731  a tile's name: its lower band, the part there, and the part in it or above
@@ -386,7 +393,7 @@ def _united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "label"])
 
 
-def components(edges: DataFrame, rounds: int = 60, small: int = 1 << 20) -> DataFrame:
+def components(edges: DataFrame, small: int = 1 << 20) -> DataFrame:
     """(node, label): the smallest node that each node of edges(a, b) is connected with.
 
     Up to `small` edges, as counted (16 MB), one task unites them. More take hash-min with pointer jumping: every round takes
@@ -398,7 +405,7 @@ def components(edges: DataFrame, rounds: int = 60, small: int = 1 << 20) -> Data
         return tables.cut(edges.coalesce(1).mapInArrow(_united, "node long, label long"))
     both = tables.cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = tables.cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
         lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "low").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
@@ -407,7 +414,6 @@ def components(edges: DataFrame, rounds: int = 60, small: int = 1 << 20) -> Data
         labels = moved.select("node", F.col("new").alias("label"))
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _by_group(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -417,11 +423,14 @@ def _by_group(rows: DataFrame, keys: list[str]) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): every row of docs with the size of its set and the smallest id of its class."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("row", F.xxhash64("id", "text"))
     shared = shared_members(docs, "text")
     about = tables.cut(described(docs, shared, "id", "text"))
     first = about.filter(F.col("prefix").isNotNull())
     keyed = first.select(F.explode("prefix").alias("key"), "node", "n")
     met = tables.cut(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "kind long, a long, b long, n long"))
+    # a member that many documents hold makes a list wherever its rows lie: no task gets all of them
+    common = first.select(F.explode("common").alias("group"), "node", "n").distinct()
 
     # equal sets of several tasks have equal signatures; any will do
     signs = first.groupBy("node").agg(F.min("n").alias("n"), F.min("sign").alias("sign"))
@@ -431,16 +440,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fold = lambda x: F.when(F.size(x) > least, F.zip_with(F.slice(x, F.lit(1), least), F.slice(x, least + 1, least), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
     differ = F.aggregate(F.zip_with(fold("sa"), fold("sb"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
     pairs = met.filter("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b").filter(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
-    lists = met.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("node"), "n")
+    lists = tables.cut(met.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("node"), "n").unionByName(common))
     tiled = tiles(lists, F.lit(1), TILE).join(signs.drop("n"), "node").select("group", "tile", "node", "n", "sign")
     chained = _by_group(tiled, ["group", "tile"]).mapInArrow(_signature_forest, "a long, b long")
     families = components(pairs.unionByName(chained))
 
-    # one row for each set of a family: the text of any document that has it
-    sized = about.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-    wanted = families.join(sized, "node").filter(F.col("id").isNotNull()).select(F.col("label").alias("group"), "node", "n", "id")
-    asked = tiles(wanted, F.col("n"), TILE_MEMBERS).select("id", "group", "tile")
-    sent = _by_group(docs.join(asked, "id").select("group", "tile", F.coalesce("text", F.lit("")).alias("text")), ["group", "tile"])
+    # the text of any document that has a set of a family, with an id or without
+    sized = about.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.min("n").alias("n"))
+    wanted = tables.cut(families.join(sized, "node").select(F.col("label").alias("group"), "node", "n", "row"))
+    asked = tiles(wanted, F.col("n"), TILE_MEMBERS).select("row", "group", "tile")
+    texts = docs.join(asked, "row").select("group", "tile", "row", F.coalesce("text", F.lit("")).alias("text"))
+    if about.groupBy("row").count().filter("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["group", "tile", "row"])  # repeated rows have one text
+    sent = _by_group(texts.select("group", "tile", "text"), ["group", "tile"])
     linked = components(sent.mapInArrow(_exact_forest, "a long, b long"))
 
     lowest = sized.join(linked, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
