@@ -1,9 +1,10 @@
 """SentencePiece BPE encoding and decoding in vectorised merge rounds.
 
 A text is cut into words that no piece can span; all words of a batch that are not known yet lie in flat numpy arrays of
-symbols. Each round finds every word's best pair (a segmented minimum of pair ranks, leftmost on ties), merges it in all
-words at once and compacts, until no pair remains. One merge a word and round keeps the library's order exactly. A word of
-over LONG symbols, which would take as many rounds, is merged by a heap in the same order instead.
+symbols, cut further into segments wherever no piece has the two characters in a row. Each round finds every segment's best
+rank (a segmented minimum of pair ranks) and merges its places from the left, in all segments at once, then compacts, until no
+pair remains. The library merges one place after the other, leftmost first, so a segment's places are merged together up to
+the first whose new neighbours could be merged before the next one; the rest wait for the next round.
 
 Defined results: a null text counts as empty; an empty text has the end id alone (if asked for) and decodes to "".
 Repeated rows each get a row; other columns pass through, and one with the name of a new column gives way to it.
@@ -12,7 +13,6 @@ Repeated rows each get a row; other columns pass through, and one with the name
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
 import struct
 
@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 from tracewell.llm import tables
 
 SPACE = "▁"
-LONG = 2048
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.int64(1 << 30)
 
@@ -112,6 +111,8 @@ class Pieces:
                     pairs.append((a << 32 | b, order[self.scores[i]], i))
         pairs.sort()
         self.pair, self.rank, self.made = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ([], [], [])))
+        #: Characters that stand in a row in some piece.
+        self.inside = np.array(sorted({self.symbol[x] << 32 | self.symbol[y] for n in normal for x, y in zip(n, n[1:], strict=False)}), np.int64)
         self.pair = np.append(self.pair, np.iinfo(np.int64).max)
         self.rank = np.append(self.rank, _NONE)
 
@@ -137,93 +138,93 @@ class Pieces:
         at = np.searchsorted(self.pair, key)
         return np.where(self.pair[at] == key, self.rank[at], _NONE), at
 
-    def _merge_long(self, symbols: list[int]) -> list[int]:
-        """One word by a heap of pairs and linked neighbours; the same order of merges."""
-        table = {int(k): (int(r), int(m)) for k, r, m in zip(self.pair[:-1], self.rank[:-1], self.made, strict=True)} if not hasattr(self, "_table") else self._table
-        self._table = table
-        n = len(symbols)
-        back, forth, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (found := table.get(symbols[i] << 32 | symbols[j])):
-                heapq.heappush(heap, (found[0], i, j, symbols[i], symbols[j], found[1]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, a, b, made = heapq.heappop(heap)
-            if not (alive[i] and alive[j]) or forth[i] != j or symbols[i] != a or symbols[j] != b:
-                continue
-            symbols[i], alive[j], forth[i] = made, False, forth[j]
-            if forth[j] >= 0:
-                back[forth[j]] = i
-            offer(back[i], i)
-            offer(i, forth[i])
-        return [s for s, ok in zip(symbols, alive, strict=True) if ok]
+    def _segments(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of each symbol: its segment, numbered from 0; a new one begins with each word and where no piece can go on."""
+        new = np.zeros(len(symbols), bool)
+        new[np.cumsum(sizes)[:-1]] = True
+        if len(symbols) > 1:
+            key = symbols[:-1] << 32 | symbols[1:]
+            at = np.minimum(np.searchsorted(self.inside, key), max(0, len(self.inside) - 1))
+            new[1:] |= (self.inside[at] != key) if len(self.inside) else True
+        return np.cumsum(new)
 
     def merge(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat symbols of words of the given sizes (all over 0) to what is left of each: flat symbols and sizes."""
-        word = np.repeat(np.arange(len(sizes)), sizes)
-        sym, done_sym, done_word = symbols.astype(np.int64), [], []
+        sym, done_sym, done_seg = symbols.astype(np.int64), [], []
+        if not len(sym):
+            return sym, np.zeros(len(sizes), np.int64)
+        seg = self._segments(sym, sizes)
+        word_of = np.repeat(np.arange(len(sizes)), sizes)[np.flatnonzero(np.diff(seg, prepend=-1))]
         rank = np.full(len(sym), _NONE)
-        same = word[1:] == word[:-1]
-        rank[:-1] = np.where(same, self._ranks(sym[:-1], sym[1:])[0], _NONE) if len(sym) > 1 else rank[:-1]
-        while len(sym):
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-            best = np.minimum.reduceat(rank << 32 | np.arange(len(sym)), first)
-            ready = (best >> 32) == _NONE
+        rank[:-1] = np.where(seg[1:] == seg[:-1], self._ranks(sym[:-1], sym[1:])[0], _NONE)
+        while True:
+            first = np.flatnonzero(np.diff(seg, prepend=-1))
+            best = np.minimum.reduceat(rank, first)
             size = np.diff(np.append(first, len(sym)))
+            ready = best == _NONE
             if ready.any():
                 mask = np.repeat(ready, size)
                 done_sym.append(sym[mask])
-                done_word.append(word[mask])
-                shift = np.cumsum(np.where(ready, size, 0)) - np.where(ready, size, 0)
-                at = ((best & 0xFFFFFFFF) - shift)[~ready]
-                sym, word, rank = sym[~mask], word[~mask], rank[~mask]
-            else:
-                at = best & 0xFFFFFFFF
+                done_seg.append(seg[mask])
+                sym, seg, rank = sym[~mask], seg[~mask], rank[~mask]
+                best, size = best[~ready], size[~ready]
             if not len(sym):
                 break
+            at = self._places(sym, seg, rank, np.repeat(best, size))
             sym[at] = self.made[np.searchsorted(self.pair, sym[at] << 32 | sym[at + 1])]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            at = at - np.arange(len(at))  # each earlier word lost one symbol
-            sym, word, rank = sym[keep], word[keep], rank[keep]
+            at = at - np.arange(len(at))  # each place before took one symbol away
+            sym, seg, rank = sym[keep], seg[keep], rank[keep]
             for i in (at, at - 1):  # only pairs beside a merge have changed
                 i = i[i >= 0]
                 ok = np.zeros(len(i), bool)
                 inner = i + 1 < len(sym)
-                ok[inner] = word[i[inner]] == word[i[inner] + 1]
+                ok[inner] = seg[i[inner]] == seg[i[inner] + 1]
                 rank[i] = _NONE
                 i = i[ok]
                 rank[i] = self._ranks(sym[i], sym[i + 1])[0]
-        sym, word = np.concatenate(done_sym or [sym]), np.concatenate(done_word or [word])
-        order = np.argsort(word, kind="stable")
-        return sym[order], np.bincount(word, minlength=len(sizes))
+        sym, seg = np.concatenate(done_sym), np.concatenate(done_seg)
+        order = np.argsort(seg, kind="stable")
+        return sym[order], np.bincount(word_of[seg], minlength=len(sizes))
+
+    def _places(self, sym: np.ndarray, seg: np.ndarray, rank: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """The places of this round: in each segment those of its best rank that do not overlap, from the left, up to the first
+        after which a new neighbour of that rank or a better one stands."""
+        at = np.flatnonzero(rank == best)
+        nth = np.arange(len(at))
+        run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) == 1, 0, nth))
+        at = at[(nth - run) % 2 == 0]  # of places in a row, each takes its right neighbour away
+        made = self.made[np.searchsorted(self.pair, sym[at] << 32 | sym[at + 1])]
+        before = np.where(at > 0, sym[at - 1], -1)
+        joined = np.flatnonzero(np.diff(at, prepend=-9) == 2)
+        before[joined] = made[joined - 1]
+        after = np.minimum(at + 2, len(sym) - 1)
+        left = np.where((at > 0) & (seg[at - 1] == seg[at]), self._ranks(before, made)[0], _NONE)
+        right = np.where((at + 2 < len(sym)) & (seg[after] == seg[at]), self._ranks(made, sym[after])[0], _NONE)
+        stop = np.minimum(left, right) <= best[at]
+        earlier = np.cumsum(stop) - stop
+        own = np.diff(seg[at], prepend=-1) != 0
+        base = np.maximum.accumulate(np.where(own, earlier, 0))
+        return at[earlier == base]
 
     def _learn(self, new: list[str]) -> None:
         """Adds words to the memory."""
         strangers: dict[str, int] = {}
         get = self.symbol.get
-        flat, sizes, long = [], [], []
-        for k, w in enumerate(new):
-            own = [get(c) if c in self.symbol else strangers.setdefault(c, self.stranger + len(strangers)) for c in w]
-            if len(own) > LONG:
-                long.append((k, self._merge_long(own)))
-                own = [self.unknown]
-            flat += own
-            sizes.append(len(own))
+        flat, sizes = [], []
+        for w in new:
+            flat += [get(c) if c in self.symbol else strangers.setdefault(c, self.stranger + len(strangers)) for c in w]
+            sizes.append(len(w))
         sym, left = self.merge(np.array(flat, np.int64), np.array(sizes, np.int64))
         bounds = np.concatenate([[0], np.cumsum(left)])
-        merged = {k: np.array(x, np.int64) for k, x in long}
         back = {v: c for c, v in strangers.items()} | {v: c for c, v in self.symbol.items() if v >= len(self.names)}
         odd = sym >= len(self.names)
         any_odd = np.zeros(len(new), bool)
         any_odd[np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1] = True
         for k, w in enumerate(new):
-            own = merged.get(k, sym[bounds[k] : bounds[k + 1]])
-            if any_odd[k] or k in merged:
+            own = sym[bounds[k] : bounds[k + 1]]
+            if any_odd[k]:
                 out: list[int] = []
                 for s in own.tolist():
                     out += [s] if s < len(self.names) else [self.byte_ids[b] for b in back[s].encode()] if self.fallback else [self.unknown]
