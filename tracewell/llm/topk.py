@@ -9,11 +9,18 @@ after each pack was dealt to all segments. Each meeting returns k rows a query a
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; a query meets vectors
 of its own length only; ids that are null take no part; rows that repeat an id other than the query's are separate
-candidates. Components beyond +-2**31 after scaling raise an error, as scores could leave 64 bits.
+candidates. A component that is no finite number after scaling counts as non-finite. Components of any size are multiplied
+exactly (in integers without bound where 64 bits do not suffice); rows are ranked by scores of up to 38 digits, and scores
+beyond 64 bits are shown as the greatest or least long.
+
+Blocks can only be left out where rows of near ids are alike or differ in length from others: for vectors of random
+directions the sum of term maxima is above every score, and all blocks are scored (see share_scored).
 """
 
 from __future__ import annotations
 
+import decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,14 +30,17 @@ from pyspark.sql import types as T
 from tracewell.llm import tables
 
 
+#: The greatest score of 38 digits.
+MOST = 10**38 - 1
+
+
 def quantized(rows: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(id, v array<long>): floor(scale * x), with x as double; only rows that take part."""
-    x = F.transform(F.col(vector_col), lambda e: e.cast("double"))
+    """(id, v array<double>): floor(scale * x), with x as double; only rows that take part."""
+    x = F.transform(F.col(vector_col), lambda e: e.cast("double") * F.lit(float(scale)))
     fine = F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    within = F.forall("x", lambda e: F.abs(e * scale) <= F.lit(float(1 << 31)))
     shown = rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter(fine)
-    v = F.transform("x", lambda e: F.floor(e * scale).cast("long"))
-    return shown.select("id", F.when(within, v).otherwise(F.raise_error(F.lit("a component is too large")).cast("array<long>")).alias("v"))
+    # the floor of a double as a long is exact below 2**52; a larger one has no fraction
+    return shown.select("id", F.transform("x", lambda e: F.when(F.abs(e) < F.lit(float(1 << 52)), F.floor(e).cast("double")).otherwise(e)).alias("v"))
 
 
 def packed(rows: DataFrame, per: int, parts: int) -> DataFrame:
@@ -46,7 +56,7 @@ def packed(rows: DataFrame, per: int, parts: int) -> DataFrame:
             nonlocal number
             number += 1
             ids = np.array([i for i, _ in items], np.int64)
-            return {"pack": number, "width": width, "ids": ids.tobytes(), "vectors": np.array([v for _, v in items], np.int64).tobytes()}
+            return {"pack": number, "width": width, "ids": ids.tobytes(), "vectors": np.array([v for _, v in items], np.float64).tobytes()}
 
         def send(out):
             return pa.RecordBatch.from_pylist(out, schema=pa.schema([("pack", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
@@ -67,11 +77,24 @@ def packed(rows: DataFrame, per: int, parts: int) -> DataFrame:
     return rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(run, "pack long, width int, ids binary, vectors binary")
 
 
-def block_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int = 64, step: int = 8) -> list[tuple[int, int, int]]:
-    """(query, id, score) of the k best rows for each query, by descending score and then id; a query's own id is left out."""
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(rows).max(initial=0)) * q.shape[1] < 2**53
-    kind = np.float64 if exact else np.int64  # sums below 2**53 are exact in doubles, where products run on BLAS
-    q, rows = q.astype(kind), rows.astype(kind)
+def exact(q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both in a type whose inner products are exact: doubles (products run on BLAS), longs, or Python's integers."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(rows).max(initial=0)) * q.shape[1]
+    if most < 2**53:
+        return q, rows
+    if most < 2**63:
+        return q.astype(np.int64), rows.astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(q), whole(rows)
+
+
+def block_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int = 64, step: int = 8, seen: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(query, id, score) of the k best rows for each query, by descending score and then id; a query's own id is left out.
+
+    q and rows hold whole numbers as doubles. seen, if given, gets the number of blocks scored and that of all.
+    """
+    q, rows = exact(q, rows)
+    kind = q.dtype
     edges = np.arange(0, len(rows), block)
     high, low = np.maximum.reduceat(rows, edges, axis=0), np.minimum.reduceat(rows, edges, axis=0)
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
@@ -81,10 +104,12 @@ def block_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarr
     for n in range(len(q)):
         own, bound = order[n], bounds[n]
         best_s, best_i = np.zeros(0, kind), np.zeros(0, np.int64)
+        scored = 0
         for at in range(0, len(own), step):
             if len(best_s) >= k and bound[own[at]] < best_s[k - 1]:
                 break
             some = own[at : at + step]
+            scored += len(some)
             found_i = np.concatenate([whole[b][1] for b in some])
             found_s = np.concatenate([whole[b][0] for b in some]) @ q[n]
             ok = found_i != q_ids[n]
@@ -96,9 +121,18 @@ def block_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarr
             first = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[first], best_i[first]
         out += [(int(q_ids[n]), int(i), int(s)) for s, i in zip(best_s, best_i, strict=True)]
+        if seen is not None:
+            seen += [scored, len(own)]
     return out
 
 
+def share_scored(q: np.ndarray, rows: np.ndarray, k: int = 5, block: int = 64) -> float:
+    """The share of blocks that the queries q score among rows in this order: what pruning leaves."""
+    seen: list[int] = []
+    block_topk(np.full(len(q), -1), q, np.arange(len(rows)), rows, k, block, 1, seen)
+    return sum(seen[::2]) / max(1, sum(seen[1::2]))
+
+
 def search(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, per_segment: int = 8192, per_pack: int = 512) -> DataFrame:
     """(query_id, rank, id, score): the k highest integer inner products of each query row with all other rows.
 
@@ -119,16 +153,18 @@ def search(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector
             found = []
             for r in batch.to_pylist():
                 width = r["width"]
-                found += block_topk(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], np.int64).reshape(-1, width), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.int64).reshape(-1, width), k)
+                found += block_topk(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"]).reshape(-1, width), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, width), k)
             columns = list(zip(*found, strict=True)) if found else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "id", "score"])
+            score = [decimal.Decimal(min(max(x, -MOST), MOST)) for x in columns[2]]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(score, pa.decimal128(38, 0))], names=["query_id", "id", "score"])
 
     from pyspark.sql import Window
 
-    best = met.mapInArrow(score, "query_id long, id long, score long")
+    best = met.mapInArrow(score, "query_id long, id long, score decimal(38,0)")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     ranked = best.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    shown = F.greatest(F.least(F.col("score"), F.lit((1 << 63) - 1)), F.lit(-(1 << 63))).cast("long")
+    return ranked.select("query_id", "rank", F.col("id").alias(id_col), shown.alias("score"))
 
 
 def op10_topk(spark, sf_dir: str) -> DataFrame:
