@@ -3,7 +3,8 @@
 Trained with follow-the-regularised-leader (FTRL-proximal) under elastic-net penalties, then calibrated by one temperature.
 
 Features: n-grams of 1 to 3 code points of the lower-cased whole text, hashed to 2**16; value = count / n-grams * idf.
-Document frequencies cover every training document; the model is fitted to about per_class documents of each language.
+Document frequencies cover every training document; the model is fitted to about per_class documents of each language, which
+count by their language's share of all, so that the fit does not shift where a table outgrows the sample.
 
 Defined results: a null or empty text, or one without a letter, gets "und" with score 0; without any training
 document every text gets "und". Rows with a null language or id are never learnt from. Repeated rows each get a row.
@@ -105,8 +106,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, size: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal for the multinomial loss. Weights come from the accumulated z and n only when a row touches them."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, size: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, seed: int, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal for the multinomial loss; rows count by the share of their label. Weights come from the accumulated z and n only when a row touches them."""
     z, n = np.zeros((size + 1, classes)), np.zeros((size + 1, classes))
     order = np.random.default_rng(seed)
 
@@ -122,6 +123,8 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, size: int
             w = weights(at)
             g = softmax(x @ w)
             g[label] -= 1.0
+            if share is not None:
+                g *= share[label]
             step = x[:, None] * g[None, :]
             sq = step * step
             z[at] += step - (np.sqrt(n[at] + sq) - np.sqrt(n[at])) / alpha * w
@@ -130,14 +133,14 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, size: int
     return w[:-1], w[-1]
 
 
-def temperature(logits: np.ndarray, truth: np.ndarray) -> float:
+def temperature(logits: np.ndarray, truth: np.ndarray, share: np.ndarray | None = None) -> float:
     """The one divisor of the logits that makes the truth likeliest (golden-section search)."""
     if not len(truth):
         return 1.0
 
     def loss(log_t: float) -> float:
         p = softmax(logits / np.exp(log_t))
-        return -float(np.log(np.maximum(p[np.arange(len(truth)), truth], 1e-12)).mean())
+        return -float(np.average(np.log(np.maximum(p[np.arange(len(truth)), truth], 1e-12)), weights=None if share is None else share[truth]))
 
     low, high, ratio = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
@@ -146,8 +149,9 @@ def temperature(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_class: int = 1500, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 2) -> Model:
-    """Fits to the rows that are given: leave out what must not be learnt. per_class bounds the sample that is fitted to.
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_class: int = 1500, most_rows: int = 60_000, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, epochs: int = 2) -> Model:
+    """Fits to the rows that are given: leave out what must not be learnt. per_class bounds the sample of a language, and most_rows
+    that of all together (the driver's memory), which it shares out evenly among many languages.
 
     Only the sparse features of the sample reach the driver. A fifth of the sample sets the temperature alone.
     """
@@ -156,7 +160,9 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     if not count:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, np.zeros(1 << BITS))
     idf = np.log((1 + count) / (1 + df)).astype(np.float32) + 1
-    sample = tables.class_sample(docs, label_col, id_col, per_class, salt=11)
+    counts = tables.class_counts(docs, label_col)
+    per_class = min(per_class, max(1, most_rows // len(counts)))
+    sample = tables.class_sample(docs, label_col, id_col, per_class, salt=11, counts=counts)
 
     def kernel():
         def work(texts: pa.Array) -> list[pa.Array]:
@@ -177,9 +183,12 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
         rows.append((index, np.frombuffer(v.as_buffer(), np.float32) * idf[index] * _SCALE, labels.index(label)))
     apart = [r for k, r in enumerate(rows) if k % 5 == 4]
     fitted = [r for k, r in enumerate(rows) if k % 5 != 4] or rows
-    weight, bias = ftrl(fitted, len(labels), 1 << BITS, alpha, beta, l1, l2, epochs, seed=7)
+    found = np.bincount([y for *_, y in rows], minlength=len(labels))
+    share = np.array([{str(k): n for k, n in counts.items()}[x] for x in labels]) / np.maximum(found, 1)
+    share = share / np.average(share, weights=found) if len(found) else share
+    weight, bias = ftrl(fitted, len(labels), 1 << BITS, alpha, beta, l1, l2, epochs, seed=7, share=share)
     logits = np.array([x @ weight[i] + bias for i, x, _ in apart]).reshape(len(apart), len(labels))
-    t = temperature(logits, np.array([y for *_, y in apart], int))
+    t = temperature(logits, np.array([y for *_, y in apart], int), share)
     return Model(labels, (weight * idf[:, None] * _SCALE).astype(np.float32), bias, t, idf)
 
 

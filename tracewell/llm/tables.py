@@ -29,10 +29,12 @@ def trainable(doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one in the warehouse of a local session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     return f"{warehouse}/_corpus_scratch"
 
@@ -83,17 +85,18 @@ def if_small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def class_sample(df: DataFrame, label: str, key: str, per_class: int, salt: int) -> DataFrame:
-    """About per_class rows of each label, chosen by a hash of the key; every row of a smaller class.
+def class_counts(df: DataFrame, label: str) -> dict:
+    """Rows of each label, without null: one small count, combined on the map side."""
+    return {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[0] is not None}
 
-    One small count by label (combined on the map side) sets the shares; nothing else is collected.
-    """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+
+def class_sample(df: DataFrame, label: str, key: str, per_class: int, salt: int, counts: dict | None = None) -> DataFrame:
+    """About per_class rows of each label, chosen by a hash of the key; every row of a smaller class."""
+    counts = class_counts(df, label) if counts is None else counts
     unit = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     keep = F.lit(False)
     for value, count in sorted(counts.items(), key=lambda kv: str(kv[0])):
-        if value is not None:
-            keep = keep | ((F.col(label) == F.lit(value)) & (unit < F.lit(min(1.0, per_class / count))))
+        keep = keep | ((F.col(label) == F.lit(value)) & (unit < F.lit(min(1.0, per_class / count))))
     return df.filter(keep)
 
 
@@ -114,8 +117,9 @@ def summed(df: DataFrame, size: int, kernel: Callable[[], Callable[[pa.RecordBat
             add(batch, total[:size])
             seen = True
         if seen:
-            salt = TaskContext.get().partitionId() // fan
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()), pa.array([x.tobytes() for x in total.reshape(blocks, step)], pa.binary())], names=["block", "salt", "data"])
+            salt, every = TaskContext.get().partitionId() // fan, total.reshape(blocks, step)
+            for k in range(0, blocks, 8):  # a few at a time, so that nothing holds the vector twice
+                yield pa.RecordBatch.from_arrays([pa.array(range(k, k + 8), pa.int32()), pa.array([salt] * 8, pa.int32()), pa.array([x.tobytes() for x in every[k : k + 8]], pa.binary())], names=["block", "salt", "data"])
 
     def add_up(group: pa.Table) -> pa.Table:
         total = np.zeros(step, np.int64)
