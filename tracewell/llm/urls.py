@@ -36,9 +36,10 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
-    """The longest rule that fits, and its verdict; null without one. A rule fits its host and all subdomains."""
+    """The longest rule that fits (the first given of equal length), and its verdict; null without one. A rule fits its host
+    and all subdomains."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for rule_host, rule_path, says in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
+    for rule_host, rule_path, says in sorted(reversed(rules), key=lambda r: len(r[0]) + len(r[1])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         name = F.when(fits, F.lit(rule_host + rule_path)).otherwise(name)
         verdict = F.when(fits, F.lit(says)).otherwise(verdict)
@@ -142,10 +143,14 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", i
     if not every["n"]:
         return Trees()
     prior = every["blocked"] / every["n"]
-    known = tables.if_small(counts.select("__suffix", ((F.col("blocked") + F.lit(20 * prior)) / (F.col("n") + 20)).alias("__known")))
+    smooth = lambda blocked, n: (blocked + F.lit(20 * prior)) / (n + 20)
+    known = tables.if_small(counts.select("__suffix", smooth(F.col("blocked"), F.col("n")).alias("__known")))
     model = Trees(suffixes=known, prior=prior)
     sample = tables.class_sample(labelled, label_col, id_col, per_class, salt=23)
-    shown = model.rated(sample.select(F.col(id_col).alias("id"), url.alias("url"), blocked.alias("y"), host_of(url).alias("host"), path_of(url).alias("path")))
+    shown = sample.select(F.col(id_col).alias("id"), url.alias("url"), blocked.alias("y"), host_of(url).alias("host"), path_of(url).alias("path"))
+    # a training URL's suffix rate is counted without itself, so that its own label is not among its features
+    apart = smooth(F.col("blocked") - F.col("y"), F.col("n") - 1)
+    shown = shown.withColumn("__suffix", suffix_of(F.col("host"))).join(tables.if_small(counts), "__suffix").withColumn("__suffix_rate", apart)
     columns = lexical(F.col("url"), F.col("host"), F.col("path"), F.col("__suffix_rate"))
     got = shown.select("id", "y", "host", *[c.alias(n) for n, c in columns.items()]).collect()
     if not got:
