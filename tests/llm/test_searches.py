@@ -99,6 +99,24 @@ def test_every_class_keeps_one_row(spark):
     assert got == sorted([(5, "a"), (5, "b"), (None, "d"), (None, "e"), (7, "g"), (None, "h"), (None, "i"), (8, "j")], key=repr)
 
 
+def test_a_row_without_id_links_its_neighbours(spark):
+    """1 and 2 are below 0.8 of one another; the row without an id between them is within reach of both."""
+    words = [f"w{k}" for k in range(104)]
+    rows = [(1, " ".join(words)), (None, " ".join(words[5:] + [f"x{k}" for k in range(5)])), (2, " ".join(words[11:] + [f"x{k}" for k in range(11)])), (3, "a b c d e f")]
+    check(spark, rows)
+    got = {r["id"]: r["component_id"] for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, None: 1, 2: 1, 3: 3}
+
+
+def test_members_that_many_documents_hold_make_lists(spark, monkeypatch):
+    """Texts made of one passage that all share and little else: their prefixes hold common members."""
+    r = random.Random(12)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, passage + "".join(f" q{r.randrange(400)}" for _ in range(r.randrange(0, 14)))) for k in range(300)]
+    monkeypatch.setattr(jaccard, "TILE", 64)
+    check(spark, rows)
+
+
 def test_components_of_many_edges_and_of_few_agree(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
@@ -117,7 +135,7 @@ def test_prefixes_of_linked_sets_meet():
         drop = int(len(a) * 0.2)
         b = a[drop:]
         if len(b) and 9 * len(b) >= 4 * (len(a) + len(b)):
-            assert set(order.prefix(a).tolist()) & set(order.prefix(b).tolist())
+            assert set(np.concatenate(order.prefix(a)).tolist()) & set(np.concatenate(order.prefix(b)).tolist())
 
 
 def test_signature_bounds_the_difference():
@@ -258,6 +276,76 @@ def test_seeds_find_every_match_within_the_edits():
                 assert label in {s[0] for s in scanner.spans(text) if not s[4]}
 
 
+def test_notices_that_stand_close_together_are_all_found():
+    scanner = licenses.Scanner()
+    for text, label, want in (
+        ("all rights resrved. all rights reserved", "copyright", [1, 0]),
+        ("licensed under the apache licence, version 2.0 and licensed under the apache license, version 2.0", "apache", [1, 0]),
+        ("all rights reservedall rights reserved", "copyright", [0, 0]),
+    ):
+        assert [s[3] for s in sorted(scanner.spans(text), key=lambda s: s[1]) if s[0] == label and not s[4]] == want
+
+
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def ends_within(text: str, notice: str, edits: int) -> list[tuple[int, int]]:
+    """(end, distance) of all places where some substring of text within the edits ends (Sellers' table)."""
+    row, out = list(range(len(notice) + 1)), []
+    for at, c in enumerate(text, 1):
+        last, row = row, [0]
+        for j, y in enumerate(notice, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != y)))
+        if row[-1] <= edits:
+            out.append((at, row[-1]))
+    return out
+
+
+def test_fuzzy_spans_agree_with_brute_force():
+    """Every span has the edits it says, and every approximate match shares half of a span that is as good."""
+    scanner, r = licenses.Scanner(), random.Random(8)
+    for _ in range(60):
+        pieces = []
+        for _ in range(r.randrange(1, 4)):
+            _, notice, edits = r.choice(licenses.NOTICES)
+            chars = list(notice)
+            for _ in range(r.randrange(edits + 2)):
+                k = r.randrange(1, len(chars) - 1)
+                chars[k : k + 1] = r.choice([[], ["q"], [chars[k], "q"]])
+            pieces.append("".join(chars))
+        text = r.choice(["", "zz ", " "]).join(pieces)
+        spans = [s for s in scanner.spans(text) if not s[4]]
+        for label, notice, edits in licenses.NOTICES:
+            own = [s for s in spans if s[0] == label and distance(text[s[1] : s[2]], notice) <= edits]
+            for _, a, b, e, _ in own:
+                assert distance(text[a:b], notice) <= e or any(n != notice and x == label and distance(text[a:b], n) == e for x, n, _ in licenses.NOTICES)
+            for end, far in ends_within(text, notice, edits):
+                assert any(e <= far and min(b, end) - max(a, end - len(notice)) >= len(notice) // 2 - edits for _, a, b, e, _ in own), (text, notice, end, far)
+
+
+def test_license_query_columns_agree_with_brute_force(spark, tmp_path):
+    rows = list(enumerate(TRICKY))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in licenses.op6_license_scan(spark, str(tmp_path)).collect()}
+    scanner = licenses.Scanner()
+    for i, text in rows:
+        n, places = brute_places(text)
+        found = scanner.spans(licenses.lower(text or ""))
+        sure = [1 - e / (b - a + e) for _, a, b, e, _ in found]
+        row = got[i]
+        assert (row["n_words"], row["n_base"]) == (n, len(places))
+        assert (row["first_word"], row["last_word"]) == ((min(w for w, _ in places), max(w for w, _ in places)) if places else (None, None))
+        assert row["base_labels"] == ",".join(sorted({label for _, label in places}))
+        assert row["labels"] == ",".join(sorted({s[0] for s in found}))
+        assert abs(row["score"] - max(sure, default=0.0)) < 1e-12
+
+
 # top-k
 
 
@@ -283,10 +371,30 @@ def test_topk_of_odd_vectors(spark):
     assert topk.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_components_of_any_finite_size_are_exact(spark):
+    rows = [(50, [1e30, 2.0]), (1, [1e30, 1.0]), (2, [3.0, 1e18]), (3, [-1e300, 0.0]), (4, [1e308, 1e308]), (5, [float(1 << 60), 1.0]), (100, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(df, F.col("id") % 50 == 0).collect()}
+    fine = {i: [int(np.floor(256 * x)) if abs(x) < 2**40 else int(256 * x) for x in v] for i, v in rows if np.isfinite(256 * np.array(v)).all()}
+    assert 4 not in fine
+    for q in (50, 100):
+        best = sorted((-sum(a * b for a, b in zip(fine[q], w, strict=True)), i) for i, w in fine.items() if i != q)[:5]
+        for k, (s, i) in enumerate(best):
+            assert got[q, k + 1] == (i, min(max(-s, -(2**63)), 2**63 - 1))
+
+
+def test_only_few_blocks_are_scored_where_rows_of_near_ids_are_alike():
+    r = np.random.default_rng(2)
+    rows = np.floor(np.repeat(r.normal(size=(40, 16)), 64, axis=0) * 256 + r.normal(size=(2560, 16)) * 8)
+    assert topk.share_scored(rows[::97], rows) < 0.3
+    assert topk.share_scored(np.floor(r.normal(size=(8, 64)) * 256), np.floor(r.normal(size=(2048, 64)) * 256)) == 1.0
+
+
 def test_blocks_are_pruned():
     r = np.random.default_rng(1)
-    rows = np.zeros((1024, 8), np.int64)
+    rows, seen = np.zeros((1024, 8)), []
     rows[:64] = r.integers(50, 100, (64, 8))
-    found = topk.block_topk(np.array([-1]), np.full((1, 8), 3), np.arange(1024), rows, 5)
+    found = topk.block_topk(np.array([-1]), np.full((1, 8), 3.0), np.arange(1024), rows, 5, step=1, seen=seen)
+    assert seen == [1, 16]
     want = sorted(((-3 * int(x.sum()), k) for k, x in enumerate(rows)))[:5]
     assert [(i, s) for _, i, s in found] == [(k, -s) for s, k in want]

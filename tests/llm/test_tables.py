@@ -29,6 +29,22 @@ def test_encoding_equals_the_library(spark, odd, empty):
     assert dict(pieces.encode(odd, MODEL).dtypes)["ids"] == "array<int>"
 
 
+def test_long_words_equal_the_library():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        model = pieces.Pieces(f.read())
+    r = random.Random(4)
+    texts = ["x" * n for n in (1, 2, 3, 5, 17, 3000, 100_000)] + ["the" * 5000, "ing" * 1001 + "s", "=-" * 2000, "漢字" * 2000]
+    texts += ["".join(r.choice(a) for _ in range(n)) for a in ("ab", "aaab", "abcdefghijklmnopqrstuvwxyz", "ABCabc019+/") for n in (10, 300, 3000, 20_000)]
+    texts += ["".join(r.choice(["in", "an", "the", "er", "on", "ing", "s", "ss"]) for _ in range(400)) for _ in range(20)]
+    for t in texts:
+        assert model.encode([t])[0].tolist() == library.encode(t, add_eos=True)
+
+
 def test_decoding_any_ids_equals_the_library(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     r = random.Random(3)
