@@ -5,9 +5,10 @@ deterministic coin tossing (the lowest bit in which a symbol differs from the on
 a few labels in a few rounds, and a phrase begins at each local maximum of the labels. The phrases, named by their content,
 are the symbols of the next level. Equal substrings so share all interior phrases on every level, wherever they stand.
 
-The fingerprint keeps, for phrases of the levels that hold about SHORT bytes and about LONG bytes, the smallest hash of
-each of BINS ranges (one-permutation min-hash), 16 bits of each in hex: two sketches whose agreement estimates how alike
-two sets of phrases are. Likeness is that of the long phrases; where both texts have fewer than FEW of these, of both.
+The fingerprint keeps, for phrases of the levels LONG, SHORT and TINY, the smallest hash of each of BINS ranges
+(one-permutation min-hash), 16 bits of each in hex: sketches whose agreement estimates how alike two sets of phrases are. A
+sketch of tiny phrases is kept for texts alone whose short phrases fill fewer than SOME ranges. Likeness is that of the long
+phrases; where both texts have fewer than FEW of these, that of all sketches that both texts have.
 
 Defined results: null counts as empty; an empty text has empty sketches, is like another empty text (1) and unlike any other
 (0). Equal texts have equal fingerprints and likeness 1. Repeated rows each get a row.
@@ -28,8 +29,9 @@ from tracewell.llm import tables
 
 BINS = 64
 LEVELS = 6
-SHORT, LONG = 2, 3  # levels
+TINY, SHORT, LONG = 1, 2, 3  # levels
 FEW = 8
+SOME = 32
 EMPTY = 0xFFFF
 _SALT = np.random.default_rng(99).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -112,14 +114,22 @@ def _sketch(names: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class Sketches:
-    """Of many texts: two sketches and the number of long phrases of each."""
+    """Of many texts: sketches of short, long and tiny phrases."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         levels = parse(data, offsets, LONG)
         self.short, self.long = _sketch(*levels[SHORT - 1]), _sketch(*levels[LONG - 1])
+        self.tiny = np.full_like(self.short, EMPTY)
+        bounds = levels[TINY - 1][1]
+        for k in np.flatnonzero((self.short != EMPTY).sum(axis=1) < SOME):
+            own = levels[TINY - 1][0][bounds[k] : bounds[k + 1]]
+            self.tiny[k] = _sketch(own, np.array([0, len(own)]))[0]
+
+    def at(self, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.short[k], self.long[k], self.tiny[k]
 
     def strings(self) -> list[str]:
-        both = np.concatenate([self.short, self.long], axis=1).astype(">u2")
+        both = np.concatenate([self.short, self.long, self.tiny], axis=1).astype(">u2")
         return [row.tobytes().hex() for row in both]
 
 
@@ -128,20 +138,21 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((a == b) & some).sum(axis=1), some.sum(axis=1)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Of rows of (short, long) sketches: 0 to 1."""
+def likeness(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of rows of (short, long, tiny) sketches: 0 to 1."""
     same, some = _agreement(a[1], b[1])
     few = ((a[1] != EMPTY).sum(axis=1) < FEW) & ((b[1] != EMPTY).sum(axis=1) < FEW)
-    more = _agreement(a[0], b[0])
-    same, some = np.where(few, same + more[0], same), np.where(few, some + more[1], some)
+    fine = few & (a[2] != EMPTY).any(axis=1) & (b[2] != EMPTY).any(axis=1)
+    for k, use in ((0, few), (2, fine)):
+        more = _agreement(a[k], b[k])
+        same, some = same + np.where(use, more[0], 0), some + np.where(use, more[1], 0)
     return np.where(some > 0, same / np.maximum(some, 1), 1.0)
 
 
 def compare(one: str, other: str) -> float:
     """Likeness of two fingerprint strings."""
-    split = lambda s: np.frombuffer(bytes.fromhex(s), ">u2").astype(np.uint16).reshape(1, 2, BINS)
-    a, b = split(one), split(other)
-    return float(likeness((a[:, 0], a[:, 1]), (b[:, 0], b[:, 1]))[0])
+    split = lambda s: tuple(np.frombuffer(bytes.fromhex(s), ">u2").astype(np.uint16).reshape(3, 1, BINS))
+    return float(likeness(split(one), split(other))[0])
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, fingerprint_as: str = "fingerprint") -> DataFrame:
@@ -225,8 +236,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", step
             new = [spliced(texts[k], texts[a] if a >= 0 else "") for k, a in zip(rows, after, strict=True)]
             other = Sketches(*K.flat(pa.array(new, pa.large_string())))
             mine, theirs = np.array(rows, int), np.array(after, int)
-            near_edited = likeness((own.short[mine], own.long[mine]), (other.short, other.long))
-            near_next = np.where(theirs >= 0, likeness((own.short[mine], own.long[mine]), (own.short[theirs], own.long[theirs])), 0.0)
+            near_edited = likeness(own.at(mine), other.at(slice(None)))
+            near_next = np.where(theirs >= 0, likeness(own.at(mine), own.at(theirs)), 0.0)
             strings = own.strings()
             columns = [
                 pa.array([waiting[k][1] for k in rows], pa.int64()), pa.array([len(texts[k]) for k in rows], pa.int64()),
