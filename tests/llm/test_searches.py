@@ -222,6 +222,64 @@ def test_rows_without_ids_and_repeats_have_fingerprints(spark, odd, empty):
     assert fingerprints.edited(empty).count() == 0
 
 
+def brute_level(names: list[int], level: int, first_level: bool) -> list[int]:
+    """One level of the parse of one text, symbol by symbol in Python's integers."""
+    whole = (1 << 64) - 1
+
+    def mix(x: int) -> int:
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & whole
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & whole
+        return x ^ x >> 31
+
+    salt = [int(x) for x in fingerprints._SALT]
+    runs: list[list[int]] = []
+    for x in names:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    symbols = [x for x, _ in runs]
+    named = [mix((mix(x + 1) if first_level else x) ^ (n * salt[8] & whole)) if n > 1 else (mix(x + 1) if first_level else x) for x, n in runs]
+    label = symbols if first_level else named
+    for _ in range(2 if first_level else 3):
+        tossed = []
+        for k, x in enumerate(label):
+            low = 1 if k == 0 else (x ^ label[k - 1]) & -(x ^ label[k - 1])
+            tossed.append(2 * (low.bit_length() - 1) + (x & low != 0))
+        label = tossed
+    starts = [k for k in range(len(named)) if k == 0 or 1 < k < len(named) - 1 and label[k - 1] < label[k] > label[k + 1]]
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(named)] if starts else [], strict=True):
+        total = sum(mix(named[k] + (k - a) * salt[9] & whole) for k in range(a, b)) & whole
+        out.append(mix(total ^ ((b - a) * salt[level] & whole)))
+    return out
+
+
+def test_parse_agrees_with_brute_force():
+    r = random.Random(10)
+    texts = ["", "x", "xy", "aaaa", "abab" * 9, "漢字 é", *("".join(r.choice("abc de") for _ in range(r.randrange(300))) for _ in range(40))]
+    levels = fingerprints.parse(*jaccard.K.flat(pa.array(texts)), levels=3)
+    for k, text in enumerate(texts):
+        names = list(text.encode())
+        for level, (got, bounds) in enumerate(levels):
+            names = brute_level(names, level, level == 0)
+            assert got[bounds[k] : bounds[k + 1]].tolist() == names
+
+
+def test_short_texts_are_told_apart():
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("aeinrstlo") for _ in range(r.randrange(2, 8)))
+    texts = [" ".join(word() for _ in range(r.randrange(12, 30))) for _ in range(300)]
+    new = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:] + texts[:1], strict=True)]
+    a, b = (fingerprints.Sketches(*jaccard.K.flat(pa.array(x))) for x in (texts, new))
+    near_edited = fingerprints.likeness(a.at(slice(None)), b.at(slice(None)))
+    near_next = fingerprints.likeness(a.at(slice(None)), a.at([*range(1, 300), 0]))
+    assert (near_edited > near_next).mean() >= 0.99
+    assert np.quantile(near_edited, 0.05) > 0.1
+
+
 def test_near_is_higher_for_the_edited_text(spark):
     got = fingerprints.op4_fingerprints(spark, SF).filter("n_chars > 300").agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n")).first()
     assert 0.25 < got["e"] < 0.45 and got["n"] < 0.05
