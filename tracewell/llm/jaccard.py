@@ -309,15 +309,17 @@ def forest(node: np.ndarray, n: np.ndarray, signs: list[np.ndarray], same: Calla
     return out
 
 
-def tiles(rows: DataFrame, weight, most: int) -> DataFrame:
-    """rows (group, node, n, ...) with a column tile: groups of up to most in weight have one; the rows of larger groups go to
-    each tile that pairs their part of their size band with a part of the same or the next band."""
+def tiles(rows: DataFrame, weight, most: int, least: int) -> DataFrame:
+    """rows (group, node, n, ...) with a column tile: groups of up to `least` in weight have one; the rows of larger groups go to
+    each tile that pairs their part of their size band with a part of the same or the next band. Parts grow with their group,
+    from half of `least` to half of `most`, so that middling groups are dealt to many tasks and large ones are not sent often."""
     rows = rows.withColumn("weight", weight)
     # one row for each group above `most`, so that rows meet it where they lie and no group's rows land in one task
-    totals = tables.if_small(tables.cut(rows.groupBy("group").agg(F.sum("weight").alias("total")).filter(F.col("total") > most).select("group")))
+    totals = tables.if_small(tables.cut(rows.groupBy("group").agg(F.sum("weight").alias("total")).filter(F.col("total") > least)))
     small = rows.join(totals, "group", "left_anti").withColumn("tile", F.lit(0).cast("long"))
     large = rows.join(totals, "group").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)))
-    bands = tables.cut(large.groupBy("group", "band").agg(F.ceil(F.sum("weight") / (most / 2)).cast("long").alias("parts")))
+    part_size = F.greatest(F.lit(least / 2), F.least(F.lit(most / 2), F.first("total") / 16))
+    bands = tables.cut(large.groupBy("group", "band").agg(F.ceil(F.sum("weight") / part_size).cast("long").alias("parts")))
     few = bands.count() <= 1 << 20
     side = lambda shift, name: (F.broadcast if few else lambda x: x)(bands.select("group", (F.col("band") + shift).alias("band"), F.col("parts").alias(name)))
     large = large.join(side(0, "parts"), ["group", "band"]).join(side(-1, "above"), ["group", "band"], "left").join(side(1, "below"), ["group", "band"], "left")
@@ -441,14 +443,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     differ = F.aggregate(F.zip_with(fold("sa"), fold("sb"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
     pairs = met.filter("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b").filter(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
     lists = tables.cut(met.filter("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("node"), "n").unionByName(common))
-    tiled = tiles(lists, F.lit(1), TILE).join(signs.drop("n"), "node").select("group", "tile", "node", "n", "sign")
+    tiled = tiles(lists, F.lit(1), TILE, TILE // 4).join(signs.drop("n"), "node").select("group", "tile", "node", "n", "sign")
     chained = _by_group(tiled, ["group", "tile"]).mapInArrow(_signature_forest, "a long, b long")
     families = components(pairs.unionByName(chained))
 
     # the text of any document that has a set of a family, with an id or without
     sized = about.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.min("n").alias("n"))
     wanted = tables.cut(families.join(sized, "node").select(F.col("label").alias("group"), "node", "n", "row"))
-    asked = tiles(wanted, F.col("n"), TILE_MEMBERS).select("row", "group", "tile")
+    asked = tiles(wanted, F.col("n"), TILE_MEMBERS, TILE_MEMBERS // 16).select("row", "group", "tile")
     texts = docs.join(asked, "row").select("group", "tile", "row", F.coalesce("text", F.lit("")).alias("text"))
     if about.groupBy("row").count().filter("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["group", "tile", "row"])  # repeated rows have one text
