@@ -215,15 +215,30 @@ ENGINES: dict[str, Engine] = {
 }
 
 
-def detect(facts: DataFrame, known_packages: DataFrame, rules: dict[str, str] | None = None, aliases: tuple[str, ...] = ()) -> DataFrame:
-    """Issues of all engines but those whose rule is off, in the order of engines within a file; a rule's level sets the severity."""
+def register(name: str, engine: Engine) -> None:
+    """Adds an engine, or replaces the one of that name; detect() runs it with the facts."""
+    ENGINES[name] = engine
+
+
+def detect(facts: DataFrame, known_packages: DataFrame, rules: dict[str, str] | None = None, aliases: tuple[str, ...] = (), failed: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Issues of all engines but those whose rule is off, in the order of engines within a file; a rule's level sets the severity.
+
+    If failed is given, an engine that cannot be planned is noted there (name, error) and the others still run.
+    """
     levels = rules or {}
     found = None
     for rank, (name, engine) in enumerate(ENGINES.items()):
         level = levels.get(name)
         if level == "off":
             continue
-        rows = engine(facts, known_packages, aliases) if name == "hallucinated-deps" else engine(facts)
+        try:
+            rows = engine(facts, known_packages, aliases) if name == "hallucinated-deps" else engine(facts)
+            rows.schema  # noqa: B018  plans it
+        except Exception as e:
+            if failed is None:
+                raise
+            failed.append((name, str(e)))
+            continue
         if level:
             rows = rows.withColumn("severity", F.lit("warning" if level == "warn" else level))
         rows = rows.withColumn("engine_rank", F.lit(rank))

@@ -29,6 +29,7 @@ class Reader:
         self.s = Source(text)
         self.rows: list[dict] = []
         self.functions: list[tuple[int, int, str, bool]] = []  # first and last token of the body, name, async
+        self.heads: list[tuple[int, int, int, int, int]] = []  # of each function: name, parameters' first and last, body's first and last token
         self.blocks: list[tuple[int, int, str]] = []  # first, last, kind: try, catch, loop
         self._functions()
         self._blocks()
@@ -97,6 +98,7 @@ class Reader:
             break
         end = s.partner[start] if s.word(start) == "{" and s.partner[start] > 0 else self._expression_end(start)
         self.functions.append((opened - 1, end, name or "(anonymous)", is_async))
+        self.heads.append((k, opened, close, start, end))
         params = s.between(opened, close) if s.word(opened) == "(" else s.word(opened)
         self.rows.append({"kind": "function", "name": name or "(anonymous)", "line": s.line(s.tokens[k].at), "column": s.column(s.tokens[k].at), "end_line": s.line(s.tokens[min(end, len(s.tokens) - 1)].at), "scope": "", "about": {"async": str(is_async).lower(), "params": params, "exported": str(self._exported(k)).lower()}})
 

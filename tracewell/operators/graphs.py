@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by checkpoint() in the shared folder of spark.checkpoint.dir (or in the warehouse, where that is unset)."""
+    """Cuts lineage by checkpoint() in the shared folder of spark.checkpoint.dir; where that is unset, in a local session's warehouse."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 
 
-def closure(start: DataFrame, step, rounds: int = 100) -> DataFrame:
-    """The rows of start and all that step(rows) leads to: semi-naive, each round works on the new rows alone."""
-    known = fresh = cut(start.distinct())
-    for _ in range(rounds):
+def closure(start: DataFrame, step, rounds: int | None = None) -> DataFrame:
+    """The rows of start and all that step(rows) leads to: semi-naive, each round works on the new rows alone.
+
+    A round writes its new rows only; those of the rounds before are read where they lie. It ends when nothing is new, or
+    after `rounds`.
+    """
+    fresh = cut(start.distinct())
+    parts = [fresh]
+    while rounds is None or len(parts) <= rounds:
+        known = reduce(DataFrame.unionByName, parts)
         fresh = cut(step(fresh).distinct().join(known, known.columns, "left_anti"))
         if not fresh.limit(1).count():
-            return known
-        known = cut(known.unionByName(fresh))
-    raise RuntimeError("the closure did not settle")
+            break
+        parts.append(fresh)
+        if len(parts) > 24:  # a long chain: one table again, so that the plan stays short
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+            rounds = rounds and rounds - 24
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reachable(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:

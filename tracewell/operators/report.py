@@ -8,24 +8,23 @@ from pyspark.sql import functions as F
 from tracewell.functions import scalars
 
 
-def count_if(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
 def by_key(issues: DataFrame, key: str) -> DataFrame:
     """Counts by severity, in the report's order: severities by rank, other keys by errors and then by all."""
-    return issues.groupBy(key).agg(
+    counts = issues.groupBy(key).agg(
         F.count("*").alias("total"),
-        count_if(F.col("severity") == "error").alias("errors"),
-        count_if(F.col("severity") == "warning").alias("warnings"),
-        count_if(F.col("severity") == "info").alias("infos"),
+        F.count_if(F.col("severity") == "error").alias("errors"),
+        F.count_if(F.col("severity") == "warning").alias("warnings"),
+        F.count_if(F.col("severity") == "info").alias("infos"),
     )
+    if key == "severity":
+        return counts.orderBy(scalars.lookup(F.col("severity"), {"error": 0, "warning": 1, "info": 2}, 3))
+    return counts.orderBy(F.col("errors").desc(), F.col("total").desc(), key)
 
 
 def per_engine(issues: DataFrame) -> DataFrame:
     return issues.groupBy("engine").agg(
-        count_if(F.col("severity") == "error").alias("criticals"),
-        count_if(F.col("severity") == "warning").alias("warnings"),
+        F.count_if(F.col("severity") == "error").alias("criticals"),
+        F.count_if(F.col("severity") == "warning").alias("warnings"),
         F.countDistinct("file_path").alias("files"),
     )
 
@@ -33,15 +32,15 @@ def per_engine(issues: DataFrame) -> DataFrame:
 def summary_buckets(issues: DataFrame) -> DataFrame:
     conf, severity = scalars.confidence(F.col("confidence")), F.col("severity")
     return issues.agg(
-        count_if((severity == "error") & (conf == "high")).alias("critical"),
-        count_if((severity == "warning") & (conf == "high")).alias("high"),
-        count_if((severity == "warning") & (conf == "medium")).alias("medium"),
-        count_if(conf == "low").alias("low"),
+        F.count_if((severity == "error") & (conf == "high")).alias("critical"),
+        F.count_if((severity == "warning") & (conf == "high")).alias("high"),
+        F.count_if((severity == "warning") & (conf == "medium")).alias("medium"),
+        F.count_if(conf == "low").alias("low"),
     )
 
 
 def final_counts(issues: DataFrame) -> DataFrame:
-    return issues.agg(*[count_if(F.col("severity") == s).alias(f"{s}_count") for s in ("error", "warning", "info")], F.lit(0).cast("long").alias("low_count"), F.count("*").alias("total"))
+    return issues.agg(*[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in ("error", "warning", "info")], F.lit(0).cast("long").alias("low_count"), F.count("*").alias("total"))
 
 
 def top_by_count(issues: DataFrame, key: str, n: int) -> DataFrame:
@@ -96,7 +95,7 @@ def deduplicated(issues: DataFrame, key: Column) -> DataFrame:
 def dedup_stats(groups: DataFrame) -> DataFrame:
     total, unique = F.sum("occurrences"), F.count("*")
     return groups.agg(
-        F.coalesce(total, F.lit(0)).alias("total"), unique.alias("unique_groups"), count_if(F.col("occurrences") > 1).alias("duplicated_groups"),
+        F.coalesce(total, F.lit(0)).alias("total"), unique.alias("unique_groups"), F.count_if(F.col("occurrences") > 1).alias("duplicated_groups"),
         F.when(total > 0, F.floor((total - unique) / total * 100 + 0.5)).otherwise(F.lit(0)).cast("int").alias("reduction_percent"),
     )
 

@@ -266,10 +266,12 @@ def q29(spark, sf_dir):
 
 
 @register("q30_baseline_new", f"""{_WITH}, f AS (SELECT *, {_BASE} AS fingerprint FROM issues) SELECT ord, fingerprint FROM f
-  WHERE ord % 3 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE ord % 3 = 1)""")
+  WHERE ord > (SELECT max(ord) * 2 // 3 FROM f) AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE ord <= (SELECT max(ord) * 2 // 3 FROM f))""")
 def q30(spark, sf_dir):
+    """The last third of the numbers against all before: every issue is on one side."""
     found = issues(spark, sf_dir).withColumn("fingerprint", _keys()[2])
-    return report.new_against(found.filter("ord % 3 = 0"), found.filter("ord % 3 = 1")).select("ord", "fingerprint")
+    last = F.lit(table(spark, sf_dir, "events").agg(F.expr("max(event_id) * 2 div 3").alias("at")).first()["at"])
+    return report.new_against(found.filter(F.col("ord") > last), found.filter(F.col("ord") <= last)).select("ord", "fingerprint")
 
 
 @register("q31_first_per_key", f"{_WITH} SELECT engine, min(ord) AS ord, arg_min(message, ord) AS message FROM issues GROUP BY 1")
@@ -321,9 +323,11 @@ def q35(spark, sf_dir):
 @register("q36_suppression", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), n AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)
   SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (regexp_matches(lines[i], '(?i)licen[cs]ed?') OR (i > 1 AND regexp_matches(lines[i - 1], '(?i)copyright'))) AS BIGINT) AS suppressed FROM n GROUP BY 1""")
 def q36(spark, sf_dir):
-    lines = F.split("text", "\n", -1)
-    hit = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike("(?i)licen[cs]ed?") | ((i > 1) & F.element_at(lines, F.greatest(i - 1, F.lit(1))).rlike("(?i)copyright")))
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(hit).cast("long").alias("suppressed"))
+    from tracewell.functions.snippets import with_previous
+
+    pairs = with_previous(F.col("text"))
+    hit = F.filter(pairs, lambda p: p["line"].rlike("(?i)licen[cs]ed?") | F.coalesce(p["previous"].rlike("(?i)copyright"), F.lit(False)))
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.size(pairs).cast("long").alias("lines"), F.size(hit).cast("long").alias("suppressed"))
 
 
 @register("q37_context_snippet", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, doc_id % 4 + 1 AS line FROM documents), s AS (SELECT doc_id, lines, line, greatest(1, line - 2) AS a, least(len(lines), line + 2) AS b FROM l WHERE line <= len(lines))
@@ -352,10 +356,9 @@ _SPACES = (("web", "/srv/app/src/a"), ("api", "/srv/app/src/api"), ("dist", "/sr
 
 @register("q39_workspace_prefix", f"{_WITH} SELECT ord, CASE " + " ".join(f"WHEN starts_with(file_path, '{p}') THEN '{n}'" for n, p in _SPACES) + " END AS workspace FROM issues")
 def q39(spark, sf_dir):
-    name = F.lit(None).cast("string")
-    for label, prefix in reversed(_SPACES):
-        name = F.when(F.col("file_path").startswith(prefix), label).otherwise(name)
-    return issues(spark, sf_dir).select("ord", name.alias("workspace"))
+    from tracewell.sources.projects import workspace_of
+
+    return issues(spark, sf_dir).select("ord", workspace_of(F.col("file_path"), list(_SPACES)).alias("workspace"))
 
 
 @register("q40_import_resolution", r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"#?]*)"', 1)) AS spec FROM pages),
@@ -378,11 +381,13 @@ _EDGES = """n AS (SELECT count(*) AS n FROM supplier), edges AS (
   SELECT s_suppkey, 1, (5 * s_suppkey) % n + 1 FROM supplier, n)"""
 
 
-@register("q41_reverse_closure", f"""WITH RECURSIVE {_EDGES}, r AS (SELECT s_suppkey AS start, s_suppkey AS node FROM supplier WHERE s_suppkey % 20 = 1
-  UNION SELECT r.start, e.caller FROM r JOIN edges e ON r.node = e.callee) SELECT start, node FROM r""")
+@register("q41_reverse_closure", f"""WITH RECURSIVE {_EDGES}, r AS (SELECT s_suppkey AS start, s_suppkey AS node FROM supplier
+  UNION SELECT r.start, e.caller FROM r JOIN edges e ON r.node = e.callee) SELECT start, count(*) AS reached, min(node) AS least, max(node) AS greatest FROM r GROUP BY start""")
 def q41(spark, sf_dir):
-    start = table(spark, sf_dir, "supplier").filter("s_suppkey % 20 = 1").select(F.col("s_suppkey").alias("start"), F.col("s_suppkey").alias("node"))
-    return graphs.reachable(call_edges(spark, sf_dir), start, "callee", "caller")
+    """What every function is reached from, counted."""
+    start = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("start"), F.col("s_suppkey").alias("node"))
+    found = graphs.reachable(call_edges(spark, sf_dir), start, "callee", "caller")
+    return found.groupBy("start").agg(F.count("*").alias("reached"), F.min("node").alias("least"), F.max("node").alias("greatest"))
 
 
 @register("q42_hierarchy", """WITH RECURSIVE h AS (SELECT s_suppkey AS class_id, s_suppkey AS ancestor, 0 AS depth FROM supplier
@@ -503,7 +508,7 @@ def q50(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(start.alias("window_ms")).agg(F.count("*").alias("findings"), F.countDistinct("event_type").alias("phases"), F.max("event_id").alias("last_event"))
 
 
-# the whole tables of q30 and q41, whose SQL takes parts
+# splits and starts over whole tables
 
 
 @register("q60_baseline_new_by_date", f"""{_WITH}, f AS (SELECT *, {_BASE} AS fingerprint FROM issues), c AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS middle FROM events),
