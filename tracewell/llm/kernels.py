@@ -20,7 +20,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 #: Bytes of text worked on at once; a longer document is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -57,6 +57,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def parts(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that what a kernel makes on the way stays small beside the batch itself."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 Kernel = Callable[[pa.Array], list[pa.Array]]
 
 
@@ -75,7 +81,8 @@ def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], kerne
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = kernel()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *work(batch.column(n))], names=names)
+            for part in parts(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *work(part.column(n))], names=names)
 
     return shown.mapInArrow(run, schema)
 
@@ -114,7 +121,8 @@ def summed(df: DataFrame, size: int, kernel: Callable[[], Callable[[pa.RecordBat
 
         add, total, seen = kernel(), np.zeros(step * blocks, np.int64), False
         for batch in batches:
-            add(batch, total[:size])
+            for part in parts(batch):
+                add(part, total[:size])
             seen = True
         if seen:
             salt, every = TaskContext.get().partitionId() // fan, total.reshape(blocks, step)
