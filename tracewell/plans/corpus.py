@@ -178,7 +178,7 @@ def q64(spark, sf_dir):
 
 _CODE_FLOWS = f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), p AS (
   SELECT s_suppkey AS start, s_suppkey AS node, 1 AS depth, [s_suppkey] AS trail FROM supplier WHERE s_suppkey % 20 = 1
-  UNION ALL SELECT start, (7 * node + 3) % n + 1, depth + 1, list_append(trail, (7 * node + 3) % n + 1) FROM p, n WHERE depth < {DEEP} AND NOT list_contains(trail, (7 * node + 3) % n + 1))
+  UNION ALL SELECT start, (7 * node + 3) % n + 1, depth + 1, list_append(trail, (7 * node + 3) % n + 1) FROM p, n WHERE depth < {DEEP} AND NOT list_contains(trail, (7 * node + 3) % n + 1) AND (7 * node + 3) % n + 1 IN (SELECT s_suppkey FROM supplier))
   SELECT 'src/flow/s' || start || '.ts#h' || start AS source_fn, 'req-body' AS source_kind, {_F.format("node")} AS sink_fn, 'db-query' AS sink_kind, 3 AS line, depth, false AS sanitized, depth - 1 AS hops, depth AS files
   FROM p WHERE node % 11 = 0"""
 
@@ -191,7 +191,7 @@ def q65(spark, sf_dir):
 
 
 @register("q66_code_links", """SELECT 'src/flow/s' || s_suppkey || '.ts' AS path, 'f' || s_suppkey AS fn, 'src/flow/s' || ((7 * s_suppkey + 3) % n + 1) || '.ts#f' || ((7 * s_suppkey + 3) % n + 1) AS callee_fn
-  FROM supplier, (SELECT count(*) AS n FROM supplier) UNION ALL SELECT 'src/flow/s' || s_suppkey || '.ts', 'h' || s_suppkey, 'src/flow/s' || s_suppkey || '.ts#f' || s_suppkey FROM supplier WHERE s_suppkey % 20 = 1""")
+  FROM supplier, (SELECT count(*) AS n FROM supplier) WHERE (7 * s_suppkey + 3) % n + 1 IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'src/flow/s' || s_suppkey || '.ts', 'h' || s_suppkey, 'src/flow/s' || s_suppkey || '.ts#f' || s_suppkey FROM supplier WHERE s_suppkey % 20 = 1""")
 def q66(spark, sf_dir):
     """Calls resolved through imports and exports."""
     share_code(spark)
