@@ -21,7 +21,6 @@ BUILTINS = (
     "repl", "stream", "string_decoder", "sys", "timers", "tls", "trace_events", "tty", "url", "util", "v8", "vm", "wasi", "worker_threads", "zlib",
     "test", "sea", "sqlite", "bun",
 )
-POPULAR = ("express", "react", "lodash", "axios", "typescript", "webpack", "eslint", "jest", "mocha", "chalk", "commander", "dotenv", "moment", "mongoose", "next", "vue", "rxjs", "uuid", "winston", "zod")
 ASYNC_APIS = (
     ("fetch", "high"), ("axios", "high"), ("axios.get", "high"), ("axios.post", "high"), ("axios.put", "high"), ("axios.delete", "high"),
     ("fs.promises.readFile", "high"), ("fs.promises.writeFile", "high"), ("fsPromises.readFile", "high"), ("fsPromises.writeFile", "high"),
@@ -56,8 +55,8 @@ def _last(name: str = "name") -> Column:
     return F.element_at(F.split(F.col(name), r"\."), -1)
 
 
-def hallucinated_deps(facts: DataFrame, known: DataFrame, aliases: tuple[str, ...] = ()) -> DataFrame:
-    """Imports of packages that known(name) has not; a popular package at a small distance is named as what was meant."""
+def checked_imports(facts: DataFrame, aliases: tuple[str, ...] = ()) -> DataFrame:
+    """Imports of packages that must exist (with package): no types, nothing guarded, relative, aliased or built in."""
     spec = F.col("name")
     local = spec.startswith(".") | spec.startswith("/")
     alias = spec.rlike(r"^(@/|~/|#|virtual:|https?://|src/|lib/|app/)") | spec.contains("?")
@@ -66,11 +65,20 @@ def hallucinated_deps(facts: DataFrame, known: DataFrame, aliases: tuple[str, ..
     package = names.package_of(spec)
     builtin = spec.startswith("node:") | spec.startswith("bun:") | package.isin(*BUILTINS)
     found = of_kind(facts, "import").filter(~is_told("type_only") & ~is_told("guarded") & (F.length(spec) > 0) & ~local & ~alias & ~builtin)
-    missing = found.withColumn("package", package).join(known.select(F.col("name").alias("package")).distinct(), "package", "left_anti")
-    near = missing.withColumn("near", names.nearest(F.col("package"), POPULAR))
-    squat = ~F.col("package").startswith("@") & ~F.col("package").isin(*POPULAR) & (F.col("near.distance") <= names.allowed_distance(F.col("package"), F.col("near.nearest")))
-    message = F.when(squat, F.concat(F.lit("Package '"), F.col("package"), F.lit("' is not installed; did you mean '"), F.col("near.nearest"), F.lit("'?"))).otherwise(F.concat(F.lit("Package '"), F.col("package"), F.lit("' is not installed")))
-    return _issues(near, "hallucinated-deps", "error", "high", message, "Add the package to the manifest or remove the import")
+    return found.withColumn("package", package)
+
+
+def hallucinated_deps(facts: DataFrame, known: DataFrame, aliases: tuple[str, ...] = ()) -> DataFrame:
+    """Imports of packages that known has not; a name that passes itself off as a popular package's is said to.
+
+    known(name) holds what any file may import, known(path, name) what each may (see projects.importable).
+    """
+    found = checked_imports(facts, aliases)
+    keys = ["path", "package"] if "path" in known.columns else ["package"]
+    missing = found.join(known.withColumnRenamed("name", "package").select(*keys).distinct(), keys, "left_anti")
+    squat = missing.withColumn("squat", names.typosquat(F.col("package")))
+    message = F.when(F.col("squat").isNotNull(), F.concat(F.lit("Package '"), F.col("package"), F.lit("' is not installed; did you mean '"), F.col("squat.target"), F.lit("'?"))).otherwise(F.concat(F.lit("Package '"), F.col("package"), F.lit("' is not installed")))
+    return _issues(squat, "hallucinated-deps", "error", F.coalesce("squat.confidence", F.lit("high")), message, "Add the package to the manifest or remove the import")
 
 
 def stack_trace_exposure(facts: DataFrame) -> DataFrame:

@@ -3,13 +3,13 @@
 One row for each binding: (path, fn, kind, line, ix, arg, target, callee, uses). fn is the function's name, or its place if it
 has none; the top of a file is "". Kinds:
 
-- param: target is the parameter's name, arg its number;
+- param: target is the parameter's name, arg its number, callee its decorator ("@Body"), if it has one;
 - assign: target gets what uses hold;
 - return: the function's result is made of uses;
 - call: the call number ix of callee; target is the name that its result is given at once, if any;
 - arg: argument number arg of the call ix; arg -1 is the object that a method is called on.
 
-uses are dotted names ("req.body.id"), and "@7" for the result of call number 7.
+uses are dotted names ("req.body.id"), "@7" for the result of call number 7, and "=>f" for the function f as a value.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ class Flows(Reader):
         super().__init__(text)
         self.body_at = {start: end for _, _, _, start, end in self.heads}
         self.head_at = {opened: end for _, opened, _, _, end in self.heads}
+        self.made_at = {opened: self.name_of(k, j) for j, (k, opened, _, _, _) in enumerate(self.heads)}
         self.owners = [(opened - 1, end, self.name_of(k, j)) for j, (k, opened, _, _, end) in enumerate(self.heads)]
         self.out: list[dict] = []
 
@@ -64,10 +65,11 @@ class Flows(Reader):
         s = self.s
         for j, (k, opened, close, start, end) in enumerate(self.heads):
             name = self.name_of(k, j)
-            names = [s.word(opened)] if s.word(opened) != "(" else [self._bound(a, b) for a, b in self._split(opened + 1, close)]
-            for n, p in enumerate(names):
-                for one in p if isinstance(p, list) else [p]:
-                    self.row(k, "param", fn=name, target=one, arg=n)
+            ranges = [(opened, opened + 1)] if s.word(opened) != "(" else self._split(opened + 1, close)
+            for n, (a, b) in enumerate(ranges):
+                mark = f"@{s.word(a + 1)}" if s.word(a) == "@" else None
+                for one in self._bound(a, b):
+                    self.row(k, "param", fn=name, target=one, arg=n, callee=mark)
             if s.word(start) != "{":
                 self.row(start, "return", fn=name, uses=self.uses(start, end + 1))
         for k, t in enumerate(s.tokens):
@@ -178,6 +180,7 @@ class Flows(Reader):
         s, out, i = self.s, [], a
         while i < b:
             if i in self.head_at and self.head_at[i] < len(s.tokens):  # a function given as a value is its own scope
+                out.append(f"=>{self.made_at[i]}")
                 i = self.head_at[i] + 1
             elif s.kind(i) == "template":
                 for inner in _IN_TEMPLATE.findall(s.word(i)):

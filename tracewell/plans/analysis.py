@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import posixpath
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +28,14 @@ def analyze(spark: SparkSession, root: str, config: projects.Config | None = Non
     texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{package.json,bun.lock,package-lock.json,yarn.lock,pnpm-lock.yaml}").load(root)
     manifests = texts.select(F.regexp_replace("path", "^file:", "").alias("path"), F.decode("content", "UTF-8").alias("content")).filter(~F.col("path").contains("/node_modules/"))
     read = graphs.cut(facts.extract(files))
-    detected = engines.created(engines.detect(read, projects.known_packages(manifests), config.rules), files)
+    tops = spark.read.format("binaryFile").option("pathGlobFilter", "tsconfig*.json").load(root).select("path", F.decode("content", "UTF-8").alias("content")).collect()  # of the top folder: a few
+    prefixes = tuple(sorted(projects.aliases({posixpath.basename(r["path"]): r["content"] for r in tops})))
+    modules = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "package.json").load(root).select(F.regexp_replace("path", "^file:", "").alias("path"))
+    known = projects.importable(engines.checked_imports(read, prefixes), manifests, projects.installed(modules))
+    failed: list[tuple[str, str]] = []
+    detected = engines.created(engines.detect(read, known, config.rules, prefixes, failed), files)
+    for name, why in failed:
+        logging.getLogger("tracewell").warning("engine %s left out: %s", name, why)
     found = graphs.cut(issues_of(detected))
     return triage.triaged(found, config.confidence_threshold).orderBy(F.coalesce("risk_score", F.lit(0)).desc(), "ord")
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tracewell.detect import engines
 from tracewell.extract import bindings, cfg, facts
+from tracewell.functions import names
 from tracewell.operators import graphs
 from tracewell.plans.catalog import register
 from tracewell.plans.findings import _EDGES, DEEP
 from tracewell.session import share_code
+from tracewell.sources import projects
 from tracewell.sources.issues import call_edges, table
 from tracewell.taint import dataflow, flows, resolve, summaries
 
@@ -268,3 +270,62 @@ def q71(spark, sf_dir):
     """Taint inside functions along control flow: overwritten, refined and sanitized values do not count as raw."""
     share_code(spark)
     return dataflow.tainted(cfg.extract(body_files(spark, sf_dir))).select("path", "fn", "sink_kind", "origin", "sanitized")
+
+
+# names and packages
+
+#: Ways to misspell a popular name by its number: the name itself, one letter less, the last letter twice, other separators, scoped.
+_SPELL = "CASE c_custkey % 5 WHEN 0 THEN p WHEN 1 THEN left(p, length(p) - 1) WHEN 2 THEN p || right(p, 1) WHEN 3 THEN replace(p, '-', '_') ELSE '@x/' || p END"
+_POPULAR = f"(SELECT unnest([{', '.join(repr(p) for p in names.POPULAR)}]) AS p, unnest(range(0, {len(names.POPULAR)})) AS o)"
+
+
+@register("q72_typosquat", f"""WITH pop AS {_POPULAR}, atk AS (SELECT * FROM {values(list(names.ATTACKS), "bad, good")}),
+  n AS (SELECT c_custkey AS number, {_SPELL} AS name FROM customer JOIN pop ON o = c_custkey % {len(names.POPULAR)}),
+  d AS (SELECT number, name, p, o, levenshtein(name, p) AS distance FROM n, pop WHERE levenshtein(name, p) > 0),
+  b AS (SELECT number, name, arg_min(p, distance * 1000 + o) AS near, min(distance) AS distance FROM d GROUP BY ALL),
+  k AS (SELECT b.*, atk.good, (SELECT arg_min(p, o) FROM pop WHERE replace(p, '_', '-') = replace(name, '_', '-')) AS same,
+    greatest(1, least(2, CAST(floor(0.2::DOUBLE * least(length(name), length(near))) AS INTEGER))) AS most FROM b LEFT JOIN atk ON bad = name),
+  v AS (SELECT *, CASE WHEN name LIKE '@%' OR name IN (SELECT p FROM pop) THEN 0 WHEN good IS NOT NULL THEN 1 WHEN same IS NOT NULL THEN 2 WHEN distance <= most OR (most >= 2 AND distance = most + 1) THEN 3 ELSE 0 END AS way FROM k)
+  SELECT number, name, CASE way WHEN 1 THEN good WHEN 2 THEN same ELSE near END AS target, CAST(CASE WHEN way = 3 THEN distance ELSE 1 END AS INTEGER) AS distance,
+    CASE WHEN way < 3 OR distance = 1 THEN 'high' ELSE 'medium' END AS confidence FROM v WHERE way > 0""")
+def q72(spark, sf_dir):
+    """Misspelt popular names, judged as the detector of imports does."""
+    n = F.col("c_custkey")
+    p = F.element_at(F.array(*[F.lit(x) for x in names.POPULAR]), (n % len(names.POPULAR) + 1).cast("int"))
+    customers = table(spark, sf_dir, "customer").select(n.alias("c_custkey"), p.alias("p"))
+    spelt = customers.select(n.alias("number"), F.expr(_SPELL).alias("name"))
+    return spelt.withColumn("found", names.typosquat(F.col("name"))).filter("found IS NOT NULL").select("number", "name", "found.target", "found.distance", "found.confidence")
+
+
+@register("q73_importable", """WITH i AS (SELECT c_custkey AS n, 'repo/packages/p' || c_custkey % 7 || '/src/f' || c_custkey || '.ts' AS path, 'lib' || c_custkey % 40 AS package FROM customer)
+  SELECT path, package FROM i WHERE NOT (
+    CAST(substr(package, 4) AS INTEGER) % 7 = n % 7 OR CAST(substr(package, 4) AS INTEGER) < 3 OR CAST(substr(package, 4) AS INTEGER) BETWEEN 10 AND 12
+    OR CAST(substr(package, 4) AS INTEGER) IN (20, 21) OR (CAST(substr(package, 4) AS INTEGER) = 30 AND n % 7 = 5))""")
+def q73(spark, sf_dir):
+    """Imports that no manifest, workspace, lockfile or installed package of their file explains.
+
+    Package p of seven declares lib k where k mod 7 is p; the top declares lib0 to lib2, its workspace w declares
+    lib10 to lib12, the lockfile holds lib20 and lib21, and lib30 is installed below p5.
+    """
+    n = F.col("c_custkey")
+    number = n.cast("string")
+    imports = table(spark, sf_dir, "customer").select(F.concat(F.lit("repo/packages/p"), (n % 7).cast("string"), F.lit("/src/f"), number, F.lit(".ts")).alias("path"), F.concat(F.lit("lib"), (n % 40).cast("string")).alias("package"))
+    manifest = lambda name, libs, more="": f'{{"name": "{name}", "dependencies": {{{", ".join(f"{chr(34)}lib{k}{chr(34)}: {chr(34)}1{chr(34)}" for k in libs)}}}{more}}}'
+    rows = [("repo/package.json", manifest("top", range(3))), ("repo/package-lock.json", '{"packages": {"node_modules/lib20": {}, "node_modules/lib21": {}}}')]
+    rows += [(f"repo/packages/p{p}/package.json", manifest(f"p{p}", [k for k in range(40) if k % 7 == p])) for p in range(7)]
+    rows += [("repo/spaces/w/package.json", manifest("w", (10, 11, 12)))]
+    rows[0] = ("repo/package.json", manifest("top", range(3), ', "workspaces": ["spaces/*"]'))
+    files = spark.createDataFrame(rows, "path string, content string")
+    modules = projects.installed(spark.createDataFrame([("repo/packages/p5/node_modules/lib30/package.json",)], "path string"))
+    good = projects.importable(imports, files, modules).withColumnRenamed("name", "package")
+    return imports.join(good, ["path", "package"], "left_anti")
+
+
+@register("q74_functions_by_summary", f"""SELECT what, count(*) AS functions FROM (SELECT {_F.format("s_suppkey")} AS fn, CASE WHEN s_suppkey % 11 = 0 AND s_suppkey % 5 = 0 THEN 'both' WHEN s_suppkey % 11 = 0 THEN 'sink' WHEN s_suppkey % 5 = 0 THEN 'transfer' ELSE 'neither' END AS what FROM supplier) GROUP BY what""")
+def q74(spark, sf_dir):
+    """Functions by what their summaries hold."""
+    s = code_summaries(spark, sf_dir)
+    of = lambda rows, name: rows.select("fn").distinct().withColumn(name, F.lit(True))
+    met = s.functions.filter(F.regexp_extract("fn", "#(.)", 1) == "f").join(of(s.transfers, "t"), "fn", "left").join(of(s.hits.filter("input.kind = 'param'"), "h"), "fn", "left")
+    what = F.when(F.col("t") & F.col("h"), "both").when(F.col("h"), "sink").when(F.col("t"), "transfer").otherwise("neither")
+    return met.select(what.alias("what")).groupBy("what").agg(F.count("*").alias("functions"))

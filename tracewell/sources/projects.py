@@ -92,7 +92,8 @@ def workspaces(read: DataFrame) -> DataFrame:
     quoted = F.regexp_replace(F.regexp_replace("pattern", r"^\./|/$", ""), r"([.+^$(){}|\[\]])", r"\\$1")
     fits = lambda text, pattern: F.call_function("rlike", text, pattern)  # noqa: E731  the pattern is a column
     shape = F.concat(F.lit("^"), F.replace(F.replace(F.replace(quoted, F.lit("**"), F.lit("\u0001")), F.lit("*"), F.lit("[^/]*")), F.lit("\u0001"), F.lit(".*")), F.lit("$"))
-    return member.join(F.broadcast(root), relative.isNotNull() & fits(relative, shape)).select("name", "dir").distinct()  # patterns of a project: a few
+    few = root.count() <= 1 << 14  # patterns of a project: a few; the join is by their shape, so many would be slow as well
+    return member.join(F.broadcast(root) if few else root, relative.isNotNull() & fits(relative, shape)).select("name", "dir").distinct()
 
 
 def locked_packages(files: DataFrame) -> DataFrame:
@@ -116,6 +117,40 @@ def known_packages(files: DataFrame) -> DataFrame:
     return own.unionByName(dependencies(read).select("name")).unionByName(locked_packages(files)).filter("name IS NOT NULL").distinct()
 
 
+def installed(paths: DataFrame) -> DataFrame:
+    """(dir, name) of packages below node_modules folders, from the paths of their manifests."""
+    shape = r"^(.*?)/?node_modules/((?:@[^/]+/)?[^/]+)/package\.json$"
+    return paths.filter(F.col("path").rlike(shape)).select(F.regexp_extract("path", shape, 1).alias("dir"), F.regexp_extract("path", shape, 2).alias("name")).distinct()
+
+
+def ancestors(path: Column) -> Column:
+    """The folders that a file lies in, the nearest first; "" is the top of a relative path."""
+    parts = F.split(path, "/")
+    return F.transform(F.reverse(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def importable(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """(path, name) of imports(path, package) that exist for their file: a package that one of the folders above declares or
+    is, a workspace or what any workspace declares, what the top declares or the lockfile holds, or an installed one above.
+
+    files: manifests and lockfiles (path, content); modules: installed(...). Each way is a semi-join on names; only the ways
+    by folder look at the folders of the imports' files.
+    """
+    wanted = imports.select("path", "package").distinct()
+    read = manifests(files)
+    top = F.min_by("dir", F.struct(F.length("dir"), F.col("dir")))
+    declared = dependencies(read).select("dir", "name")
+    named = read.select("dir", F.col("manifest.name").alias("name")).filter("name IS NOT NULL")
+    near = declared.unionByName(named)
+    near = near.unionByName(modules.select("dir", "name")) if modules is not None else near
+    above = wanted.select("path", "package", F.explode(ancestors(F.col("path"))).alias("dir"))
+    by_folder = above.join(near.withColumnRenamed("name", "package").distinct(), ["dir", "package"], "left_semi").select("path", "package")
+    spaces = workspaces(read)
+    everywhere = spaces.select("name").unionByName(declared.join(spaces.select("dir").distinct(), "dir", "left_semi").select("name")).unionByName(declared.join(read.agg(top.alias("dir")), "dir", "left_semi").select("name")).unionByName(locked_packages(files))
+    by_name = wanted.join(everywhere.withColumnRenamed("name", "package").distinct(), "package", "left_semi").select("path", "package")
+    return by_folder.unionByName(by_name).distinct().withColumnRenamed("package", "name")
+
+
 def workspace_of(path: Column, spaces: list[tuple[str, str]], whole_segments: bool = False) -> Column:
     """The first workspace (name, dir) whose directory the path starts with, as plain text or by whole segments."""
     out = F.lit(None).cast("string")
@@ -158,7 +193,7 @@ def resolved(imports: DataFrame, files: DataFrame, prefixes: dict[str, str] | No
     """
     spec = F.col("name")
     base = F.when(spec.startswith("."), F.concat(F.regexp_replace("path", r"[^/]*$", ""), spec)).when(spec.startswith("/"), spec)
-    for prefix, folder in (prefixes or {}).items():
+    for prefix, folder in reversed((prefixes or {}).items()):  # the first alias that fits wins
         base = F.when(spec.startswith(prefix), F.concat(F.lit(folder), F.expr(f"substr(name, {len(prefix) + 1})"))).otherwise(base)
     tries = [*[f".{e}" for e in EXTENSIONS], *[f"/index.{e}" for e in EXTENSIONS], ""]
     options = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(t).alias("tail")) for o, t in enumerate(tries)])

@@ -42,6 +42,15 @@ SANITIZERS = (
 MATH = r"^Math\.(abs|ceil|floor|round|trunc|max|min|pow|sqrt|log|sign|random)$"
 
 
+def called(callee: Column, names: tuple[str, ...]) -> Column:
+    """Whether a callee is one of the names; one that begins with "*." fits a method of any object."""
+    plain, wide = [n for n in names if not n.startswith("*.")], [n for n in names if n.startswith("*.")]
+    out = callee.isin(*plain) if plain else F.lit(False)
+    for n in wide:
+        out = out | callee.endswith(n[1:])
+    return out
+
+
 @dataclass
 class Catalogue:
     """Names that sources, sinks and sanitizers go by; rule files and framework models add to them."""
@@ -49,8 +58,10 @@ class Catalogue:
     sources: list[tuple[str, str]] = field(default_factory=lambda: list(SOURCES))
     sinks: list[tuple[str, tuple[str, ...]]] = field(default_factory=lambda: list(SINKS))
     sanitizers: list[tuple[str, tuple[str, ...]]] = field(default_factory=lambda: list(SANITIZERS))
-    #: kind and arguments that matter of sinks that take only some; without an entry all do
+    #: the arguments that matter, of sinks that take only some; without an entry all do
     arguments: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    #: what a decorated parameter is a source of
+    decorators: dict[str, str] = field(default_factory=lambda: {"Body": "req-body", "Param": "req-params", "Query": "req-query", "Headers": "req-headers"})
 
     def source_kind(self, use: Column) -> Column:
         """The source that a dotted name reads, or null."""
@@ -62,19 +73,19 @@ class Catalogue:
     def sink_kind(self, callee: Column) -> Column:
         out = F.lit(None).cast("string")
         for kind, names in reversed(self.sinks):
-            out = F.when(callee.isin(*names), kind).otherwise(out)
+            out = F.when(called(callee, names), kind).otherwise(out)
         return out
 
     def sanitizer_kind(self, callee: Column) -> Column:
         out = F.when(callee.rlike(MATH), "numeric-cast")
         for kind, names in reversed(self.sanitizers):
-            out = F.when(callee.isin(*names), kind).otherwise(out)
+            out = F.when(called(callee, names), kind).otherwise(out)
         return out
 
     def takes(self, callee: Column, arg: Column) -> Column:
         out = F.lit(True)
         for name, which in self.arguments.items():
-            out = F.when(callee == name, arg.isin(*which)).otherwise(out)
+            out = F.when(called(callee, (name,)), arg.isin(*which)).otherwise(out)
         return out
 
 
@@ -110,10 +121,14 @@ def starts(bindings: DataFrame, links: DataFrame, names: Catalogue) -> DataFrame
     b = bindings.withColumn("id", fn_id(F.col("path"), F.col("fn")))
     none = F.lit(None).cast("int")
     params = b.filter("kind = 'param'").select(F.col("id").alias("fn"), F.lit("param").alias("kind"), F.col("arg").alias("param"), F.col("target").alias("label"), F.col("target").alias("node"))
+    decorated = F.lit(None).cast("string")
+    for name, kind in names.decorators.items():
+        decorated = F.when(F.col("callee") == "@" + name, kind).otherwise(decorated)
+    handed = b.filter("kind = 'param'").withColumn("label", decorated).filter("label IS NOT NULL").select(F.col("id").alias("fn"), F.lit("value").alias("kind"), none.alias("param"), "label", F.col("target").alias("node"))
     read = _ends(b.filter("kind IN ('assign', 'return', 'arg')"), names).filter("node LIKE '~%'").select(F.col("id").alias("fn"), F.lit("value").alias("kind"), none.alias("param"), F.expr("substr(node, 2)").alias("label"), "node").distinct()
     result = F.concat(F.lit("@"), F.col("ix").cast("string"))
     given = links.select(fn_id(F.col("path"), F.col("fn")).alias("fn"), F.lit("value").alias("kind"), none.alias("param"), result.alias("label"), result.alias("node"))
-    return params.unionByName(read).unionByName(given)
+    return params.unionByName(read).unionByName(handed).unionByName(given)
 
 
 def reached(first: DataFrame, steps: DataFrame) -> DataFrame:
@@ -173,7 +188,7 @@ def build(bindings: DataFrame, links: DataFrame, names: Catalogue | None = None,
     lines = b.filter("kind = 'call'").select("id", "ix", "line")
     calls = known.join(lines, ["id", "ix"]).select(F.col("id").alias("caller"), F.col("ix").alias("edge_ix"), F.col("callee_fn").alias("callee"), "line", F.concat(F.lit("@"), F.col("ix").cast("string")).alias("assigned_to"))
     args = meets(b.filter("kind = 'arg' AND arg >= 0").join(known, ["id", "ix"])).select(F.col("id").alias("caller"), F.col("ix").alias("edge_ix"), _input().alias("input"), F.col("arg").alias("callee_param")).distinct()
-    sources = first.filter("node LIKE '~%'").select("fn", F.col("label").alias("kind"), "label", F.array().cast("array<string>").alias("path"))
+    sources = first.filter("kind = 'value' AND label NOT LIKE '@%'").select("fn", F.col("label").alias("kind"), "label", F.array().cast("array<string>").alias("path"))
     hits = graphs.cut(hits)
     return flows.Summaries(functions(b, moves, hits), graphs.cut(sources), hits, graphs.cut(calls), graphs.cut(args), moves)
 
