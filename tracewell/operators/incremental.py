@@ -15,3 +15,8 @@ def compared(now: DataFrame, before: DataFrame) -> DataFrame:
     old = before.select("path", F.col("content_hash").alias("old_hash"))
     state = F.when(F.col("content_hash").isNull(), "deleted").when(F.col("old_hash") == F.col("content_hash"), "cached").otherwise("stale")
     return now.join(old, "path", "full_outer").select("path", state.alias("state"))
+
+
+def counts(compared_rows: DataFrame) -> DataFrame:
+    """(valid, stale, missing): entries of the old snapshot that still hold, that changed, and whose file is gone."""
+    return compared_rows.agg(F.count_if(F.col("state") == "cached").alias("valid"), F.count_if(F.col("state") == "stale").alias("stale"), F.count_if(F.col("state") == "deleted").alias("missing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions import scalars
+from tracewell.functions import scalars, words
 
 
 def by_key(issues: DataFrame, key: str) -> DataFrame:
@@ -103,3 +103,32 @@ def dedup_stats(groups: DataFrame) -> DataFrame:
 def new_against(issues: DataFrame, baseline: DataFrame, on: str = "fingerprint") -> DataFrame:
     """Rows whose fingerprint the baseline has not; repeated rows stay."""
     return issues.join(baseline.select(on), on, "left_anti")
+
+
+def filtered(issues: DataFrame, severities: list[str] | None = None, engines: list[str] | None = None, confidences: list[str] | None = None, file: str | None = None, text: str | None = None) -> DataFrame:
+    """Issues as a reader of a report picks them: by lists, by a wildcard over the path (`*` and `?`; plain text fits anywhere),
+    and by text in the message, the path or the engine, whatever the case."""
+    out = issues
+    for column, chosen in (("severity", severities), ("engine", engines)):
+        out = out.filter(F.col(column).isin(*chosen)) if chosen else out
+    if confidences:
+        out = out.filter(scalars.confidence(F.col("confidence")).isin(*confidences))
+    if file:
+        out = out.filter(words.fits_glob(F.col("file_path"), file if "*" in file or "?" in file else f"*{file}*"))
+    if text:
+        low = text.lower()
+        out = out.filter(F.lower("message").contains(low) | F.lower("file_path").contains(low) | F.lower("engine").contains(low))
+    return out
+
+
+def shares(issues: DataFrame) -> DataFrame:
+    """(severity, n, share, files): the share in per cent, rounded half up to one place, of all issues."""
+    counts = issues.groupBy("severity").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"))
+    total = F.sum("n").over(Window.partitionBy())  # over one row for each severity
+    return counts.select("severity", "n", (F.floor(F.col("n") / total * 1000 + 0.5) / 10).alias("share"), "files")
+
+
+def phases(events: DataFrame, name: str, at: str) -> DataFrame:
+    """(phase, started, ended): phases in the order in which they begin, each until the next one; the last is open."""
+    begun = events.groupBy(F.col(name).alias("phase")).agg(F.min(at).alias("started"))
+    return begun.withColumn("ended", F.lead("started").over(Window.orderBy("started", "phase")))  # over one row for each phase

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tracewell.detect import engines
 from tracewell.extract import bindings, cfg, facts
-from tracewell.functions import names
-from tracewell.operators import graphs
+from tracewell.functions import names, words
+from tracewell.operators import graphs, incremental, report
 from tracewell.plans.catalog import register
-from tracewell.plans.findings import _EDGES, DEEP
+from tracewell.plans.findings import _CONF, _EDGES, _WITH, DEEP
 from tracewell.session import share_code
 from tracewell.sources import projects
-from tracewell.sources.issues import call_edges, table
+from tracewell.sources.issues import call_edges, issues, table
 from tracewell.taint import dataflow, flows, resolve, summaries
 
 TEMPLATES = (
@@ -329,3 +329,77 @@ def q74(spark, sf_dir):
     met = s.functions.filter(F.regexp_extract("fn", "#(.)", 1) == "f").join(of(s.transfers, "t"), "fn", "left").join(of(s.hits.filter("input.kind = 'param'"), "h"), "fn", "left")
     what = F.when(F.col("t") & F.col("h"), "both").when(F.col("h"), "sink").when(F.col("t"), "transfer").otherwise("neither")
     return met.select(what.alias("what")).groupBy("what").agg(F.count("*").alias("functions"))
+
+
+# reports
+
+
+_MADE_NAME = "replace(p_name, ' ', '_') || CASE p_partkey % 3 WHEN 0 THEN 'Count' WHEN 1 THEN '_id' ELSE '' END"
+_WORDS = r"list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g')), '[_.\-]+'), lambda w: length(w) > 0)"
+
+
+@register("q75_identifier_words", f"""WITH n AS (SELECT p_partkey, {_MADE_NAME} AS name FROM part), w AS (SELECT *, {_WORDS} AS words FROM n)
+  SELECT p_partkey, array_to_string(words, ' ') AS words, regexp_matches(name, '(^|[^A-Za-z])red([^a-z]|$)') AS has_red, len(words) > 1 AND len(list_filter(words[2:], lambda x: x NOT IN ('count', 'id'))) = 0 AS operational FROM w""")
+def q75(spark, sf_dir):
+    made = table(spark, sf_dir, "part").select("p_partkey", F.expr(_MADE_NAME).alias("name"))
+    name = F.col("name")
+    return made.select("p_partkey", F.array_join(words.identifier_words(name), " ").alias("words"), words.has_keyword(name, "red").alias("has_red"), words.operational(name, ("count", "id")).alias("operational"))
+
+
+@register("q76_issue_shares", f"""{_WITH}, c AS (SELECT severity, count(*) AS n, count(DISTINCT file_path) AS files FROM issues GROUP BY 1)
+  SELECT severity, n, floor(n / (SELECT sum(n) FROM c)::DOUBLE * 1000 + 0.5) / 10 AS share, files FROM c""")
+def q76(spark, sf_dir):
+    return report.shares(issues(spark, sf_dir))
+
+
+@register("q77_filtered_issues", f"""{_WITH} SELECT ord, file_path FROM issues WHERE severity IN ('error', 'warning') AND {_CONF} = 'high' AND regexp_matches(lower(file_path), '^(.*/auth/u1.\\.ts)$') AND contains(lower(message), 'check')""")
+def q77(spark, sf_dir):
+    return report.filtered(issues(spark, sf_dir), ["error", "warning"], None, ["high"], "*/auth/u1?.ts", "Check").select("ord", "file_path")
+
+
+@register("q78_phases", """WITH p AS (SELECT event_type AS phase, min(event_id) AS started FROM events GROUP BY 1) SELECT phase, started, lead(started) OVER (ORDER BY started, phase) AS ended FROM p""")
+def q78(spark, sf_dir):
+    return report.phases(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+_CASES = lambda table_, otherwise: "CASE sink_kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table_.items()) + f" ELSE {otherwise} END"
+
+
+@register("q79_described_flows", f"""WITH f AS ({_CODE_FLOWS}) SELECT source_fn, sink_fn, 'CRITICAL' AS severity, 'Input of a user comes in by req-body' AS source_text,
+  'Flows to db.query(): possible ' || {_CASES(flows.RISKS, "sink_kind")} AS sink_text, {_CASES(flows.ADVICE, "NULL")} AS suggestion FROM f""")
+def q79(spark, sf_dir):
+    found = flows.forward(code_summaries(spark, sf_dir), include_sanitized=True, depth=DEEP)
+    return flows.described(found).select("source_fn", "sink_fn", "severity", "source_text", "sink_text", "suggestion")
+
+
+@register("q80_summary_store", """SELECT count(*) + count(*) FILTER (s_suppkey % 20 = 1) AS functions, count(*) AS files, 0 AS sanitizers, count(*) FILTER (s_suppkey % 5 = 0) AS transfers, count(*) FILTER (s_suppkey % 11 = 0) AS hits,
+  count(*) FILTER ((7 * s_suppkey + 3) % n + 1 IN (SELECT s_suppkey FROM supplier)) + count(*) FILTER (s_suppkey % 20 = 1) AS calls, count(*) FILTER (s_suppkey % 20 = 1) AS sources FROM supplier, (SELECT count(*) AS n FROM supplier)""")
+def q80(spark, sf_dir):
+    return summaries.stats(code_summaries(spark, sf_dir))
+
+
+@register("q81_method_dispatch", """WITH RECURSIVE h AS (SELECT c_custkey AS c, c_custkey AS anc, 0 AS depth FROM customer UNION ALL SELECT c, anc // 2, depth + 1 FROM h WHERE anc > 1),
+  m AS (SELECT c, anc, depth, 'm' || anc % 3 AS method FROM h WHERE anc IN (SELECT c_custkey FROM customer)) SELECT 'C' || c AS class_id, method, 'C' || arg_min(anc, depth) AS owner, CAST(min(depth) AS INTEGER) AS depth FROM m GROUP BY c, method""")
+def q81(spark, sf_dir):
+    """Class C of a customer extends the one of half its number and has one of three methods."""
+    n = F.col("c_custkey")
+    name = lambda k: F.concat(F.lit("C"), k.cast("string"))
+    classes = table(spark, sf_dir, "customer").select(name(n).alias("class_id"), F.concat(F.lit("m"), (n % 3).cast("string")).alias("method"))
+    extends = table(spark, sf_dir, "customer").filter(n > 1).select(name(n).alias("class_id"), name(F.floor(n / 2)).alias("base_id"))
+    return resolve.dispatched(classes.select("class_id"), extends, classes)
+
+
+@register("q82_manifest_counts", """WITH now AS (SELECT doc_id, coalesce(text, '') AS h FROM documents), was AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END AS h FROM documents
+    UNION ALL SELECT -doc_id - 1, 'gone' FROM documents WHERE doc_id % 13 = 0)
+  SELECT count(*) FILTER (n.h = w.h) AS valid, count(*) FILTER (n.h IS NOT NULL AND w.h IS NOT NULL AND n.h <> w.h) AS stale, count(*) FILTER (n.doc_id IS NULL) AS missing FROM now n FULL OUTER JOIN was w ON n.doc_id = w.doc_id""")
+def q82(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    changed = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, "x").otherwise("")))
+    gone = docs.filter("doc_id % 13 = 0").select((-F.col("doc_id") - 1).alias("path"), F.lit("gone").alias("content_hash"))
+    return incremental.counts(incremental.compared(incremental.snapshot(docs, "doc_id", "text"), incremental.snapshot(changed, "doc_id", "text").unionByName(gone)))
+
+
+@register("q83_truncated_paths", f"""{_WITH}, p AS (SELECT DISTINCT file_path FROM issues), t AS (SELECT file_path, list_filter(list_transform(range(1, len(string_split(file_path, '/')) + 1), lambda i: array_to_string(string_split(file_path, '/')[i:], '/')), lambda x: length(x) <= 18) AS tails FROM p)
+  SELECT file_path, CASE WHEN length(file_path) <= 22 THEN file_path WHEN len(tails) > 0 THEN '.../' || tails[1] ELSE '...' || right(file_path, 19) END AS shown FROM t""")
+def q83(spark, sf_dir):
+    return issues(spark, sf_dir).select("file_path").distinct().select("file_path", words.truncated(F.col("file_path"), 22).alias("shown"))

@@ -77,3 +77,35 @@ def links(bindings: DataFrame, facts: DataFrame, files: DataFrame, prefixes: dic
     through = inside.join(exports, ["path2", "shown"]).select("path", "fn", "ix", "p", "o")
     away = direct.unionByName(through).join(defined.select(F.col("path").alias("p"), F.col("short").alias("o")), ["p", "o"], "left_semi").select("path", "fn", "ix", fn_id(F.col("p"), F.col("o")).alias("callee_fn"), F.lit(1).alias("rank"))
     return local.unionByName(away).groupBy("path", "fn", "ix").agg(F.min_by("callee_fn", F.struct("rank", "callee_fn")).alias("callee_fn"))
+
+
+def bases(facts: DataFrame, files: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """(class_id, base_id): each class and the class that it extends, an imported one before one of its file; ids as fn_id."""
+    classes = of_kind(facts, "class").select("path", "name", F.col("about")["extends"].alias("base"))
+    below = classes.filter("base IS NOT NULL")
+    known = symbols(facts, files, prefixes).filter("origin IS NOT NULL").select("path", F.col("local").alias("base"), fn_id(F.col("origin_path"), F.col("origin")).alias("away"))
+    here = classes.select("path", F.col("name").alias("base"), fn_id(F.col("path"), F.col("name")).alias("near")).distinct()
+    met = below.join(known, ["path", "base"], "left").join(here, ["path", "base"], "left")
+    return met.select(fn_id(F.col("path"), F.col("name")).alias("class_id"), F.coalesce("away", "near").alias("base_id")).filter("base_id IS NOT NULL").distinct()
+
+
+def dispatched(classes: DataFrame, extends: DataFrame, methods: DataFrame) -> DataFrame:
+    """(class_id, method, owner, depth): for each class(class_id) and each method that it or a class above has, the nearest owner.
+
+    extends(class_id, base_id), methods(class_id, method). The closure of a class's line follows `extends` upwards.
+    """
+    up = graphs.cut(extends.select(F.col("class_id").alias("at"), "base_id"))
+    line = graphs.closure(classes.select("class_id", F.col("class_id").alias("at"), F.lit(0).alias("depth")), lambda new: new.filter("depth < 1000").join(up, "at").select("class_id", F.col("base_id").alias("at"), (F.col("depth") + 1).alias("depth")))
+    met = line.join(methods.select(F.col("class_id").alias("at"), "method"), "at")
+    return met.groupBy("class_id", "method").agg(F.min_by("at", "depth").alias("owner"), F.min("depth").alias("depth"))
+
+
+def async_calls(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """The rows of links(...) whose function is declared async, wherever it stands."""
+    declared = of_kind(facts, "function").filter((told("async") == "true") & (F.col("name") != "(anonymous)")).select(fn_id(F.col("path"), F.col("name")).alias("callee_fn")).distinct()
+    return found.join(declared, "callee_fn", "left_semi")
+
+
+def callers(found: DataFrame, callee_fn: str) -> DataFrame:
+    """(caller) functions that call one."""
+    return found.filter(F.col("callee_fn") == callee_fn).select(fn_id(F.col("path"), F.col("fn")).alias("caller")).distinct()

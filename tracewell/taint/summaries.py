@@ -212,3 +212,28 @@ def carried_hits(s: flows.Summaries, rounds: int | None = None) -> DataFrame:
     own = s.hits.select("fn", "input", "sink_kind", "sink_callee", "line", "sanitized")
     step = lambda new: new.filter("input.kind = 'param'").withColumn("p", F.col("input.param")).join(arg, ["fn", "p"]).filter("up <> fn").select(F.col("up").alias("fn"), F.col("from_input").alias("input"), "sink_kind", "sink_callee", "line", "sanitized")
     return graphs.closure(own, step, rounds)
+
+
+# the store
+
+
+TABLES = ("functions", "sources", "hits", "calls", "args", "transfers")
+
+
+def save(s: flows.Summaries, path: str) -> None:
+    """Writes every table of the summaries as Parquet below a path."""
+    for name in TABLES:
+        getattr(s, name).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def load(spark, path: str) -> flows.Summaries:
+    return flows.Summaries(*[spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in TABLES])
+
+
+def stats(s: flows.Summaries) -> DataFrame:
+    """(functions, files, sanitizers, transfers, hits, calls, sources) in one row."""
+    of = lambda rows, name: rows.agg(F.count("*").alias(name))
+    first = s.functions.agg(F.count("*").alias("functions"), F.countDistinct("file_path").alias("files"), F.count_if("is_sanitizer").alias("sanitizers"))
+    for rows, name in ((s.transfers, "transfers"), (s.hits, "hits"), (s.calls, "calls"), (s.sources, "sources")):
+        first = first.join(of(rows, name))  # one row each
+    return first
