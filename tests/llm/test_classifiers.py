@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 from conftest_llm import SF, make_sf
@@ -119,3 +121,91 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
 def test_packed_buckets_round_trip():
     for x in ([], [5], [0, 1, 2], [3, 250_000], list(range(0, 200_000, 7))):
         assert toxicity.unpacked(toxicity.packed(np.array(x, np.int32))).tolist() == x
+
+
+def test_toxicity_query_agrees_with_brute_force(spark, tmp_path):
+    """The whole query again with dictionaries: counts by stem, every interval of tokens, the law, the line."""
+    import math
+    import re
+    import zlib
+
+    r = random.Random(21)
+    base = [f"{a}{b}" for a in ("wal", "tor", "min", "pel", "gos") for b in ("ka", "ti", "ros", "en", "u", "dal", "fir", "mo")]
+    docs, labels = [], []
+    for i in range(500):
+        words = [r.choice(base) for _ in range(r.randrange(3, 40))]
+        toxic = i % 4 == 0
+        for _ in range(r.randrange(2, 5) if toxic else 0):
+            words.insert(r.randrange(len(words)), "zurk" + r.choice(["", "en", "s", "alo"]))
+        docs.append((i, " ".join(words) if i % 97 else None))
+        if i % 11:
+            labels.append((i, int(toxic)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.op3_toxicity(spark, str(tmp_path)).collect()}
+
+    ids = spark.createDataFrame([(i,) for i, _ in docs], "id long")
+    calibrates = {r["id"] for r in ids.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5)) == 0).collect()}
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    tokens = {i: re.findall(r"[^\W\d_]+", (t or "").lower()) for i, t in docs}
+    label = {i: y for i, y in labels if i not in held}
+    counts = [[{}, {}] for _ in toxicity.STEMS]
+    n = [0, 0]
+    for i, y in label.items():
+        if i not in calibrates:
+            n[y] += 1
+            for k, size in enumerate(toxicity.STEMS):
+                for s in {t[:size] for t in tokens[i]}:
+                    counts[k][y][s] = counts[k][y].get(s, 0) + 1
+    share = n[1] / sum(n)
+
+    def gain(token):
+        out = 0.0
+        for k, size in enumerate(toxicity.STEMS):
+            other, toxic = (counts[k][y].get(token[:size], 0) for y in (0, 1))
+            a = 2 + 20 * (toxic + other) / (sum(n) + 1)
+            t, o = toxic + a * share, other + a * (1 - share)
+            delta = math.log(t / (n[1] + 20 * share - toxic)) - math.log(o / (n[0] + 20 * (1 - share) - other))
+            z = delta / math.sqrt(1 / t + 1 / o)
+            trust = (toxic + other) / (toxic + other + 5)
+            out = trust * (delta * (1 - (2 / z) ** 2) if z > 2 else 0.0) + (1 - trust) * out
+        return out if out > 1 else 0.0
+
+    def segments(values):
+        """Maximal segments by their definition: the best interval, then the same to its left and right."""
+        if not values:
+            return []
+        steps = [v if v else -1.0 for v in values]
+        sums = [0.0]
+        for s in steps:
+            sums.append(sums[-1] + s)
+        best = max(((sums[b] - sums[a], -(b - a), -a, b) for a in range(len(steps)) for b in range(a + 1, len(steps) + 1)))
+        if best[0] <= 0:
+            return []
+        a, b = -best[2], best[3]
+        return segments(values[:a]) + [best[0]] + segments(values[b:])
+
+    found = {i: segments([gain(t) for t in ts]) for i, ts in tokens.items()}
+    chosen = [i for i in label if i in calibrates]
+    clean = [i for i in chosen if label[i] == 0]
+    bins = np.zeros(toxicity.BINS)
+    for i in clean:
+        for t in tokens[i]:
+            bins[min(int(gain(t) / toxicity.WIDTH), toxicity.BINS - 1)] += 1
+    decay = toxicity.decay_of(bins, 1.0)
+    size = {i: max(1, len(ts)) for i, ts in tokens.items()}
+    constant = float(np.quantile([decay * max(found[i], default=0.0) - math.log(size[i]) for i in clean], 0.9) + math.log(-math.log(0.9)))
+
+    def evidence(i):
+        each = [decay * s - constant - math.log(size[i]) for s in found[i] or [0.0]]
+        return sum(e for e in each if e > 0) if any(e > 0 for e in each) else max(each)
+
+    x = np.array([math.log1p(np.logaddexp(0, evidence(i))) for i in chosen])
+    y = np.array([label[i] for i in chosen], float)
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y)
+    slope, shift = toxicity.fit_line(x, y, weight)
+    for i, _ in docs:
+        want = 1 / (1 + math.exp(-(slope * math.log1p(np.logaddexp(0, evidence(i))) + shift)))
+        assert abs(got[i]["score"] - want) < 1e-3 and got[i]["held_out"] == (i in held) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+    toxic_held = [i for i, y in labels if y == 1 and i in held]
+    assert sum(got[i]["predicted"] for i in toxic_held) >= 0.9 * len(toxic_held)
