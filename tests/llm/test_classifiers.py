@@ -209,3 +209,116 @@ def test_toxicity_query_agrees_with_brute_force(spark, tmp_path):
         assert abs(got[i]["score"] - want) < 1e-3 and got[i]["held_out"] == (i in held) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
     toxic_held = [i for i, y in labels if y == 1 and i in held]
     assert sum(got[i]["predicted"] for i in toxic_held) >= 0.9 * len(toxic_held)
+
+
+def test_quality_query_agrees_with_brute_force(spark, tmp_path):
+    """The whole query again, character by character, with numpy's own covariances and solver."""
+    import math
+    import re
+    import zlib
+
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdeXYZ019.,#é") for _ in range(r.randrange(1, 9)))
+    docs = [(i, r.choice([" ", "  ", "\n", " \t"]).join(word() if i % 2 else r.choice(["good", "Fine", "text,", "here."]) for _ in range(r.randrange(0, 60)))) for i in range(400)] + [(400, None), (401, "")]
+    labels = [(i, int(i % 2 == 0) if i % 7 else int(i % 2)) for i, _ in docs if i % 5 != 3]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x["doc_id"]: x for x in quality.op8_quality(spark, str(tmp_path)).collect()}
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+
+    def features(text):
+        raw = (text or "").encode()
+        words = [w for w in re.split(rb"[ \t-\r]+", raw) if w]
+        n, some = len(words), max(1, len(words))
+        mean = sum(map(len, words)) / some
+        spread = max(0.0, sum(len(w) ** 2 for w in words) / some - mean**2)
+        part = lambda chosen: math.sqrt(sum(b in chosen for b in raw) / max(1, len(raw)))
+        marks = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+        return [
+            math.log1p(n), math.log1p(mean), part(bytes(range(65, 91))), part(bytes(range(48, 58))), part(marks), part(b"#$%&*+<=>@[]^_{|}~\\/"), part(b".,;:"),
+            math.sqrt(sum(a == b for a, b in zip(words, words[1:], strict=False)) / some), math.log1p(len(raw) / (raw.count(b"\n") + 1)), part(b" \t\n\x0b\x0c\r"), part(bytes(range(128, 256))),
+            math.sqrt(sum(65 <= w[0] <= 90 for w in words) / some), math.log1p(math.sqrt(spread)),
+        ]
+
+    x = {i: np.array(features(t)) for i, t in docs}
+    sides = [np.array([x[i] for i, y in labels if y == c and i not in held]) for c in (0, 1)]
+    n = sum(map(len, sides))
+    own = [np.cov(s.T, bias=True) for s in sides]
+    pooled = sum(len(s) * c for s, c in zip(sides, own, strict=True)) / n
+
+    def density(v, c):
+        s = 0.9 * own[c] + 0.1 * pooled
+        s = 0.98 * s + 0.02 * np.diag(np.maximum(np.diag(pooled), 1e-4)) + 1e-6 * np.eye(len(v))
+        away = v - sides[c].mean(axis=0)
+        return math.log(len(sides[c]) / n) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * away @ np.linalg.solve(s, away)
+
+    for i, _ in docs:
+        want = 1 / (1 + math.exp(-min(60, max(-60, density(x[i], 1) - density(x[i], 0)))))
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["predicted"] == int(got[i]["score"] >= 0.3) and got[i]["held_out"] == (i in held)
+
+
+def test_language_query_agrees_with_brute_force(spark, tmp_path):
+    """The whole query again with dictionaries of n-grams in place of buckets, and one weight at a time."""
+    import math
+    import zlib
+
+    r = random.Random(41)
+    make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randrange(2, 5))) for _ in range(r.randrange(4, 10)))
+    docs = [(i, make("abc") if i % 3 else make("xyc"), "one" if i % 3 else "two") for i in range(90)] + [(90, None, "one"), (91, "12 3", "two"), (92, "cab", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in language.op1_language_id(spark, str(tmp_path)).collect()}
+    held = {i for i, *_ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    grams = lambda t: [t[k : k + n] for k in range(len(t)) for n in (1, 2, 3) if k + n <= len(t)]
+    every = sorted({g for _, t, _ in docs for g in grams(t or "")})
+    hashed = {}
+    for *_, out in language.grams(pa.array(every)):
+        pass
+    for g in every:
+        for *_, out in language.grams(pa.array([g])):
+            hashed[g] = int(out[0][len(g) - 1])
+    assert len(set(hashed.values())) == len(every)  # no two share a bucket, so dictionaries are the same model
+
+    taught = [(i, t or "", y) for i, t, y in docs if y is not None and i not in held]
+    df = {}
+    for _, t, _ in taught:
+        for g in set(grams(t)):
+            df[g] = df.get(g, 0) + 1
+    idf = {g: math.log((1 + len(taught)) / (1 + df.get(g, 0))) + 1 for g in every}
+
+    def values(t):
+        gs = grams(t)
+        return {g: gs.count(g) / max(1, len(gs)) * idf[g] * 16 for g in set(gs)}
+
+    labels = ["one", "two"]
+    rows = [(values(t), labels.index(y)) for _, t, y in sorted(taught)]
+    apart, fitted = [x for k, x in enumerate(rows) if k % 5 == 4], [x for k, x in enumerate(rows) if k % 5 != 4]
+    z, n = {}, {}
+
+    def weight(g, c):
+        a, b = z.get((g, c), 0.0), n.get((g, c), 0.0)
+        return 0.0 if abs(a) <= 0.02 else (math.copysign(0.02, a) - a) / ((1 + math.sqrt(b)) / 0.3 + 0.1)
+
+    def chances(x, t=1.0):
+        s = [sum(v * weight(g, c) for g, v in x.items()) / t for c in (0, 1)]
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(fitted)):
+            x, y = fitted[k][0] | {None: 1.0}, fitted[k][1]
+            p = chances(x)
+            steps = []
+            for g, v in x.items():
+                for c in (0, 1):
+                    step, w, was = v * (p[c] - (c == y)), weight(g, c), n.get((g, c), 0.0)
+                    steps.append(((g, c), step - (math.sqrt(was + step**2) - math.sqrt(was)) / 0.3 * w, was + step**2))
+            for at, add, now in steps:
+                z[at], n[at] = z.get(at, 0.0) + add, now
+    t = min((math.exp(math.log(0.05) + k / 4000 * math.log(400)) for k in range(4001)), key=lambda t: -sum(math.log(max(chances(x | {None: 1.0}, t)[y], 1e-12)) for x, y in apart))
+    for i, text, _ in docs:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        p = chances(values(text) | {None: 1.0}, t)
+        assert got[i]["lang_pred"] == labels[int(p[1] > p[0])] and abs(got[i]["score"] - max(p)) < 5e-3, (i, p, got[i])
