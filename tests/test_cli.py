@@ -28,3 +28,27 @@ def test_a_project_from_scan_to_report(spark, tmp_path, capsys):
 
 def test_formats():
     assert cli.format_of(None, "x.sarif") == "sarif" and cli.format_of("compact", "x.json") == "compact"
+
+
+def test_flows_of_a_project(spark, tmp_path, capsys):
+    root = tmp_path / "q"
+    (root / "src").mkdir(parents=True)
+    (root / "src/app.ts").write_text("import { find } from './db';\napp.get('/u', (r, w) => { find(r.query.id); });\n")
+    (root / "src/db.ts").write_text("export function find(id) { return db.query('x' + id); }\n")
+    assert cli.main([str(root), "--flows"], spark) == 1
+    said = capsys.readouterr().out
+    assert "CRITICAL" in said and "possible SQL injection" in said and "db.ts#find" in said
+    out = str(tmp_path / "f.sarif")
+    assert cli.main([str(root), "--flows", "--fail-on", "none", "--output", out], spark) == 0
+    run = json.load(open(out))["runs"][0]
+    assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["taint/db-query"]
+    assert run["results"][0]["codeFlows"][0]["threadFlows"][0]["locations"][-1]["nestingLevel"] == 0  # the level before the step, as calls nest what comes behind them
+
+
+def test_configuration_is_looked_for_upwards(tmp_path):
+    from tracewell.sources import projects
+
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "tracewell.config.json").write_text("{}")
+    assert projects.upward(str(tmp_path / "a/b"), projects.CONFIG_NAMES) == str(tmp_path / "tracewell.config.json")
+    assert projects.upward(str(tmp_path / "a/b"), ("no-such-name.json",)) is None

@@ -106,3 +106,23 @@ def test_long_facts_come_in_several_batches(spark):
     files = spark.createDataFrame([(f"src/{k}.ts", "a(b(c('some text that is long')));") for k in range(5)], "path string, content string")
     want = sorted((f"src/{k}.ts", ix) for k in range(5) for ix in range(4))
     assert sorted((r["path"], r["ix"]) for r in facts.extract(files, step=50).collect()) == want
+
+
+def test_handlers_of_any_length_are_searched(spark):
+    filler = "".join(f"  step{k}();\n" for k in range(1200))
+    code = f"app.post('/u', async (req, res) => {{\n{filler}  db.users.create(req.body);\n}});\n"
+    assert len(code) > 10_000
+    files = spark.createDataFrame([("src/a.ts", code)], "path string, content string")
+    found = engines.detect(facts.extract(files), spark.createDataFrame([], "name string"))
+    assert "missing-input-validation" in {r["engine"] for r in found.select("engine").collect()}
+
+
+def test_an_engine_that_fails_does_not_stop_the_others(spark):
+    files = spark.createDataFrame([("src/a.ts", "try { a(); } catch (e) { }")], "path string, content string")
+    engines.register("broken", lambda facts: facts.select("no_such_column"))
+    try:
+        failed = []
+        found = engines.detect(facts.extract(files), spark.createDataFrame([], "name string"), failed=failed)
+        assert [name for name, _ in failed] == ["broken"] and found.filter("engine = 'empty-catch'").count() == 1
+    finally:
+        del engines.ENGINES["broken"]

@@ -11,6 +11,7 @@ from tracewell.operators import sinks, triage
 from tracewell.plans import analysis
 from tracewell.session import local_session, share_code
 from tracewell.sources import baselines, ignore, projects
+from tracewell.taint import flows
 
 FORMATS = ("summary", "detailed", "compact", "grouped", "json", "sarif", "csv", "html")
 
@@ -28,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--quiet", action="store_true")
     p.add_argument("--baseline", help="save the findings as known and stop")
     p.add_argument("--compare-baseline", help="report only findings that are not known")
+    p.add_argument("--flows", action="store_true", help="report flows from requests to sinks instead of findings")
+    p.add_argument("--include-sanitized", action="store_true")
     p.add_argument("--fail-on", choices=("error", "warn", "none"))
     return p
 
@@ -43,11 +46,26 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     spark = spark or local_session("*")
     share_code(spark)
     root = os.path.abspath(args.root)
-    text = next((open(os.path.join(root, n), encoding="utf-8").read() for n in projects.CONFIG_NAMES if os.path.exists(os.path.join(root, n))), None)
-    config = projects.Config.merged(text)
+    found = projects.upward(root, projects.CONFIG_NAMES)
+    if found:
+        with open(found, encoding="utf-8") as f:
+            config = projects.Config.merged(f.read())
+    else:
+        config = projects.Config.merged(None)
     config.confidence_threshold = args.confidence_threshold or config.confidence_threshold
     config.exclude_tests = config.exclude_tests and not args.include_tests
-    rules = ignore.load(spark, os.path.join(root, ".gitignore")) if config.respect_ignore and os.path.exists(os.path.join(root, ".gitignore")) else None
+    ignored = projects.upward(root, (".gitignore",)) if config.respect_ignore else None
+    rules = ignore.load(spark, ignored) if ignored else None
+
+    if args.flows:
+        found_flows = analysis.flows_of(spark, root, config, rules, args.include_sanitized)
+        if (args.output or "").endswith(".sarif"):
+            flows.write_sarif(found_flows, args.output)
+        else:
+            out = open(args.output, "w", encoding="utf-8") if args.output else sys.stdout
+            for row in (flows.rendered if args.format == "compact" else flows.reported)(found_flows).toLocalIterator():
+                print(row["value"], file=out)
+        return int((args.fail_on or config.fail_on) != "none" and found_flows.filter("NOT sanitized").limit(1).count() > 0)
 
     began = time.time()
     issues = analysis.analyze(spark, root, config, rules)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.detect import engines
-from tracewell.extract import facts
+from tracewell.extract import bindings, facts
 from tracewell.functions import scalars
 from tracewell.operators import graphs, report, triage
-from tracewell.sources import baselines, projects
+from tracewell.sources import baselines, projects, rules
+from tracewell.taint import flows, frameworks, resolve, summaries
 
 
 def issues_of(detected: DataFrame) -> DataFrame:
@@ -59,3 +60,15 @@ def fingerprinted(issues: DataFrame) -> DataFrame:
 
 def save_baseline(issues: DataFrame, path: str) -> None:
     baselines.save(fingerprinted(issues), path)
+
+
+def flows_of(spark: SparkSession, root: str, config: projects.Config | None = None, ignore_rules: list[tuple[str, bool]] | None = None, include_sanitized: bool = False, depth: int = 10) -> DataFrame:
+    """Flows from requests to sinks over a source tree: parsed, resolved, summarised and searched; the project's own rule files
+    and the handlers of its frameworks count."""
+    files = graphs.cut(projects.scanned(projects.source_files(spark, root), config or projects.Config(), ignore_rules))
+    read, bound = graphs.cut(facts.extract(files)), graphs.cut(bindings.extract(files))
+    own = rules.load(spark, root)
+    for file, why in own.errors:
+        logging.getLogger("tracewell").warning("rule file %s: %s", file, why)
+    named = graphs.cut(frameworks.normalized(bound, frameworks.routes(bound, read)))
+    return flows.forward(summaries.build(named, resolve.links(named, read, files), own.catalogue()), include_sanitized=include_sanitized, depth=depth)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 import re
 from dataclasses import dataclass, field
@@ -46,6 +47,18 @@ class Config:
         return self.rules.get(rule) != "off"
 
 
+def upward(start: str, names: tuple[str, ...]) -> str | None:
+    """The first of the names in a local folder or, failing that, in the folders above it."""
+    folder = os.path.abspath(start)
+    while True:
+        for name in names:
+            if os.path.isfile(os.path.join(folder, name)):
+                return os.path.join(folder, name)
+        if os.path.dirname(folder) == folder:
+            return None
+        folder = os.path.dirname(folder)
+
+
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, script_kind) of every source file below root; other files are pruned from the listing."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root)
