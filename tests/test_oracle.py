@@ -15,7 +15,7 @@ def db():
 
 
 #: Queries that no SQL expresses.
-ALONE = {"q51_source_facts", "q52_detected_issues", "q53_taint_flows", "q54_taint_summary"}
+ALONE = {"q51_source_facts", "q52_detected_issues"}
 
 
 def test_every_other_query_has_a_twin():
