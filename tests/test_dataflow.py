@@ -146,3 +146,13 @@ def test_reaching_definitions_in_a_loop(spark):
     test = read.filter("kind = 'block' AND label = 'test'").select("block")
     assert reach.join(test, "block").filter("var = 'x'").select("def").distinct().count() == 2
     assert reach.filter(F.col("var") == "c").select("def").distinct().count() == 1
+
+
+def test_names_that_count_inside_one_function(spark):
+    code = {
+        "orm": "function f(req) { const id = req.params.id; return Model.findById(id); }", "checked": "function f(req) { const b = validateBody(req.body); store.save(b); }",
+        "schema": "function f(req) { const b = schema.parse(req.body); store.insert(b); }", "file": "function f(req) { fsp.readFile(req.query.path); }", "away": "function f(ctx) { ctx.redirect(ctx.query.to); }", "other": "function f(req) { list.push(req.body); }",
+    }
+    files = spark.createDataFrame(list(code.items()), "path string, content string")
+    got = {(r["path"], r["sink_kind"], r["origin"], tuple(r["sanitizations"])) for r in dataflow.tainted(cfg.extract(files), summaries.SCOPE).collect()}
+    assert got == {("orm", "db-query", "req.params", ()), ("checked", "db-mutation", "req.body", ("validator",)), ("schema", "db-mutation", "req.body", ("schema",)), ("file", "file-read", "req.query", ()), ("away", "redirect", "ctx.query", ())}

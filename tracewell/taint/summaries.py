@@ -63,6 +63,9 @@ class Catalogue:
     #: what a decorated parameter is a source of
     decorators: dict[str, str] = field(default_factory=lambda: {"Body": "req-body", "Param": "req-params", "Query": "req-query", "Headers": "req-headers"})
 
+    #: functions whose names say that they check or clean their argument
+    validators: str = ""
+
     def source_kind(self, use: Column) -> Column:
         """The source that a dotted name reads, or null."""
         out = F.lit(None).cast("string")
@@ -78,6 +81,8 @@ class Catalogue:
 
     def sanitizer_kind(self, callee: Column) -> Column:
         out = F.when(callee.rlike(MATH), "numeric-cast")
+        if self.validators:
+            out = F.when(out.isNull() & callee.rlike(self.validators), "validator").otherwise(out)
         for kind, names in reversed(self.sanitizers):
             out = F.when(called(callee, names), kind).otherwise(out)
         return out
@@ -89,6 +94,29 @@ class Catalogue:
         return out
 
 
+def _of(objects: tuple[str, ...], methods: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(f"{o}.{m}" for o in objects for m in methods)
+
+
+_FS, _RESPONSE, _SHELL = ("fs", "fsp", "fsPromises", "path"), ("res", "response", "ctx", "reply"), ("exec", "execSync", "spawn", "spawnSync")
+# The names that count inside one function, wider than those of summaries: methods of any object for databases.
+SCOPE = Catalogue(
+    sources=[*[(f"{o}.{p}", f"req.{p}") for o in ("req", "request") for p in ("body", "params", "query", "headers", "cookies", "files", "ip")], ("ctx.request.body", "ctx.request.body"), ("ctx.params", "ctx.params"), ("ctx.query", "ctx.query"), ("request.payload", "request.payload")],
+    sinks=[
+        ("file-read", _of(_FS, ("readFile", "readFileSync", "createReadStream", "access"))), ("file-write", _of(_FS, ("writeFile", "writeFileSync", "createWriteStream", "unlink", "rename"))),
+        ("command-execution", _SHELL + _of(("child_process", "cp", "childProcess"), _SHELL)), ("html-output", _of(_RESPONSE, ("send", "render", "compile")) + ("document.write",) + _of(("ejs", "pug", "handlebars"), ("render", "compile"))),
+        ("redirect", _of(_RESPONSE, ("redirect",))), ("http-request", ("fetch", "got", "axios") + _of(("axios", "http", "https", "undici"), ("get", "post", "put", "patch", "delete", "request", "fetch"))), ("eval", ("eval", "Function", "setTimeout", "setInterval")),
+        ("db-query", tuple(f"*.{m}" for m in ("findById", "findOne", "findUnique", "findFirst", "findMany", "query", "where", "select", "findByPk", "aggregate"))),
+        ("db-mutation", tuple(f"*.{m}" for m in ("create", "insert", "update", "delete", "destroy", "save", "upsert", "remove", "deleteOne", "deleteMany", "updateOne", "updateMany", "insertMany"))),
+    ],
+    sanitizers=[
+        ("type-coercion", ("parseInt", "parseFloat", "Number", "Boolean", "String", "BigInt")), ("schema", _of(("z", "zod", "joi", "yup", "schema", "ajv", "vine", "superstruct"), ("parse", "safeParse", "validate")) + ("superstruct.create", "superstruct.assert")),
+        ("escape", ("escapeHtml", "encodeURIComponent", "encodeURI", "sqlEscape", "xss", "DOMPurify.sanitize", "validator.escape")),
+    ],
+    validators=r"(?i)^(validate|sanitize|check|verify|ensure|clean|filter|guard)",
+)
+
+
 def root(use: Column) -> Column:
     """The variable of a dotted name; a field of `this` counts as one."""
     return F.when(use.startswith("this."), F.substring_index(use, ".", 2)).otherwise(F.substring_index(use, ".", 1))
