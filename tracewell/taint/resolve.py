@@ -54,10 +54,14 @@ def fn_id(path: Column, name: Column) -> Column:
     return F.concat(path, F.lit("#"), name)
 
 
-def symbols(facts: DataFrame, files: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
-    """(path, local, imported, name, target, origin_path, origin): each imported name with the file and name it stands for."""
+def symbols(facts: DataFrame, files: DataFrame, prefixes: dict[str, str] | None = None, exports: DataFrame | None = None) -> DataFrame:
+    """(path, local, imported, name, target, origin_path, origin): each imported name with the file and name it stands for.
+
+    exports: what exported_names() gives, if it is at hand.
+    """
     names = projects.resolved(imported_names(facts).distinct(), files, prefixes)
-    exports = exported_names(facts, files, prefixes).select(F.col("path").alias("target"), F.col("shown").alias("imported"), "origin_path", "origin")
+    exports = exported_names(facts, files, prefixes) if exports is None else exports
+    exports = exports.select(F.col("path").alias("target"), F.col("shown").alias("imported"), "origin_path", "origin")
     return names.join(exports, ["target", "imported"], "left").select("path", "local", "imported", "name", "target", "origin_path", "origin")
 
 
@@ -68,12 +72,13 @@ def links(bindings: DataFrame, facts: DataFrame, files: DataFrame, prefixes: dic
     plain = F.regexp_extract("callee", r"^(?:this\.)?([\w$]+)$", 1)
     local = calls.withColumn("short", plain).join(defined, ["path", "short"]).select("path", "fn", "ix", fn_id(F.col("path"), F.col("short")).alias("callee_fn"), F.lit(0).alias("rank"))
 
-    known = symbols(facts, files, prefixes)
+    shown = graphs.cut(exported_names(facts, files, prefixes))
+    known = symbols(facts, files, prefixes, shown)
     head, member = F.regexp_extract("callee", r"^([\w$]+)", 1), F.regexp_extract("callee", r"^[\w$]+\.([\w$]+)$", 1)
     met = calls.withColumns({"local": head, "member": member}).join(known, ["path", "local"])
     direct = met.filter("member = '' AND callee = local AND origin IS NOT NULL").select("path", "fn", "ix", F.col("origin_path").alias("p"), F.col("origin").alias("o"))
     inside = met.filter("member <> '' AND imported = '*' AND target IS NOT NULL").select("path", "fn", "ix", F.col("target").alias("path2"), F.col("member").alias("shown"))
-    exports = exported_names(facts, files, prefixes).select(F.col("path").alias("path2"), "shown", F.col("origin_path").alias("p"), F.col("origin").alias("o"))
+    exports = shown.select(F.col("path").alias("path2"), "shown", F.col("origin_path").alias("p"), F.col("origin").alias("o"))
     through = inside.join(exports, ["path2", "shown"]).select("path", "fn", "ix", "p", "o")
     away = direct.unionByName(through).join(defined.select(F.col("path").alias("p"), F.col("short").alias("o")), ["p", "o"], "left_semi").select("path", "fn", "ix", fn_id(F.col("p"), F.col("o")).alias("callee_fn"), F.lit(1).alias("rank"))
     return local.unionByName(away).groupBy("path", "fn", "ix").agg(F.min_by("callee_fn", F.struct("rank", "callee_fn")).alias("callee_fn"))

@@ -260,8 +260,9 @@ def load(spark, path: str) -> flows.Summaries:
 
 def stats(s: flows.Summaries) -> DataFrame:
     """(functions, files, sanitizers, transfers, hits, calls, sources) in one row."""
-    of = lambda rows, name: rows.agg(F.count("*").alias(name))
-    first = s.functions.agg(F.count("*").alias("functions"), F.countDistinct("file_path").alias("files"), F.count_if("is_sanitizer").alias("sanitizers"))
-    for rows, name in ((s.transfers, "transfers"), (s.hits, "hits"), (s.calls, "calls"), (s.sources, "sources")):
-        first = first.join(of(rows, name))  # one row each
-    return first
+    of = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    told = s.functions.agg(F.count("*").alias("functions"), F.countDistinct("file_path").alias("files"), F.count_if("is_sanitizer").alias("sanitizers"))
+    rows = told.select(F.explode(F.create_map(*[x for c in told.columns for x in (F.lit(c), F.col(c))])).alias("what", "n"))
+    for table, name in ((s.transfers, "transfers"), (s.hits, "hits"), (s.calls, "calls"), (s.sources, "sources")):
+        rows = rows.unionByName(of(table, name))
+    return rows.agg(*[F.max(F.when(F.col("what") == c, F.col("n"))).alias(c) for c in (*told.columns, "transfers", "hits", "calls", "sources")])
