@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,22 +44,9 @@ def any_of(patterns: tuple[str, ...]) -> str:
     return "|".join(f"({p})" for p in patterns)
 
 
-_FOLDER = re.compile(r"\(\^\|/\)([\w-]+)(s\?)?/")
-_PLAIN = re.compile(r"[\w @/-]+")
-
-
 def fits(path: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether one of the patterns is in the path. Patterns that are a folder's name or plain text are substring tests, far
-    cheaper than an alternation tried at every character; only the others are a regular expression, and come last."""
-    slashed, plain, rest = F.concat(F.lit("/"), path), [], []
-    for p in patterns:
-        if m := _FOLDER.fullmatch(p):
-            plain += [slashed.contains(f"/{m[1]}{s}/") for s in (("", "s") if m[2] else ("",))]
-        elif _PLAIN.fullmatch(p):
-            plain.append(path.contains(p))
-        else:
-            rest.append(p)
-    return reduce(lambda a, b: a | b, plain + ([path.rlike("|".join(f"(?:{p})" for p in rest))] if rest else []))
+    """Whether one of the patterns is in the path, as one expression: chains of tests multiply where plans are collapsed."""
+    return path.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
 def normalized(path: Column) -> Column:
