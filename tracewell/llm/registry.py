@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import fingerprints, jaccard, language, licenses, mixing, pieces, quality, topk, toxicity, urls
+from tracewell.llm import collocations, fingerprints, jaccard, language, licenses, merkle, mixing, packing, pieces, quality, topk, toxicity, urls
 from tracewell.session import share_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +34,18 @@ def queries() -> dict[str, Query]:
         quality.op8_quality,
         mixing.op9_mixing,
         topk.op10_topk,
+        packing.op11_packing,
+        merkle.op12_merkle,
+        collocations.op13_collocations,
     ]
     return {f.__name__: _shared(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard.JACCARD_SQL, "op9_mixing": mixing.MIXING_SQL, "op10_topk": topk.TOPK_SQL}
+    return {
+        "op2_jaccard_join": jaccard.JACCARD_SQL,
+        "op9_mixing": mixing.MIXING_SQL,
+        "op10_topk": topk.TOPK_SQL,
+        "op12_merkle": merkle.MERKLE_SQL,
+        "op13_collocations": collocations.COLLOCATIONS_SQL,
+    }

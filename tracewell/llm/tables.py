@@ -143,3 +143,33 @@ def summed(df: DataFrame, size: int, kernel: Callable[[], Callable[[pa.RecordBat
     for row in out.collect():
         total[row.block * step : (row.block + 1) * step] = np.frombuffer(bytes(row.data), np.int64)
     return total[:size]
+
+
+def with_notes(rows: DataFrame, notes: DataFrame, part: str, parts: int, work: Callable[[Iterable[pa.RecordBatch], list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType, order: list[str] | None = None) -> DataFrame:
+    """work(batches of a partition's rows, batches of the notes to it) for each partition of rows by the number in the column part.
+
+    Rows and notes of a partition meet in one task, dealt by its number itself, so tasks are as even as the partitions were. The
+    notes come first and are held; rows stream, in the order of the columns in order. The columns of notes must have names of their own.
+    """
+    kept, told = [c for c in rows.columns if c != part], [c for c in notes.columns if c != part]
+    nothing = lambda df, names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
+    both = notes.select(F.col(part), F.lit(0).alias("__kind"), *nothing(rows, kept), *told).unionAll(rows.select(F.col(part), F.lit(1).alias("__kind"), *kept, *nothing(notes, told)))
+    dealt = both.repartitionById(max(1, parts), F.col(part)).sortWithinPartitions("__kind", *(order or []))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def own() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = int(np.count_nonzero(batch.column(1).to_numpy() == 0))
+                if n:
+                    held.append(batch.slice(0, n).select(told))
+                if n < batch.num_rows:
+                    yield batch.slice(n).select(kept)
+
+        stream = own()
+        first = next(stream, None)  # by then all notes are in
+        if first is not None:
+            yield from work((b for bs in ([first], stream) for b in bs), held)
+
+    return dealt.mapInArrow(run, schema)
