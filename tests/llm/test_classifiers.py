@@ -322,3 +322,21 @@ def test_language_query_agrees_with_brute_force(spark, tmp_path):
             continue
         p = chances(values(text) | {None: 1.0}, t)
         assert got[i]["lang_pred"] == labels[int(p[1] > p[0])] and abs(got[i]["score"] - max(p)) < 5e-3, (i, p, got[i])
+
+
+def test_segment_scan_is_linear():
+    """Gains below the drift between them leave every token a segment of its own: the scan must not look at them again."""
+    import time
+
+    def seconds(n: int) -> float:
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            found = toxicity.maximal_segments(np.arange(n) * 3, np.full(n, 1.2), 1.0)
+            best = min(best, time.perf_counter() - began)
+            assert len(found) == n
+        return best
+
+    assert seconds(64_000) < 8 * 4 * seconds(8_000)
+    rising = np.arange(64_000) * 2
+    assert len(toxicity.maximal_segments(rising, np.linspace(0.5, 2, 64_000), 1.0)) > 1

@@ -280,3 +280,31 @@ def test_stages_keep_columns_and_bear_odd_rows(spark, odd):
             out.collect()
             assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
     assert jaccard.WORDS == 5
+
+
+def test_class_sample_of_repeated_ids(spark):
+    """Rows that share an id are drawn apart where drawing them together gives none or far too many."""
+    for one in range(6):
+        df = spark.range(20_000).selectExpr(f"CAST({one} AS LONG) AS id", "'a' AS label").unionAll(spark.range(30).selectExpr("id", "'b' AS label"))
+        got = tables.class_counts(tables.class_sample(df, "label", "id", 500, salt=11), "label")
+        assert 300 < got["a"] <= 1100 and got["b"] == 30
+    few = spark.range(50).selectExpr("7L AS id", "concat('l', id % 25) AS label")
+    assert set(tables.class_counts(tables.class_sample(few, "label", "id", 1, salt=5), "label")) == {f"l{k}" for k in range(25)}
+
+
+def test_training_on_repeated_ids(spark):
+    docs = spark.range(400).selectExpr("1L AS doc_id", "if(id % 2 = 0, 'the and of to that', 'der die und das ist') AS text", "if(id % 2 = 0, 'en', 'de') AS lang", "CAST(id % 2 AS int) AS toxic")
+    model = language.train(docs, per_class=50)
+    assert [r["lang_pred"] for r in language.predict(docs.limit(2), model).collect()] == ["en", "de"]
+    pages = docs.selectExpr("doc_id AS page_id", "if(lang = 'en', 'http://a.com/x', 'http://b.net/1/2/3?q=9') AS url", "if(lang = 'en', 'allow', 'block') AS label")
+    trees = urls.train(pages, per_class=50)
+    assert len(trees.trees) > 0
+
+
+def test_mixing_with_clashing_columns(spark):
+    names = ["times", "copies", "key", "hash", "bucket", "group", "name", "size", "__id", "__of", "__hash", "__nth", "__number", "__time", "__row", "target"]
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('word ', id, ' more') AS text", "if(id % 2 = 0, 'a', 'b') AS source", *[f"CAST(id AS STRING) AS `{n}`" for n in names])
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[n] == str(r["doc_id"]) for r in rows for n in names)

@@ -117,18 +117,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     n = sized.count()
     total = sized.agg(F.sum("size")).first()[0] or 0
     same = ["id", "source", "body"]
-    docs_, number = docs.withColumns({"__source": source, "__body": body}), F.lit(1)
+    # the rows ride in a struct, so that no column of theirs can be taken for one of the plan's
+    docs_, number = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), F.col(id_col).alias("__own"), source.alias("__source"), body.alias("__body")), F.lit(1)
     if sized.groupBy(*same).count().filter("count > 1").limit(1).count():
         sized = tables.cut(sized.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("key"))))
-        number = F.row_number().over(Window.partitionBy(id_col, "__source", "__body").orderBy("__body"))
+        number = F.row_number().over(Window.partitionBy("__own", "__source", "__body").orderBy("__body"))
     else:
         sized = sized.withColumn("nth", F.lit(1))
-    drawn = plan(sized, n, weights, tilts, most).filter(F.col("copies") > 0).select(F.col("id").alias("__id"), F.col("source").alias("__of"), F.col("body").alias("__hash"), F.col("nth").alias("__nth"), "times")
+    drawn = plan(sized, n, weights, tilts, most).filter(F.col("copies") > 0).select(F.col("id").alias("__id"), F.col("source").alias("__of"), F.col("body").alias("__hash"), F.col("nth").alias("__nth"), F.col("times").alias("__times"))
     parts = min(1 << 18, max(1, -(-6 * int(total) // bytes_per_range)))
-    equal = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__body") == F.col("__hash")) & (F.col("__number") == F.col("__nth"))
-    out = docs_.withColumn("__number", number).join(drawn, equal).withColumn("__time", F.explode("times"))
+    equal = F.col("__own").eqNullSafe(F.col("__id")) & F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__body") == F.col("__hash")) & (F.col("__number") == F.col("__nth"))
+    out = docs_.withColumn("__number", number).join(drawn, equal).withColumn("__time", F.explode("__times"))
     out = out.withColumn("__range", F.least(F.lit(parts - 1), F.floor(F.col("__time") * parts)).cast("int"))
-    return out.repartitionById(parts, F.col("__range")).sortWithinPartitions("__range", "__time", "__id", "__body").select(*docs.columns)
+    return out.repartitionById(parts, F.col("__range")).sortWithinPartitions("__range", "__time", "__id", "__body").select("__row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -98,13 +98,32 @@ def class_counts(df: DataFrame, label: str) -> dict:
 
 
 def class_sample(df: DataFrame, label: str, key: str, per_class: int, salt: int, counts: dict | None = None) -> DataFrame:
-    """About per_class rows of each label, chosen by a hash of the key; every row of a smaller class."""
+    """About per_class rows of each label, chosen by a hash of the key; every row of a smaller class.
+
+    Rows that share a key go in or out together. Where that leaves a class without rows, or with over twice as many as
+    asked for, its rows are drawn by their place in the files as well; if there is still none, some per_class rows are taken.
+    """
     counts = class_counts(df, label) if counts is None else counts
-    unit = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    keep = F.lit(False)
-    for value, count in sorted(counts.items(), key=lambda kv: str(kv[0])):
-        keep = keep | ((F.col(label) == F.lit(value)) & (unit < F.lit(min(1.0, per_class / count))))
-    return df.filter(keep)
+    every = sorted(counts.items(), key=lambda kv: str(kv[0]))
+
+    def drawn(unit: Column, classes: list) -> Column:
+        keep = F.lit(False)
+        for value, count in classes:
+            keep = keep | ((F.col(label) == F.lit(value)) & (unit < F.lit(min(1.0, per_class / count))))
+        return keep
+
+    unit = lambda *more: F.pmod(F.xxhash64(F.col(key), F.lit(salt), *more), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    got = class_counts(df.filter(drawn(unit(), every)), label)
+    well = [(v, n) for v, n in every if 0 < got.get(v, 0) <= 2 * per_class + 100]
+    out, rest = df.filter(drawn(unit(), well)), [(v, n) for v, n in every if (v, n) not in well]
+    if rest:
+        placed = df.withColumn("__place", F.monotonically_increasing_id()).filter(drawn(unit(F.col("__place")), rest)).drop("__place")
+        out = out.unionAll(placed)
+        found = class_counts(placed, label)
+        for value, _ in rest:
+            if not found.get(value):
+                out = out.unionAll(df.filter(F.col(label) == F.lit(value)).limit(per_class))
+    return out
 
 
 def summed(df: DataFrame, size: int, kernel: Callable[[], Callable[[pa.RecordBatch, np.ndarray], None]]) -> np.ndarray:

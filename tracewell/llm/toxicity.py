@@ -73,23 +73,23 @@ def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tup
 
     Only the tokens at `at` gain; every other one costs `drift`. The scan steps over gaining tokens alone.
     """
-    stack: list[list[float]] = []  # first, last, sum before, sum after
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, the nearest below with a smaller sum before
     total, before = 0.0, -1
     for where, plus in zip(at.tolist(), gain.tolist(), strict=True):
         total -= drift * (where - before - 1)
         before = where
-        new = [where, where, total, total + plus]
+        first, low, k = where, total, len(stack) - 1
         total += plus
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= new[3]:
+            while k >= 0 and stack[k][2] >= low:
+                k = stack[k][4]
+            if k < 0 or stack[k][3] >= total:
                 break
-            new = [stack[k][0], new[1], stack[k][2], new[3]]
+            first, _, low, _, under = stack[k]
             del stack[k:]
-        stack.append(new)
-    return [(int(a), int(b), right - left) for a, b, left, right in stack]
+            k = under
+        stack.append((first, where, low, total, k))
+    return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
 def feature(evidence: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     value = (trust * stem_odds(toxic, other, n_toxic, n_other)).astype(np.float32).reshape(len(STEMS), SIZE)
     model = Model(value, (1 - trust).astype(np.float32).reshape(len(STEMS), SIZE), drift, 1.0, 0.0, level, 1.0, 0.0, n_toxic / (n_other + n_toxic), True)
 
-    sample = tables.class_sample(known.filter(fold), "label", "id", calibration_per_class, salt=5)
+    sample = tables.class_sample(body.filter(fold).join(tables.if_small(known.filter(fold)), "id"), "label", "id", calibration_per_class, salt=5)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("tokens", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("bins", T.BinaryType())]
 
@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
         return work
 
     # the sample has at most about calibration_per_class rows of two short arrays for either label
-    chosen = tables.add_columns(body.filter(fold).join(F.broadcast(sample), "id"), "body", fields, scan_kernel, keep=["label"]).collect()
+    chosen = tables.add_columns(sample, "body", fields, scan_kernel, keep=["label"]).collect()
     n = np.array([max(1, r["tokens"]) for r in chosen], float)
     y = np.array([r["label"] for r in chosen], float)
     if not (y == 0).any():
