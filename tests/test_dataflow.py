@@ -78,6 +78,11 @@ SNIPPETS = {
     "literal": ("function f(req) { const q = req.query.q; if (q === 'asc') { db.query(q); } }", []),
     "either": ("function f(req, c) { const q = req.query.q; if (c || allowed.has(q)) { db.query(q); } }", [("db-query", "req-query", False)]),
     "both": ("function f(req, c) { const q = req.query.q; if (c && allowed.has(q)) { db.query(q); } }", []),
+    "mixed": ("function f(req, a, b) { const q = req.query.q; if (!validate(q) && a || b) { return; } db.query(q); }", [("db-query", "req-query", False)]),
+    "bracketed": ("function f(req, a, b) { const q = req.query.q; if ((a || b) && allowed.has(q)) { db.query(q); } }", []),
+    "neither": ("function f(req, a) { const q = req.query.q; if (!(a && allowed.has(q))) { return; } db.query(q); }", []),
+    "each_way": ("function f(req, a) { const q = req.query.q; if (a && q === 'x' || allowed.has(q)) { db.query(q); } }", []),
+    "chosen": ("function f(req, a) { const q = req.query.q; if (a ? allowed.has(q) : true) { db.query(q); } }", [("db-query", "req-query", False)]),
     "loop": ("function f(req) { let q = ''; for (const i of xs) { db.query(q); q = req.body.v; } }", [("db-query", "req-body", False)]),
     "catch": ("function f(req) { let q = 'a'; try { q = req.body.v; go(); } catch (e) { eval(q); } }", [("eval", "req-body", False)]),
     "self": ("function f(req) { let q = req.body.v; q = escapeHtml(q); res.send(q); }", [("html-output", "req-body", True)]),
@@ -124,7 +129,7 @@ def test_calls_are_resolved_through_imports_and_reexports(project):
 def test_summaries_from_code(project):
     s = project[3]
     moved = {(r["fn"], r["param"]): (r["sanitized"], r["sanitizations"]) for r in s.transfers.collect()}
-    assert moved == {("src/deep.ts#inner", 0): (False, []), ("src/deep.ts#pass", 0): (False, []), ("src/db.ts#run", 0): (False, []), ("src/lib.ts#clean", 0): (True, ["html-escape"])}
+    assert moved == {("src/deep.ts#inner", 0): (False, []), ("src/deep.ts#pass", 0): (False, []), ("src/deep.ts#@3:16", 0): (False, []), ("src/db.ts#run", 0): (False, []), ("src/lib.ts#clean", 0): (True, ["html-escape"])}
     assert {r["fn"]: r["sanitizer_kind"] for r in s.functions.filter("is_sanitizer").collect()} == {"src/lib.ts#clean": "html-escape"}
     found = {(r["source_kind"], r["sink_fn"], r["sink_kind"], r["sanitized"]) for r in flows.forward(s, include_sanitized=True).collect()}
     assert found == {("req-body", "src/db.ts#run", "db-query", False), ("req-query", "src/h.ts#handle", "html-output", False), ("req-params", "src/h.ts#handle", "html-output", True)}
@@ -156,3 +161,29 @@ def test_names_that_count_inside_one_function(spark):
     files = spark.createDataFrame(list(code.items()), "path string, content string")
     got = {(r["path"], r["sink_kind"], r["origin"], tuple(r["sanitizations"])) for r in dataflow.tainted(cfg.extract(files), summaries.SCOPE).collect()}
     assert got == {("orm", "db-query", "req.params", ()), ("checked", "db-mutation", "req.body", ("validator",)), ("schema", "db-mutation", "req.body", ("schema",)), ("file", "file-read", "req.query", ()), ("away", "redirect", "ctx.query", ())}
+
+
+def test_a_long_chain_of_reexports_and_a_cycle(spark):
+    chain = [(f"src/m{k}.ts", f"export * from './m{k + 1}';\n") for k in range(40)] + [("src/m40.ts", "export function deep(x) { return x; }\nexport * from './m0';\n")]
+    files = spark.createDataFrame(chain, "path string, content string")
+    shown = {r["path"]: (r["origin_path"], r["origin"]) for r in resolve.exported_names(facts.extract(files), files).filter("shown = 'deep'").collect()}
+    assert shown == {p: ("src/m40.ts", "deep") for p, _ in chain}
+
+
+def test_a_cycle_of_classes(spark):
+    extends = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "class_id string, base_id string")
+    methods = spark.createDataFrame([("c", "run")], "class_id string, method string")
+    classes = spark.createDataFrame([("a",), ("b",), ("c",)], "class_id string")
+    assert {tuple(r) for r in resolve.dispatched(classes, extends, methods).collect()} == {("a", "run", "c", 2), ("b", "run", "c", 1), ("c", "run", "c", 0)}
+
+
+def test_reading_a_large_file_is_linear():
+    import time
+
+    from tracewell.extract.bindings import Flows
+
+    text = "\n".join(f"export function f{k}(a, b) {{ try {{ g{k}(a); }} catch (e) {{ log(e); }} return b; }}" for k in range(8000))
+    for read in (lambda: len(facts.read_file(text)), lambda: len(Flows(text).flows())):
+        began = time.perf_counter()
+        assert read() > 16000
+        assert time.perf_counter() - began < 8

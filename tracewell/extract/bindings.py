@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.extract.facts import _NOT_METHODS, Reader
+from tracewell.extract.tokens import innermost
 
 SCHEMA = "path string, fn string, kind string, line int, ix int, arg int, target string, callee string, uses array<string>"
 _ARROW = pa.schema([("path", pa.string()), ("fn", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("ix", pa.int32()), ("arg", pa.int32()), ("target", pa.string()), ("callee", pa.string()), ("uses", pa.list_(pa.string()))])
@@ -42,6 +43,7 @@ class Flows(Reader):
         self.head_at = {opened: end for _, opened, _, _, end in self.heads}
         self.made_at = {opened: self.name_of(k, j) for j, (k, opened, _, _, _) in enumerate(self.heads)}
         self.owners = [(opened - 1, end, self.name_of(k, j)) for j, (k, opened, _, _, end) in enumerate(self.heads)]
+        self._owned: list[int] | None = None
         self.out: list[dict] = []
 
     def name_of(self, k: int, j: int) -> str:
@@ -52,11 +54,10 @@ class Flows(Reader):
         return f"@{self.s.line(at)}:{self.s.column(at)}"
 
     def owner(self, k: int) -> str:
-        best = None
-        for a, b, name in self.owners:
-            if a < k <= b and (best is None or a > best[0]):
-                best = (a, name)
-        return best[1] if best else ""
+        if self._owned is None:
+            self._owned = innermost([(a, b) for a, b, _ in self.owners], len(self.s.tokens))
+        n = self._owned[k] if k < len(self._owned) else -1
+        return self.owners[n][2] if n >= 0 else ""
 
     def row(self, k: int, kind: str, fn: str | None = None, **more) -> None:
         self.out.append({"fn": self.owner(k) if fn is None else fn, "kind": kind, "line": self.s.line(self.s.tokens[k].at), "ix": None, "arg": None, "target": None, "callee": None, "uses": []} | more)

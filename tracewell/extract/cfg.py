@@ -5,6 +5,7 @@ Rows (path, fn, kind, block, to, label, line, end_line, ix, var, uses):
 - block: a straight run of statements; label is entry, exit, body, test, join, catch, finally or case;
 - edge: from block to `to`; label is next, true, false, back, case, default, exception, break, continue, return or throw;
 - test: what the block's last expression tests: uses are its names, var its text;
+- settled: var cannot hold any text on the edges of label (true or false) that leave a test;
 - def: var gets a value made of uses, as number ix in the order of the text; parameters are defined in the entry. The result of
   call number k is defined as "@k", with the callee as label;
 - arg: argument number `to` of the call ix, whose callee is var.
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.extract.bindings import Flows
+from tracewell.extract.conditions import settled
+from tracewell.extract.tokens import innermost
 
 SCHEMA = "path string, fn string, kind string, block int, to int, label string, line int, end_line int, ix int, var string, uses array<string>"
 _ARROW = pa.schema([("path", pa.string()), ("fn", pa.string()), ("kind", pa.string()), ("block", pa.int32()), ("to", pa.int32()), ("label", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("ix", pa.int32()), ("var", pa.string()), ("uses", pa.list_(pa.string()))])
@@ -35,6 +38,8 @@ class Graph:
         self.spans: list[tuple[int, int, int]] = []  # first token, end, block
         self.targets: list[tuple[str, str, int]] = []  # kind (break or continue), label, block
         self.handlers: list[int] = []
+        self.owner: list[int] | None = None  # of each token from self.first on: the block of the shortest span around it
+        self.first = 0
         self.entry, self.exit = self.new("entry"), self.new("exit")
 
     def new(self, label: str, k: int | None = None) -> int:
@@ -281,8 +286,11 @@ class Graph:
 
     def block_of(self, k: int) -> int:
         """The block of the shortest span around token k."""
-        found = [(b - a, block) for a, b, block in self.spans if a <= k < b]
-        return min(found)[1] if found else self.entry
+        if self.owner is None:
+            by_size = sorted(self.spans, key=lambda x: (x[1] - x[0], x[2]))
+            self.first = min((a for a, *_ in by_size), default=0)
+            self.owner = [by_size[n][2] if n >= 0 else self.entry for n in innermost([(a - 1 - self.first, b - 1 - self.first) for a, b, _ in by_size], max((b for _, b, _ in by_size), default=0) - self.first)]
+        return self.owner[k - self.first] if 0 <= k - self.first < len(self.owner) else self.entry
 
     def rows(self) -> list[dict]:
         s, out = self.s, []
@@ -295,6 +303,8 @@ class Graph:
         for block, a, b in self.tests:
             if a < b:
                 out.append(none | {"kind": "test", "block": block, "line": line(a), "var": s.text[s.tokens[a].at : s.tokens[b - 1].at + len(s.tokens[b - 1].text)], "uses": self.f.uses(a, b)})
+                for label, names in zip(("true", "false"), settled(s, a, b), strict=True):
+                    out += [none | {"kind": "settled", "block": block, "label": label, "var": name} for name in sorted(names)]
         return out
 
 

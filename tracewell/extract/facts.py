@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.extract.tokens import Source, unquoted
+from tracewell.extract.tokens import Source, innermost, unquoted
 
 SCHEMA = "path string, kind string, ix int, name string, line int, column int, end_line int, scope string, about map<string,string>"
 _ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("ix", pa.int32()), ("name", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("end_line", pa.int32()), ("scope", pa.string()), ("about", pa.map_(pa.string(), pa.string()))])
@@ -31,8 +32,11 @@ class Reader:
         self.functions: list[tuple[int, int, str, bool]] = []  # first and last token of the body, name, async
         self.heads: list[tuple[int, int, int, int, int]] = []  # of each function: name, parameters' first and last, body's first and last token
         self.blocks: list[tuple[int, int, str]] = []  # first, last, kind: try, catch, loop
+        self._scopes: list[int] | None = None
+        self._inside: dict[str, list[int]] = {}
         self._functions()
         self._blocks()
+        self.ends = {b for _, b, *_ in self.functions}
 
     def add(self, kind: str, name: str, k: int, end: int | None = None, **about) -> None:
         s = self.s
@@ -43,14 +47,20 @@ class Reader:
 
     def scope(self, k: int) -> tuple[str, bool]:
         """The innermost function around token k: its name ("" at the top of the file) and whether it is async."""
-        best = None
-        for a, b, name, is_async in self.functions:
-            if a < k <= b and (best is None or a > best[0]):
-                best = (a, name, is_async)
-        return (best[1], best[2]) if best else ("", False)
+        if self._scopes is None:
+            self._scopes = innermost([(a, b) for a, b, *_ in self.functions], len(self.s.tokens))
+        n = self._scopes[k] if k < len(self._scopes) else -1
+        return (self.functions[n][2], self.functions[n][3]) if n >= 0 else ("", False)
 
     def within(self, k: int, kind: str) -> bool:
-        return any(a < k < b for a, b, x in self.blocks if x == kind)
+        if kind not in self._inside:
+            steps = [0] * (len(self.s.tokens) + 2)
+            for a, b, x in self.blocks:
+                if x == kind:
+                    steps[a + 1] += 1
+                    steps[b] -= 1
+            self._inside[kind] = list(accumulate(steps))
+        return self._inside[kind][k] > 0
 
     def _functions(self) -> None:
         s = self.s
@@ -236,7 +246,7 @@ class Reader:
         if s.kind(j) != "name" or s.word(j) in _NOT_METHODS:
             return
         end = s.partner[k]
-        if s.word(end + 1) == "{" and any(b == s.partner[end + 1] for _, b, *_ in self.functions):
+        if s.word(end + 1) == "{" and s.partner[end + 1] in self.ends:
             return  # a method's own head
         parts = [s.word(j)]
         while s.word(j - 1) in (".", "?."):

@@ -137,3 +137,19 @@ class Source:
 
 def unquoted(text: str) -> str:
     return text[1:-1] if len(text) > 1 and text[-1] == text[0] else text[1:]
+
+
+def innermost(spans: list[tuple[int, int]], n: int) -> list[int]:
+    """For each k below n the number of the span (a, b) that begins last with a < k <= b, or -1; of spans that begin
+    together the one that ends first, then the first named. One sweep, whatever the nesting."""
+    order = sorted(range(len(spans)), key=lambda i: (spans[i][0], -spans[i][1], -i))
+    out, open_, at = [-1] * max(0, n), [], 0
+    for k in range(n):
+        while at < len(order) and spans[order[at]][0] < k:
+            open_.append(order[at])
+            at += 1
+        while open_ and spans[open_[-1]][1] < k:
+            open_.pop()
+        if open_:
+            out[k] = open_[-1]
+    return out

@@ -18,7 +18,7 @@ TEST = (
 GENERATED = (
     r"(^|/)generated/", r"(^|/)__generated__/", r"(^|/)\.next/", r"(^|/)dist/", r"(^|/)build/", r"(^|/)out/", r"(^|/)output/", r"(^|/)lib/",
     r"@generated", r"autogenerated", r"auto-generated", r"do not edit", r"generated by",
-    r"\.generated\.(ts|js|tsx|jsx)$", r"\.g\.(ts|js)$", r"-generated\.(ts|js)$", r"\.d\.ts$",
+    r"\.generated\.(ts|js|tsx|jsx)$", r"\.g\.(ts|js)$", r"-generated\.(ts|js)$", r"__generated__/.*\.tsx?$", r"\.d\.ts$",
     r"\.pb\.(ts|js)$", r"_pb\.(ts|js)$", r"\.proto\.ts$", r"\.graphql\.ts$", r"/\.prisma/", r"@prisma/client",
     r"/migrations?/", r"/migrate/", r"swagger-codegen", r"openapi-generator",
     r"package-lock\.json$", r"yarn\.lock$", r"pnpm-lock\.yaml$", r"/node_modules/",

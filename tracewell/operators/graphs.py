@@ -40,6 +40,24 @@ def closure(start: DataFrame, step, rounds: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def cheapest(start: DataFrame, keys: list[str], cost: str, step) -> DataFrame:
+    """(keys, cost): what start(keys, cost) and step(rows) lead to, each at its least cost.
+
+    A round works on the rows that are new or cheaper than before; with costs that grow along a step it ends in spite of cycles.
+    """
+    best = lambda df: df.groupBy(*keys).agg(F.min(cost).alias(cost))
+    fresh = cut(best(start.select(*keys, cost)))
+    known = fresh
+    while True:
+        was = known.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(cost).alias("__was"))
+        equal = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys])
+        met = best(step(fresh).select(*keys, cost)).join(was, equal, "left").filter(F.col("__was").isNull() | (F.col(cost) < F.col("__was")))
+        fresh = cut(met.select(*keys, cost))
+        if not fresh.limit(1).count():
+            return known
+        known = cut(best(known.unionByName(fresh)))
+
+
 def reachable(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:
     """(start, node): every node that a start leads to over edges (source to target), itself included."""
     hop = edges.select(F.col(source).alias("node"), F.col(target).alias("__to")).distinct()

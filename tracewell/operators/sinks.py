@@ -120,14 +120,14 @@ def summary_text(issues: DataFrame) -> str:
     return "\n".join(out)
 
 
-def write_html(issues: DataFrame, path: str, most_rows: int = 2000) -> None:
-    """A page with totals, engines, files and the riskiest rows (most_rows is a limit of the page, not of the counts)."""
+def write_html(issues: DataFrame, path: str) -> None:
+    """A page with totals, engines, files and all rows, the riskiest first."""
     counts = report.final_counts(issues).first()
     root = report.common_root(issues).first()["root"] or ""
     engines = report.per_engine(issues).orderBy(F.col("criticals").desc(), F.col("warnings").desc(), "engine").collect()
     files = report.top_by_count(issues, "file_path", 5).collect()
     score = scalars.display_risk(F.col("severity"), F.col("confidence"), F.col("engine"))
-    rows = issues.orderBy(score.desc(), "ord").limit(most_rows)
+    rows = issues.orderBy(score.desc(), "ord")
     cell = lambda *values: "<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in values) + "</tr>\n"
     with open(path, "w", encoding="utf-8") as out:
         out.write(f"<!DOCTYPE html><meta charset='utf-8'><title>Findings</title><h1>{counts['total']} findings</h1><p>{counts['error_count']} errors, {counts['warning_count']} warnings, {counts['info_count']} infos below {html.escape(root)}</p>\n")

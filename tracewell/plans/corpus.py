@@ -254,6 +254,8 @@ BODIES = (
     ("const q = req.query.q;\n  if (typeof q === 'number') { db.query(q); }", None, None, None),
     ("const q = req.query.q;\n  if (!allowed.has(q)) { return; }\n  exec(q);", None, None, None),
     ("let q = '';\n  for (const i of xs) { eval(q); q = req.body.v; }", "eval", "req-body", False),
+    ("const q = req.query.q;\n  if (!validate(q) && x || y) { return; }\n  db.query(q);", "db-query", "req-query", False),
+    ("const q = req.query.q;\n  if ((x || y) && allowed.has(q)) { db.query(q); }", None, None, None),
     ("let q = 'a';\n  try { q = req.body.v; go(); } catch (e) { res.send(q); }", "html-output", "req-body", False),
 )
 

@@ -63,30 +63,8 @@ def ordered(steps: DataFrame, first: DataFrame, doms: DataFrame) -> DataFrame:
 
 
 def refinements(cfg: DataFrame) -> DataFrame:
-    """(path, fn, block, label, var): on this edge of a test the variable cannot hold any text: it was compared with a literal,
-    found in a fixed set, matched or validated, or is of a type that carries none."""
-    text = F.trim(F.col("var"))
-    parts = F.when(text.contains("||"), F.split(text, r"\|\|")).otherwise(F.split(text, "&&"))
-    tests = cfg.filter("kind = 'test'").select(*FN, "block", text.contains("||").alias("any"), (F.size(parts) == 1).alias("alone"), F.explode(parts).alias("part"))
-    tests = tests.withColumn("part", F.trim("part"))
-    negated = F.col("part").rlike(r"^!\s*[\w(/]")
-    bare = F.regexp_replace("part", r"^!\s*", "")
-    typed = r"^typeof\s+([\w.]+)\s*(===?|!==?)\s*['\"](number|boolean|bigint|symbol|undefined)['\"]$"
-    equal = r"^([\w.]+)\s*(===?|!==?)\s*(?:['\"][^'\"]*['\"]|-?\d[\w.]*|null|undefined|true|false)$"
-    member = r"^[\w.]+\.(?:has|includes)\(\s*([\w.]+)\s*\)$"
-    matched = r"^/.*/[a-z]*\.test\(\s*([\w.]+)\s*\)$"
-    checked = r"^(?:[\w.]*\.)?(?:validate|isValid|isSafe|isAllowed|check|verify|isEmail|isUUID|isInt|isAlphanumeric)\w*\(\s*([\w.]+)"
-    counted = r"^(?:Number\.)?(?:isInteger|isSafeInteger|isFinite)\(\s*([\w.]+)\s*\)$"
-    var, differs = F.lit(""), F.lit(False)
-    for pattern, sign in ((typed, True), (equal, True), (member, False), (matched, False), (checked, False), (counted, False)):
-        hit = F.regexp_extract(bare, pattern, 1)
-        var = F.when(var == "", hit).otherwise(var)
-        if sign:
-            differs = differs | F.regexp_extract(bare, pattern, 2).startswith("!")
-    holds = negated == differs  # what is left when the test is true
-    found = tests.withColumns({"name": var, "edge": F.when(holds, "true").otherwise("false")}).filter("name <> ''")
-    sure = F.when(F.col("any"), F.col("edge") == "false").otherwise(F.col("edge") == "true")  # a || b being false, or a && b being true, settles both
-    return found.filter(sure | F.col("alone")).select(*FN, "block", F.col("edge").alias("label"), root(F.col("name")).alias("var")).distinct()
+    """(path, fn, block, label, var): on this edge of a test the variable cannot hold any text (see extract.conditions)."""
+    return cfg.filter("kind = 'settled'").select(*FN, "block", "label", root(F.col("var")).alias("var")).distinct()
 
 
 # definitions

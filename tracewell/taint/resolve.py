@@ -43,9 +43,9 @@ def exported_names(facts: DataFrame, files: DataFrame, prefixes: dict[str, str]
     def step(new: DataFrame) -> DataFrame:
         by_name = new.join(named, ["path", "shown"]).select(F.col("from_path").alias("path"), F.col("as_name").alias("shown"), "origin_path", "origin", (F.col("rank") + 1).alias("rank"))
         by_star = new.filter("shown <> 'default'").join(star, "path").select(F.col("from_path").alias("path"), "shown", "origin_path", "origin", (F.col("rank") + 100).alias("rank"))
-        return by_name.unionByName(by_star).filter("rank < 2000")
+        return by_name.unionByName(by_star)
 
-    every = graphs.closure(own, step, rounds=20)
+    every = graphs.cheapest(own, ["path", "shown", "origin_path", "origin"], "rank", step)
     first = Window.partitionBy("path", "shown").orderBy("rank", "origin_path", "origin")
     return every.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select("path", "shown", "origin_path", "origin")
 
@@ -100,7 +100,7 @@ def dispatched(classes: DataFrame, extends: DataFrame, methods: DataFrame) -> Da
     extends(class_id, base_id), methods(class_id, method). The closure of a class's line follows `extends` upwards.
     """
     up = graphs.cut(extends.select(F.col("class_id").alias("at"), "base_id"))
-    line = graphs.closure(classes.select("class_id", F.col("class_id").alias("at"), F.lit(0).alias("depth")), lambda new: new.filter("depth < 1000").join(up, "at").select("class_id", F.col("base_id").alias("at"), (F.col("depth") + 1).alias("depth")))
+    line = graphs.cheapest(classes.select("class_id", F.col("class_id").alias("at"), F.lit(0).alias("depth")), ["class_id", "at"], "depth", lambda new: new.join(up, "at").select("class_id", F.col("base_id").alias("at"), (F.col("depth") + 1).alias("depth")))
     met = line.join(methods.select(F.col("class_id").alias("at"), "method"), "at")
     return met.groupBy("class_id", "method").agg(F.min_by("at", "depth").alias("owner"), F.min("depth").alias("depth"))
 
