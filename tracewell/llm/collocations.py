@@ -5,10 +5,11 @@ with a gap behind every piece. Suffixes are ranked by prefix doubling (1, 2, 4 w
 sorted; neighbours that agree in n words or more form an LCP interval, whose size is the count of those n words in the shard.
 The counts of all shards are added by language and phrase.
 
-A phrase cannot be more frequent than its parts. So single words are counted first, then pairs of words that are frequent, then
-longer phrases all of whose pairs are frequent; what is rare is a gap in the shard's array. Frequent words and pairs reach
-the tasks as a bitmap of hashes of at most 2**BITS bits: a false hit costs a count, not a result, and if there are so many
-that the bitmap fills up, more is counted and nothing is lost.
+A phrase cannot be more frequent than its parts. So single words are counted first, then phrases all of whose pairs can be
+frequent; what is rare is a gap in the shard's array. Which pairs can be is found by counting hashes of the pairs of frequent
+words, which are sent as steps between ascending hashes, two or three bytes a pair. Frequent words and hashes reach the tasks
+as a bitmap of at most 2**BITS bits: a false hit costs a count, not a result, and if there are so many that the bitmap fills
+up, more is counted and nothing is lost.
 
 Defined results: a null text is empty and a null language is `und`; documents that repeat count each time, with or without an
 id; an empty table has no phrases.
@@ -60,37 +61,35 @@ def _phrase_hash(lang: np.uint64, words: Sequence[np.ndarray]) -> np.ndarray:
 
 
 class Sieve:
-    """A set of hashes that may hold more than was put in, in a bitmap of bounded size."""
+    """A set of hashes of phrases of so many words that may hold more than was put in, in a bitmap of bounded size."""
 
-    def __init__(self, bits: int, cells: np.ndarray):
-        self.bits, self.cells = bits, cells
+    def __init__(self, size: int, bits: int, cells: np.ndarray):
+        self.size, self.bits, self.cells = size, bits, cells
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         slot = hashes >> U64(64 - self.bits)
         return (self.cells[(slot >> U64(5)).astype(np.int64)] >> (slot & U64(31)).astype(np.uint32)) & 1 == 1
 
 
+def _sieve(hashes: DataFrame, size: int) -> Sieve:
+    """A sieve of the hashes (long); the driver gets a number for each 32 bits that are not all 0, so at most the bitmap."""
+    bits = min(BITS, max(16, int(hashes.count()).bit_length() + 5))
+    slot = F.shiftrightunsigned("hash", 64 - bits)
+    found = hashes.groupBy(F.shiftrightunsigned(slot, 5).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - bits}) & 31 AS INT))")).alias("mask")).toArrow()
+    cells = np.zeros(1 << (bits - 5), np.uint32)
+    cells[found.column("cell").to_numpy()] = found.column("mask").to_numpy().astype(np.uint32)
+    return Sieve(size, bits, cells)
+
+
 def sieve(frequent: DataFrame) -> Sieve:
-    """The (lang, phrase) rows of frequent; the driver gets a number for each 32 bits that are not all 0, so at most the bitmap."""
-    bits = min(BITS, max(16, int(frequent.count()).bit_length() + 5))
+    """The words in the (lang, phrase) rows of frequent."""
 
-    def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, phrase = (batch.column(c).cast(pa.string()) for c in (0, 1))
-            split = pc.split_pattern(phrase, " ")
-            words, sizes = _hashes(split.flatten()), pc.list_value_length(split).to_numpy()
-            at, top = np.cumsum(sizes) - sizes, _hashes(lang)
-            found = np.zeros(batch.num_rows, np.uint64)
-            for n in np.unique(sizes):
-                own = np.flatnonzero(sizes == n)
-                found[own] = _phrase_hash(top[own], [words[at[own] + k] for k in range(n)])
-            slot = found >> U64(64 - bits)
-            yield pa.RecordBatch.from_arrays([pa.array((slot >> U64(5)).astype(np.int64)), pa.array(np.int64(1) << (slot & U64(31)).astype(np.int64))], names=["cell", "mask"])
+            lang, word = (_hashes(batch.column(c).cast(pa.string())) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_phrase_hash(lang, [word]).view(np.int64))], names=["hash"])
 
-    cells = np.zeros(1 << (bits - 5), np.uint32)
-    found = frequent.select("lang", "phrase").mapInArrow(slots, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
-    cells[found.column("cell").to_numpy()] = found.column("mask").to_numpy().astype(np.uint32)
-    return Sieve(bits, cells)
+    return _sieve(frequent.select("lang", "phrase").mapInArrow(hashed, "hash long"), 1)
 
 
 def _tokens(texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -190,60 +189,149 @@ def counts(number: np.ndarray, room: np.ndarray, depths: Sequence[int]) -> Itera
         yield n, order[starts], upto[stops] - upto[starts]
 
 
+def _shards(docs: DataFrame, work, schema: str, text_col: str, lang_col: str, shard: int) -> DataFrame:
+    """work(the (language, texts) of a shard) gives its batches; a shard is some shard bytes of a task's texts."""
+    shown = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[pa.Array]] = {}
+        size = 0
+        for batch in batches:
+            for part in tables.parts(batch):
+                langs = part.column(0).dictionary_encode()
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    held.setdefault(lang, []).append(part.column(1).filter(pc.equal(langs.indices, k)))
+                size += part.column(1).nbytes
+                if size >= shard:
+                    yield from work(held)
+                    held, size = {}, 0
+        if held:
+            yield from work(held)
+
+    return shown.mapInArrow(run, schema)
+
+
+def _sifted(lang: str, texts: list[pa.Array], known: Sieve | None) -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
+    """The words of a language in a shard, their numbers in a row and the room behind each, without what the sieve keeps back;
+    and how many there were."""
+    words, number, last = _tokens(texts)
+    total = len(number)
+    if known and total:
+        top, own = _hashes(pa.array([lang])), _hashes(words)
+        if known.size == 1:
+            keep = known.has(_phrase_hash(top, [own]))[number]
+            last = last | ~np.append(keep[1:], True)  # a gap in place of a rare word
+            number, last = number[keep], last[keep]
+        else:
+            pair = np.zeros(total, bool)
+            pair[:-1] = ~last[:-1] & known.has(_phrase_hash(top, [own[number[:-1]], own[number[1:]]]))
+            last = ~pair
+    return words, number, _room(last), total
+
+
 def count(docs: DataFrame, depths: Sequence[int], text_col: str = "text", lang_col: str = "lang", frequent: Sieve | None = None, shard: int = SHARD, totals: bool = False) -> DataFrame:
     """(lang, phrase, f): all occurrences of the phrases of so many words; phrases are words with single spaces between.
 
-    With a sieve of the frequent words (or pairs), phrases with a word (or pair) that is not in it may be left out. With totals,
-    the row of phrase "" has the number of all words.
+    Phrases with a word (or pair) that is not in the sieve may be left out. With totals, the row of phrase "" has the number of
+    all words.
     """
-    spark, shown = docs.sparkSession, docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    given = spark.sparkContext.broadcast((frequent.bits, frequent.cells)) if frequent else None
-
-    def count_shard(lang: str, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        words, number, last = _tokens(texts)
-        found = [(pa.array([""]), np.array([len(number)]))] if totals else []
-        if len(number):
-            if given:
-                known, top, own = Sieve(*given.value), _hashes(pa.array([lang])), _hashes(words)
-                if min(depths) == 2:
-                    good = known.has(_phrase_hash(top, [own]))[number]
-                    keep = good
-                    last = last | ~np.append(good[1:], True)  # a gap before and in place of a rare word
-                    number, last = number[keep], last[keep]
-                else:
-                    pair = np.zeros(len(number), bool)
-                    pair[:-1] = ~last[:-1] & known.has(_phrase_hash(top, [own[number[:-1]], own[number[1:]]]))
-                    last = ~pair
-            room = _room(last) if len(number) else np.zeros(0, np.int64)
+    given = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def work(held: dict[str, list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in held.items():
+            words, number, room, total = _sifted(lang, texts, given.value)
+            found = [(pa.array([""]), np.array([total]))] if totals else []
             for n, places, often in counts(number, room, depths):
                 joined = [words.take(pa.array(number[places + k])) for k in range(n)]
                 found.append((pc.binary_join_element_wise(*joined, " ") if n > 1 else joined[0], often))
-        for phrase, often in found:
-            for a in range(0, len(often), 1 << 16):
-                own = phrase.slice(a, 1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array(often[a : a + (1 << 16)].astype(np.int64))], names=["lang", "phrase", "f"])
+            for phrase, often in found:
+                for a in range(0, len(often), 1 << 16):
+                    own = phrase.slice(a, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array(often[a : a + (1 << 16)].astype(np.int64))], names=["lang", "phrase", "f"])
+
+    # shards have added up their own already, so rows go straight to where they are added
+    return _shards(docs, work, "lang string, phrase string, f long", text_col, lang_col, shard).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+#: Bits of a pair's hash behind those of its bucket.
+_LOW = 24
+_STEP = (1 << 16) - 1
+
+
+def _packed(hashes: np.ndarray, often: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, data) of ascending hashes with their counts: two-byte steps from 0 up in every bucket, then a byte for each count.
+    A longer step is filled up with steps of count 0."""
+    bucket = hashes >> _LOW
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    step = np.diff(hashes & ((1 << _LOW) - 1), prepend=0)
+    step[starts] = hashes[starts] & ((1 << _LOW) - 1)
+    fill = step // _STEP
+    at = np.arange(len(step)) + np.cumsum(fill)
+    steps, counted = np.full(len(step) + int(fill.sum()), _STEP, np.uint16), np.zeros(len(step) + int(fill.sum()), np.uint8)
+    steps[at], counted[at] = step % _STEP, often
+    bounds = np.append(at[starts] - fill[starts], len(steps))
+    for k, a, z in zip(bucket[starts].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield k, steps[a:z].tobytes() + counted[a:z].tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 3
+    counted = np.frombuffer(data, np.uint8, n, 2 * n)
+    real = counted > 0
+    return np.cumsum(np.frombuffer(data, np.uint16, n), dtype=np.int64)[real], counted[real].astype(np.int64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[pa.Array]] = {}
-        size = 0
+
+def pairs_that_can_be(docs: DataFrame, words: Sieve, least: int, n_words: int, text_col: str = "text", lang_col: str = "lang", shard: int = SHARD) -> DataFrame:
+    """(hash long) of pairs of words in the sieve: all that occur least times, and those that share a hash with such.
+
+    Hashes are dealt to as many buckets as leave about 2**17 words to each, 2**6 to 2**16. A shard's count of a pair stops at
+    least, or at 255, which is enough to tell; a task adds up one bucket after the other.
+    """
+    bits = min(16, max(6, int(n_words).bit_length() - 17))
+    given, most, cut_at = docs.sparkSession.sparkContext.broadcast(words), min(255, least), 64 - bits - _LOW
+
+    def work(held: dict[str, list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+        hashes, counted = [], []
+        for lang, texts in held.items():
+            own, number, room, _ = _sifted(lang, texts, given.value)
+            own, top = _hashes(own), _hashes(pa.array([lang]))
+            for _, places, often in counts(number, room, [2]):
+                hashes.append((_phrase_hash(top, [own[number[places]], own[number[places + 1]]]) >> U64(cut_at)).astype(np.int64))
+                counted.append(often)
+        if hashes:
+            unique, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            total = np.bincount(at, np.concatenate(counted))
+            rows = list(_packed(unique, np.minimum(total, most).astype(np.uint8)))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["bucket", "data"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, low, counted, waiting = None, [], [], 0
+
+        def summed() -> None:
+            unique, at = np.unique(np.concatenate(low), return_inverse=True)
+            low[:], counted[:] = [unique], [np.bincount(at, np.concatenate(counted)).astype(np.int64)]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang in list(held):
-                yield from count_shard(lang, held.pop(lang))
+            if bucket is not None:
+                summed()
+                found = low[0][counted[0] >= most] + (bucket << _LOW)
+                yield pa.RecordBatch.from_arrays([pa.array((found.astype(np.uint64) << U64(cut_at)).view(np.int64))], names=["hash"])
 
         for batch in batches:
-            for part in tables.parts(batch):
-                langs = part.column(0).dictionary_encode()
-                for k, lang in enumerate(langs.dictionary.to_pylist()):
-                    held.setdefault(lang, []).append(part.column(1).filter(pc.equal(langs.indices, k)))
-                size += part.column(1).nbytes
-                if size >= shard:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if k != bucket:
                     yield from flush()
-                    size = 0
+                    bucket, low, counted, waiting = k, [], [], 0
+                own, often = _unpacked(data.as_buffer())
+                low.append(own)
+                counted.append(often)
+                waiting += len(own)
+                if waiting > 1 << 21:
+                    summed()
+                    waiting = 0
         yield from flush()
 
-    # shards have added up their own already, so rows go straight to where they are added
-    return shown.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return _shards(docs, work, "bucket int, data binary", text_col, lang_col, shard).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "hash long")
 
 
 def mined(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, contained: int = 100, shard: int = SHARD) -> DataFrame:
@@ -254,12 +342,9 @@ def mined(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
     words = tables.cut(count(docs, [1], text_col, lang_col, shard=shard, totals=True).filter((F.col("f") >= least) | (F.col("phrase") == "")))
     n = words.filter(F.col("phrase") == "").select("lang", F.col("f").alias("n"))
     words = words.filter(F.col("phrase") != "")
-    found = [words, tables.cut(count(docs, [2], text_col, lang_col, sieve(words), shard).filter(F.col("f") >= least))]
-    if longest > 2:
-        found.append(tables.cut(count(docs, range(3, longest + 1), text_col, lang_col, sieve(found[1]), shard).filter(F.col("f") >= least)))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
+    known = sieve(words)
+    pairs = tables.cut(pairs_that_can_be(docs, known, least, n.agg(F.sum("n")).first()[0] or 0, text_col, lang_col, shard))
+    every = words.unionAll(tables.cut(count(docs, range(2, longest + 1), text_col, lang_col, _sieve(pairs, 2), shard).filter(F.col("f") >= least)))
     candidates = every.withColumn("words", F.split("phrase", " ")).withColumn("size", F.size("words")).filter("size > 1")
     return ranked(candidates, every, n, top, contained)
 
@@ -276,7 +361,6 @@ def ranked(candidates: DataFrame, every: DataFrame, n: DataFrame, top: int, cont
     f = tables.if_small(every.select("lang", "phrase", "f"))
     cuts = cuts.join(f.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
     cuts = cuts.join(f.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]).join(F.broadcast(n) if n.count() <= 1 << 16 else n, "lang")
-    wide = lambda name: F.col(name).cast("decimal(38,0)")
     score = F.expr("(CAST(1000 AS DECIMAL(4,0)) * CAST(a AS DECIMAL(16,0)) * CAST(n AS DECIMAL(16,0))) div (CAST(l AS DECIMAL(16,0)) * CAST(r AS DECIMAL(16,0)))")
     scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("low"))
     order = Window.partitionBy("lang").orderBy(F.desc("low.score"), F.desc("a"), "phrase")
