@@ -126,3 +126,25 @@ def test_an_engine_that_fails_does_not_stop_the_others(spark):
         assert [name for name, _ in failed] == ["broken"] and found.filter("engine = 'empty-catch'").count() == 1
     finally:
         del engines.ENGINES["broken"]
+
+
+NEAR = {
+    "bounded": ["app.post('/p', (req, res) => { const lines = req.body.text.split('\\n'); lines.map(line => line.match(/(a+)+$/)); });", "app.post('/c', (req, res) => { const ch = req.body.text.charAt(0); const m = ch.match(/(a+)+$/); });",
+        "app.post('/v', (req, res) => { const p = req.body.content.substring(0, 100); p.match(/(a+)+$/); });", "app.post('/f', (req, res) => { for (const line of req.body.text.split('\\n')) { line.match(/(a+)+$/); } });", "x.slice(0, 9).replace(/(a+)+$/, '');"],
+    "input": ["app.post('/c', (req, res) => { const ok = req.body.text.match(/(a+)+$/); });", "function f(req) { const r = /(a+)+$/; return r.test(req.query.q); }", "req.query.q.search(/(a+)+$/);"],
+    "route": ["app.get('/x', (req, res) => { if (/(a+)+$/.test(name)) res.end(); });", "router.use(async (ctx) => { return /(a+)+$/.test(x); });"],
+    "validator": ["function validateName(s) { return /(a+)+$/.test(s); }", "const parseIt = (s) => new RegExp('(a+)+$').test(s);"],
+    "": ["const r = /(a+)+$/;", "app.use((req, res, next) => { /(a+)+$/.test(x); });", "new RegExp('(\\\\d+)+');"],
+}
+
+
+@pytest.mark.parametrize("near", NEAR)
+def test_where_a_pattern_is_used(near):
+    for code in NEAR[near]:
+        assert [r["about"]["near"] for r in facts.read_file(code) if r["kind"] == "regex"] == [near], code
+
+
+def test_severity_of_patterns_by_place(spark):
+    rows = [(f"{near or 'none'}/{k}.ts", code) for near, codes in NEAR.items() for k, code in enumerate(codes)]
+    found = engines.unsafe_regex(facts.extract(spark.createDataFrame(rows, "path string, content string"))).filter("message LIKE '%without end%'").collect()
+    assert {r["path"]: r["severity"] for r in found} == {p: "error" if p.split("/")[0] in ("input", "route", "validator") else "warning" for p, _ in rows}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.extract.facts import is_told, of_kind, told
-from tracewell.functions import names, paths, scalars
+from tracewell.functions import names, paths, patterns, scalars
 
 # Names and substrings that decide results.
 BUILTINS = (
@@ -154,13 +154,26 @@ def hardcoded_secret(facts: DataFrame) -> DataFrame:
     return _issues(hit, "hardcoded-secret", "error", "high", F.concat(F.lit("Hardcoded "), F.col("form")), "Read the value from the environment or a secret store")
 
 
+REGEX_SAYS = {
+    "exponential": "Regular expression may backtrack without end",
+    "empty": "Regular expression repeats what can be empty",
+    "alternation": "Regular expression repeats overlapping alternatives",
+    "polynomial": "Regular expression has overlapping repetitions before an anchor",
+}
+
+
 def unsafe_regex(facts: DataFrame) -> DataFrame:
-    """Patterns with a quantified group that is quantified inside or has overlapping branches, and patterns made of input."""
+    """Patterns that are ambiguous inside a repetition (functions.patterns), and patterns made of input.
+
+    On user input, in a route or in a validator they are errors; on text of bounded length, or where nothing is known, warnings.
+    """
     pattern = F.col("name")
-    nested = pattern.rlike(r"\((\?:)?[^()\\]*([^()\\\[\]]|\\[wds]|\[[^\]]*\])[+*][^()]{0,2}\)[+*]") | pattern.rlike(r"\((\?:)?(\.\*|\.\+)[^()]*\)[+*{]")
-    overlap = pattern.rlike(r"\((\?:)?(\w+)\|\2\w*\)[+*]|\((\?:)?(\\w|\.|\\S)[+*]?\|[^)]*\)[+*]")
-    static = of_kind(facts, "regex").filter(nested | overlap)
-    fixed = _issues(static, "unsafe-regex", "error", "high", F.concat(F.lit("Regular expression may backtrack without end: "), F.substring(pattern, 1, 80)), "Bound the repetition or make the branches disjoint")
+    static = of_kind(facts, "regex").withColumn("why", patterns.judgement(pattern)).filter("why IS NOT NULL")
+    says = F.lit(None).cast("string")
+    for kind, text in REGEX_SAYS.items():
+        says = F.when(F.col("why") == kind, text).otherwise(says)
+    severity = F.when(told("near").isin("input", "route", "validator"), "error").otherwise("warning")
+    fixed = _issues(static, "unsafe-regex", severity, F.when(F.col("why") == "exponential", "high").otherwise("medium"), F.concat(says, F.lit(": "), F.substring(pattern, 1, 80)), "Bound the repetition or make the branches disjoint")
     made = of_kind(facts, "call").filter((F.col("name") == "RegExp") & ~told("args").rlike(r"^['\"/]|escapeRegExp|escape\("))
     direct = told("args").rlike(USER_INPUT)
     dynamic = _issues(made.filter(direct | told("args").rlike(r"^[A-Za-z_$][\w$.]*\b")), "unsafe-regex", F.when(direct, "error").otherwise("warning"), F.when(direct, "high").otherwise("medium"), F.lit("RegExp is built from a value that may come from a user"), "Escape the value or match it as text")

@@ -19,6 +19,12 @@ from tracewell.extract.tokens import Source, innermost, unquoted
 SCHEMA = "path string, kind string, ix int, name string, line int, column int, end_line int, scope string, about map<string,string>"
 _ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("ix", pa.int32()), ("name", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("end_line", pa.int32()), ("scope", pa.string()), ("about", pa.map_(pa.string(), pa.string()))])
 _NOT_METHODS = frozenset("async if for while switch catch with function return await typeof super import".split())
+_ESCAPED, _CONTROL = re.compile(r"\\(.)", re.S), {"n": "\n", "t": "\t", "r": "\r"}
+_CUT_CALL = r"\.(?:charat|substring|substr|slice|trim|trimstart|trimend|padstart|padend|split)\("
+_CUT = re.compile(_CUT_CALL + r"[^()]*\)$", re.I)
+_EACH = frozenset("map foreach filter find some every flatmap reduce".split())
+_CHECKS = re.compile(r"validat|sanitiz|check|verify|parse", re.I)
+_INPUT = re.compile(r"\b(?:req|request|ctx|context)\.(?:body|query|params|headers|cookies)|\bctx\.request\.body|\bevent\.(?:body|queryStringParameters)")
 #: Of an error only so much is shown; source text is never cut, as detectors search all of it.
 _SHOWN = 2000
 
@@ -34,6 +40,8 @@ class Reader:
         self.blocks: list[tuple[int, int, str]] = []  # first, last, kind: try, catch, loop
         self._scopes: list[int] | None = None
         self._inside: dict[str, list[int]] = {}
+        self._cuts: dict[str, bool] = {}
+        self._reads: dict[int, bool] = {}
         self._functions()
         self._blocks()
         self.ends = {b for _, b, *_ in self.functions}
@@ -156,7 +164,7 @@ class Reader:
                     self._catch(k)
             elif t.kind == "regex":
                 body, _, flags = t.text[1:].rpartition("/")
-                self.add("regex", body, k, flags=flags)
+                self.add("regex", body, k, flags=flags, near=self._near(k))
             elif t.kind in ("string", "template"):
                 self._literal(k)
             elif t.text == "(" and t.kind == "mark" and s.partner[k] > 0:
@@ -237,6 +245,59 @@ class Reader:
         around = s.word(k - 2) if s.word(k - 1) == "(" else ""
         self.add("literal", value, k, given=given.strip("\"'"), argument_of=around, form=s.kind(k))
 
+    # where a regular expression is used
+
+    def _object(self, k: int) -> str:
+        """The text of what the method named at token k is called on; "" if k names no method."""
+        s, j = self.s, k - 2
+        if s.kind(k) != "name" or s.word(k - 1) not in (".", "?."):
+            return ""
+        last = j
+        while True:
+            while s.word(j) in (")", "]") and s.partner[j] > 0:
+                j = s.partner[j] - 1
+            if s.word(j - 1) not in (".", "?."):
+                break
+            j -= 2
+        return s.text[s.tokens[max(j, 0)].at : s.tokens[last].at + len(s.tokens[last].text)] if last >= 0 else ""
+
+    def _short(self, text: str) -> bool:
+        """Whether a value is cut to a bounded length: by a method here, where its name is given a value, or by a loop over lines."""
+        if _CUT.search(text):
+            return True
+        if not re.fullmatch(r"[\w$]+", text):
+            return False
+        if text not in self._cuts:
+            name = re.escape(text)
+            self._cuts[text] = bool(re.search(rf"\b{name}\s*=[^=;\n][^;\n]*{_CUT_CALL}|\b(?:const|let|var)\s+{name}\s+of\s[^;{{\n]*\.split\(", self.s.text, re.I))
+        return self._cuts[text]
+
+    def _near(self, k: int) -> str:
+        """What is known of the text that a pattern meets: bounded, input, route, validator or ""."""
+        s, given, around = self.s, "", self.scope(k) and self._scopes[k]
+        if s.word(k - 1) == "(" and s.word(k - 2) in ("match", "search", "test", "replace", "replaceAll", "split"):
+            given = self._object(k - 2)
+            if s.word(k - 2) != "split" and self._short(given):
+                return "bounded"
+        n, route, validator = around, False, False
+        while n >= 0:
+            at, last, name, _ = self.functions[n]
+            opened = self.heads[n][1]
+            before = opened - 1 - (s.word(opened - 1) == "async")
+            callee = before - 1
+            if s.word(before) == "(" and s.word(callee).lower() in _EACH and self._short(self._object(callee)):
+                return "bounded"
+            params = [p.strip().split(":")[0].rstrip("?").lower() for p in (s.between(opened, self.heads[n][2]) if s.word(opened) == "(" else s.word(opened)).split(",")]
+            steps_on = len(params) > 2 and "next" in params
+            route |= not steps_on and (params[0] == "ctx" or params[0] in ("req", "request") and len(params) > 1 and params[1] in ("res", "response", "reply", "h"))
+            validator |= bool(_CHECKS.search(name))
+            if n == around and n not in self._reads:
+                self._reads[n] = bool(_INPUT.search(s.text[s.tokens[max(at, 0)].at : s.tokens[min(last, len(s.tokens) - 1)].at]))
+            n = self._scopes[at] if at >= 0 else -1
+        if _INPUT.search(given) or self._reads.get(around):
+            return "input"
+        return "route" if route else "validator" if validator else ""
+
     def _next_member(self, k: int) -> str:
         return self.s.word(k + 2) if self.s.word(k + 1) in (".", "?.") else ""
 
@@ -272,6 +333,8 @@ class Reader:
             given = s.word(j - 3)
         if name == "require" and s.kind(k + 1) == "string" and end == k + 2:
             self.add("import", unquoted(s.word(k + 1)), j, form="require", type_only=False, guarded=self.within(k, "try"), names=given)
+        if name == "RegExp" and s.kind(k + 1) in ("string", "template") and s.word(k + 2) in (")", ",") and "${" not in s.word(k + 1):
+            self.add("regex", _ESCAPED.sub(lambda m: _CONTROL.get(m.group(1), m.group(1)), unquoted(s.word(k + 1))), j, flags="", near=self._near(k))
         args = s.between(k, end)
         self.add(
             "call", name, j, end, awaited=before == "await", returned=before == "return" or before == "=>", voided=before == "void", built=before == "new",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.detect import engines
 from tracewell.extract import bindings, cfg, facts
-from tracewell.functions import names, words
+from tracewell.functions import names, patterns, words
 from tracewell.operators import graphs, incremental, report
 from tracewell.plans.catalog import register
 from tracewell.plans.findings import _CONF, _EDGES, _WITH, DEEP
@@ -108,7 +108,7 @@ ISSUES = (
     (3, 'async-foreach', 2, 3, 0, 'error', 'high', 'Array.forEach() does not wait for its async callback'),
     (4, 'empty-catch', 2, 20, 0, 'error', 'high', 'Empty catch block silently swallows the error'),
     (5, 'hardcoded-secret', 1, 19, 1, 'error', 'high', 'Hardcoded Stripe key'),
-    (6, 'unsafe-regex', 1, 17, 1, 'error', 'high', 'Regular expression may backtrack without end: (a+)+$'),
+    (6, 'unsafe-regex', 1, 17, 1, 'warning', 'high', 'Regular expression may backtrack without end: (a+)+$'),
     (7, 'console-in-production', 2, 3, 0, 'error', 'high', 'console.log() writes sensitive data'),
     (8, 'missing-input-validation', 1, 1, 0, 'error', 'high', 'Request data is used without validation in app.post'),
     (8, 'idor', 2, 3, 0, 'error', 'high', 'db.users.create() takes an id from the request without a check of its owner'),
@@ -405,3 +405,24 @@ def q82(spark, sf_dir):
   SELECT file_path, CASE WHEN length(file_path) <= 22 THEN file_path WHEN len(tails) > 0 THEN '.../' || tails[1] ELSE '...' || right(file_path, 19) END AS shown FROM t""")
 def q83(spark, sf_dir):
     return issues(spark, sf_dir).select("file_path").distinct().select("file_path", words.truncated(F.col("file_path"), 22).alias("shown"))
+
+
+# regular expressions
+
+_CLASSES, _INNER, _OUTER, _MARKS, _TAILS = (r"\d", "[a-z]", r"\w", ".", "[a-z-]"), ("+", "*", "?", ""), ("+", "*", "?", "{3}", "{2,}", "{1,40}"), ("", "-"), ("", "$", "x")
+
+
+@register("q84_regex_ambiguity", """WITH k AS (SELECT p_partkey AS number, p_partkey % 5 AS a, p_partkey // 5 % 4 AS i, p_partkey // 20 % 6 AS o, p_partkey // 120 % 2 AS m, p_partkey // 240 % 3 AS t, p_partkey // 720 % 2 AS anchored FROM part),
+  n AS (SELECT *, o IN (0, 1, 4, 5) AS endless, a IN (3, 4) AND m = 1 AS dashes, anchored = 1 AND t = 1 AS whole FROM k)
+  SELECT number, CASE WHEN endless AND NOT whole AND (i IN (0, 1) AND (m = 0 OR dashes) OR i = 2 AND dashes) THEN 'exponential' WHEN endless AND i = 2 AND m = 0 THEN 'empty' WHEN endless AND whole AND i = 1 AND m = 1 AND a = 3 THEN 'polynomial' END AS kind FROM n""")
+def q84(spark, sf_dir):
+    """Patterns of a repeated group that are made of keys: ^?(-?CLASSq)Q tail, by how they can backtrack.
+
+    The group repeats without end and so does the class in it: that is exponential, unless a dash that the class does not have
+    begins each turn, or both ends are anchored. A group of an optional class alone can be empty.
+    """
+    share_code(spark)
+    n = F.col("p_partkey")
+    pick = lambda values, of: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(n / of[0]) % of[1] + 1).cast("int"))
+    text = F.concat(F.when(F.floor(n / 720) % 2 == 1, "^").otherwise(""), F.lit("("), pick(_MARKS, (120, 2)), pick(_CLASSES, (1, 5)), pick(_INNER, (5, 4)), F.lit(")"), pick(_OUTER, (20, 6)), pick(_TAILS, (240, 3)))
+    return table(spark, sf_dir, "part").select(n.alias("number"), patterns.judgement(text).alias("kind"))
