@@ -58,12 +58,35 @@ def test_dominators_agree_with_paths(spark):
 
         live = seen(None)
         want = {(b, d) for b in live for d in live if d == b or b not in seen(d)}
-        doms = dataflow.dominators(steps, first).cache()
-        assert {(x["block"], x["dominator"]) for x in doms.collect()} == want
-        back = {(x["block"], x["to"]) for x in dataflow.back_edges(steps, doms).collect()}
+        blocks = dataflow.structure(steps, first).cache()
+        assert {(x["block"], x["dominator"]) for x in dataflow.dominators(blocks).collect()} == want
+        back = {(x["block"], x["to"]) for x in dataflow.back_edges(steps, blocks).collect()}
         assert back == {(a, b) for a, b in pairs if a in live and (a, b) in want}
         strict = {b: {d for x, d in want if x == b and d != b} for b in live}
-        assert {x["block"]: x["idom"] for x in dataflow.immediate(doms).collect()} == {b: max(ds, key=lambda d: len(strict[d])) for b, ds in strict.items() if ds}
+        rows = blocks.collect()
+        assert {x["block"]: x["idom"] for x in rows} == {b: max(ds, key=lambda d: len(strict[d])) if ds else None for b, ds in strict.items()}
+        assert {(x["block"], y["block"]) for x in rows for y in rows if y["enter"] <= x["enter"] and x["leave"] <= y["leave"]} == want
+        assert {(x["block"], b) for x in rows for b in x["frontier"]} == {(d, b) for p, b in pairs if p in live for d in live if (p, d) in want and (d == b or (b, d) not in want)}
+        assert sorted(x["rank"] for x in rows) == list(range(len(live)))
+
+
+def test_order_of_blocks(spark):
+    """In a reducible graph every block comes after all that lead to it, but for back edges."""
+    pairs = [(0, 1), (1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5), (5, 5), (5, 6)]
+    steps = spark.createDataFrame([("p", f, a, b) for f in "fg" for a, b in pairs], "path string, fn string, block int, to int")
+    first = spark.createDataFrame([("p", "f", 0), ("p", "g", 4), ("p", "alone", 9)], "path string, fn string, block int")
+    blocks = dataflow.structure(steps, first).cache()
+    rank = {(x["fn"], x["block"]): x["rank"] for x in blocks.collect()}
+    back = {(x["fn"], x["block"], x["to"]) for x in dataflow.back_edges(steps, blocks).collect()}
+    assert back == {("f", 4, 1), ("f", 5, 5), ("g", 2, 4), ("g", 3, 4), ("g", 5, 5)}
+    assert all(rank[f, a] < rank[f, b] for f in "fg" for a, b in pairs if (f, a, b) not in back and (f, a) in rank)
+    assert rank["alone", 9] == 0 and ("g", 0) not in rank
+
+
+def test_a_deep_function_is_numbered_in_one_pass(spark):
+    steps = spark.range(5000).selectExpr("'p' AS path", "'f' AS fn", "id AS block", "id + 1 AS to")
+    first = spark.createDataFrame([("p", "f", 0)], "path string, fn string, block int")
+    assert dataflow.structure(steps, first).agg(F.max("depth")).first()[0] == 5000
 
 
 SNIPPETS = {

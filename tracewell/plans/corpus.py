@@ -210,29 +210,53 @@ def _as_cfg(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return steps, first
 
 
-_LIVE = f"""{_EDGES}, e AS (SELECT min(s_suppkey) AS entry FROM supplier), live AS (SELECT entry AS node FROM e UNION SELECT callee FROM live JOIN edges ON node = caller)"""
+#: Ten orders are a function, their lines its blocks: a line leads to the next number and to two that its part and supplier name, if they are there.
+_CFG = """l AS (SELECT DISTINCT l_orderkey // 10 AS fn, l_orderkey % 10 * 7 + l_linenumber AS block, l_partkey % 70 + 1 AS p, l_suppkey % 70 + 1 AS s FROM lineitem),
+  b AS (SELECT DISTINCT fn, block FROM l), edges AS (SELECT DISTINCT l.fn, l.block, b.block AS to_block FROM l JOIN b ON l.fn = b.fn AND b.block IN (l.block + 1, l.p, l.s)),
+  entry AS (SELECT fn, min(block) AS block FROM l GROUP BY fn), live AS (SELECT * FROM entry UNION SELECT e.fn, e.to_block FROM live JOIN edges e ON e.fn = live.fn AND e.block = live.block)"""
 
 
-@register("q67_cfg_reachable", f"WITH RECURSIVE {_LIVE} SELECT node AS block FROM live")
+def _line_cfg(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, sf_dir, "lineitem").select(F.lit("p").alias("path"), F.floor(F.col("l_orderkey") / 10).cast("string").alias("fn"), (F.col("l_orderkey") % 10 * 7 + F.col("l_linenumber")).alias("block"), F.array(F.col("l_partkey") % 70 + 1, F.col("l_suppkey") % 70 + 1).alias("named")).distinct()
+    blocks = lines.select("path", "fn", F.col("block").alias("to")).distinct()
+    steps = lines.select("path", "fn", "block", F.explode(F.array_union(F.array(F.col("block") + 1), "named")).alias("to")).distinct().join(blocks, ["path", "fn", "to"], "left_semi")
+    return steps.select("path", "fn", "block", "to"), lines.groupBy("path", "fn").agg(F.min("block").alias("block"))
+
+
+@register("q67_cfg_reachable", f"WITH RECURSIVE {_CFG} SELECT CAST(fn AS VARCHAR) AS fn, block FROM live")
 def q67(spark, sf_dir):
-    steps, first = _as_cfg(spark, sf_dir)
-    return dataflow.reachable(steps, first).select("block")
+    share_code(spark)
+    return dataflow.reachable(*_line_cfg(spark, sf_dir)).select("fn", "block")
 
 
-_DOMS = f"""WITH RECURSIVE {_LIVE}, free AS (SELECT l.node AS d, entry AS node FROM live l, e WHERE l.node <> entry UNION SELECT d, callee FROM free JOIN edges ON node = caller AND callee <> d),
-  doms AS (SELECT b.node AS block, d.node AS dominator FROM live b, live d EXCEPT SELECT node, d FROM free)"""
+_DOMS = f"""WITH RECURSIVE {_CFG}, free AS (SELECT l.fn, l.block AS d, e.block AS node FROM live l JOIN entry e ON e.fn = l.fn WHERE l.block <> e.block
+    UNION SELECT f.fn, f.d, e.to_block FROM free f JOIN edges e ON e.fn = f.fn AND e.block = f.node AND e.to_block <> f.d),
+  doms AS (SELECT x.fn, x.block, y.block AS dominator FROM live x JOIN live y ON x.fn = y.fn EXCEPT SELECT fn, node, d FROM free)"""
 
 
-@register("q68_cfg_dominators", f"{_DOMS} SELECT block, dominator FROM doms")
+@register("q68_cfg_dominators", f"{_DOMS} SELECT CAST(fn AS VARCHAR) AS fn, block, dominator FROM doms")
 def q68(spark, sf_dir):
-    steps, first = _as_cfg(spark, sf_dir)
-    return dataflow.dominators(steps, first).select("block", "dominator")
+    share_code(spark)
+    return dataflow.dominators(dataflow.structure(*_line_cfg(spark, sf_dir))).select("fn", "block", "dominator")
 
 
-@register("q69_cfg_back_edges", f"{_DOMS} SELECT DISTINCT caller AS block, callee AS to_block FROM edges JOIN doms ON caller = block AND callee = dominator")
+@register("q69_cfg_back_edges", f"{_DOMS} SELECT CAST(e.fn AS VARCHAR) AS fn, e.block, to_block FROM edges e JOIN doms d ON d.fn = e.fn AND e.block = d.block AND to_block = dominator")
 def q69(spark, sf_dir):
-    steps, first = _as_cfg(spark, sf_dir)
-    return dataflow.back_edges(steps, dataflow.dominators(steps, first)).select("block", F.col("to").alias("to_block")).distinct()
+    share_code(spark)
+    steps, first = _line_cfg(spark, sf_dir)
+    return dataflow.back_edges(steps, dataflow.structure(steps, first)).select("fn", "block", F.col("to").alias("to_block"))
+
+
+@register("q85_cfg_frontiers", f"""{_DOMS}, n AS (SELECT fn, block, count(*) - 1 AS depth FROM doms GROUP BY ALL),
+  up AS (SELECT d.fn, d.block, d.dominator AS idom FROM doms d JOIN n ON n.fn = d.fn AND n.block = d.block JOIN n m ON m.fn = d.fn AND m.block = d.dominator AND m.depth = n.depth - 1),
+  front AS (SELECT DISTINCT d.fn, d.dominator AS block, e.to_block AS f FROM edges e JOIN doms d ON d.fn = e.fn AND d.block = e.block
+    WHERE d.dominator = e.to_block OR NOT EXISTS (SELECT 1 FROM doms x WHERE x.fn = e.fn AND x.block = e.to_block AND x.dominator = d.dominator))
+  SELECT CAST(n.fn AS VARCHAR) AS fn, n.block, idom, CAST(depth AS INTEGER) AS depth, coalesce((SELECT string_agg(f, ' ' ORDER BY f) FROM front WHERE front.fn = n.fn AND front.block = n.block), '') AS frontier
+  FROM n LEFT JOIN up ON up.fn = n.fn AND up.block = n.block""")
+def q85(spark, sf_dir):
+    """Immediate dominators and dominance frontiers of all functions."""
+    share_code(spark)
+    return dataflow.structure(*_line_cfg(spark, sf_dir)).select("fn", "block", "idom", "depth", F.array_join(F.col("frontier").cast("array<string>"), " ").alias("frontier"))
 
 
 @register("q70_cfg_reaching_definitions", f"""WITH RECURSIVE {_EDGES}, d AS (SELECT s_suppkey AS block, 'v' || s_suppkey % 3 AS var FROM supplier WHERE s_suppkey % 7 = 0),

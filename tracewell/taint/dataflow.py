@@ -1,11 +1,12 @@
 """Data flow inside functions, over the rows of extract.cfg: reachability, dominators, reaching definitions and taint.
 
-All are closures over tables of all functions at once, keyed by path and function; a fixpoint ends when a round finds nothing
-new. Facts only grow, so no bound on passes and no widening is needed.
+Dominators, order and frontiers come from one pass over each function's graph; the rest are closures over tables of all
+functions at once, keyed by path and function; a fixpoint ends when a round finds nothing new. Facts only grow, so no bound on passes and no widening is needed.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,44 +20,122 @@ def edges(cfg: DataFrame) -> DataFrame:
     return cfg.filter("kind = 'edge'").select(*FN, "block", "to", "label")
 
 
+_BLOCKS = "path string, fn string, block long, rank int, idom long, depth int, enter int, leave int, frontier array<bigint>"
+
+
+def _numbered(entry: int, after: dict[int, list[int]]) -> list[int]:
+    """Blocks that the entry leads to, in reverse postorder."""
+    seen, out, work = {entry}, [], [(entry, iter(after.get(entry, ())))]
+    while work:
+        block, rest = work[-1]
+        to = next((x for x in rest if x not in seen), None)
+        if to is None:
+            out.append(block)
+            work.pop()
+        else:
+            seen.add(to)
+            work.append((to, iter(after.get(to, ()))))
+    return out[::-1]
+
+
+def _tree(ranked: list[int], after: dict[int, list[int]]) -> tuple[list[int], list[list[int]], list[set[int]]]:
+    """By rank: the immediate dominator's rank (of the entry: itself), predecessors, and the dominance frontier."""
+    rank = {b: k for k, b in enumerate(ranked)}
+    before: list[list[int]] = [[] for _ in ranked]
+    for b in ranked:
+        for to in after.get(b, ()):
+            before[rank[to]].append(rank[b])
+    idom = [0] + [-1] * (len(ranked) - 1)
+    changed = True
+    while changed:  # twice for reducible graphs
+        changed = False
+        for k in range(1, len(ranked)):
+            found = -1
+            for p in before[k]:
+                if idom[p] < 0:
+                    continue
+                q = found if found >= 0 else p
+                while p != q:  # the nearest that both have above them: a dominator has the smaller rank
+                    p, q = (idom[p], q) if p > q else (p, idom[q])
+                found = p
+            changed |= idom[k] != found
+            idom[k] = found
+    frontier: list[set[int]] = [set() for _ in ranked]
+    for k, sources in enumerate(before):
+        if len(sources) > 1 or k == 0:
+            for p in sources:
+                while p != idom[k] or k == 0:
+                    frontier[p].add(k)
+                    if p == 0:
+                        break
+                    p = idom[p]
+    return idom, before, frontier
+
+
+def _function(table: pa.Table) -> pa.Table:
+    block, to = table.column("block").to_pylist(), table.column("to").to_pylist()
+    after: dict[int, list[int]] = {}
+    for x, y in sorted({(x, y) for x, y in zip(block, to, strict=True) if x is not None and y is not None}):
+        after.setdefault(x, []).append(y)
+    entries = [y for x, y in zip(block, to, strict=True) if x is None]
+    ranked = _numbered(min(entries), after) if entries else []
+    idom, _, frontier = _tree(ranked, after) if ranked else ([], [], [])
+    under: list[list[int]] = [[] for _ in ranked]
+    depth, enter, leave = [0] * len(ranked), [0] * len(ranked), [0] * len(ranked)
+    for k in range(1, len(ranked)):
+        under[idom[k]].append(k)
+        depth[k] = depth[idom[k]] + 1  # a dominator has the smaller rank
+    clock, work = 0, [(0, False)] if ranked else []
+    while work:
+        k, done = work.pop()
+        if done:
+            leave[k] = clock
+            continue
+        enter[k], clock = clock, clock + 1
+        work.append((k, True))
+        work += [(u, False) for u in reversed(under[k])]
+    n = len(ranked)
+    return pa.table({
+        "path": pa.array([table.column("path")[0].as_py()] * n, pa.string()), "fn": pa.array([table.column("fn")[0].as_py()] * n, pa.string()), "block": pa.array(ranked, pa.int64()),
+        "rank": pa.array(range(n), pa.int32()), "idom": pa.array([ranked[i] if k else None for k, i in enumerate(idom)], pa.int64()), "depth": pa.array(depth, pa.int32()),
+        "enter": pa.array(enter, pa.int32()), "leave": pa.array(leave, pa.int32()), "frontier": pa.array([sorted(ranked[x] for x in f) for f in frontier], pa.list_(pa.int64())),
+    })
+
+
+def structure(steps: DataFrame, first: DataFrame) -> DataFrame:
+    """A row for each block that its function's entry leads to: rank in reverse postorder, idom (immediate dominator; null for the
+    entry), depth in the dominator tree, its interval there [enter, leave), and frontier (the dominance frontier, ascending).
+
+    steps (path, fn, block, to), first (path, fn, block). Functions are grouped, and one function's graph is one task's: it
+    came from one parse of one file. A block dominates another if its interval has the other's in it.
+    """
+    long = lambda name: F.col(name).cast("long")
+    edges_ = steps.select(*FN, long("block").alias("block"), long("to").alias("to"))
+    entry = first.select(*FN, F.lit(None).cast("long").alias("block"), long("block").alias("to"))
+    return edges_.unionByName(entry).groupBy(*FN).applyInArrow(_function, _BLOCKS)
+
+
 def reachable(steps: DataFrame, first: DataFrame) -> DataFrame:
     """(path, fn, block) that first(path, fn, block) leads to."""
-    hop = steps.select(*FN, "block", "to").distinct()
-    return graphs.closure(first.select(*FN, "block"), lambda new: new.join(hop, [*FN, "block"]).select(*FN, F.col("to").alias("block")))
+    return structure(steps, first).select(*FN, "block")
 
 
-def dominators(steps: DataFrame, first: DataFrame) -> DataFrame:
+def dominators(blocks: DataFrame) -> DataFrame:
     """(path, fn, block, dominator): every way from the entry to a block goes through its dominators, itself included.
 
-    A block that can be reached without another is not dominated by it; those pairs are a closure.
+    blocks: what structure() gives. Each round goes up one step of every block's line, so there are as many rounds as the
+    deepest tree has levels, and as many rows as all lines have.
     """
-    hop = graphs.cut(steps.select(*FN, "block", "to").distinct())
-    live = graphs.cut(reachable(hop, first))
-    entry = first.select(*FN, F.col("block").alias("entry"))
-    without = live.select(*FN, F.col("block").alias("dominator"))
-    start = without.join(entry, list(FN)).filter("dominator <> entry").select(*FN, "dominator", F.col("entry").alias("block"))
-    free = graphs.closure(start, lambda new: new.join(hop, [*FN, "block"]).filter("to <> dominator").select(*FN, "dominator", F.col("to").alias("block")))
-    return live.join(without, list(FN)).join(free, [*FN, "dominator", "block"], "left_anti").select(*FN, "block", "dominator")
-
-
-def immediate(doms: DataFrame) -> DataFrame:
-    """(path, fn, block, idom): of a block's strict dominators the one that all others dominate, which has the most itself."""
-    depth = doms.groupBy(*FN, "block").agg(F.count("*").alias("depth"))
-    strict = doms.filter("block <> dominator").join(depth.withColumnRenamed("block", "dominator"), [*FN, "dominator"])
-    return strict.groupBy(*FN, "block").agg(F.max_by("dominator", "depth").alias("idom"))
-
-
-def back_edges(steps: DataFrame, doms: DataFrame) -> DataFrame:
-    """Edges to a block that dominates where they begin: the loops of a reducible graph."""
-    return steps.join(doms.select(*FN, "block", F.col("dominator").alias("to")), [*FN, "block", "to"], "left_semi")
+    up = graphs.cut(blocks.select(*FN, F.col("block").alias("dominator"), F.col("idom").alias("next")))
+    return graphs.closure(blocks.select(*FN, "block", F.col("block").alias("dominator")), lambda new: new.join(up, [*FN, "dominator"]).filter("next IS NOT NULL").select(*FN, "block", F.col("next").alias("dominator")))
 
 
-def ordered(steps: DataFrame, first: DataFrame, doms: DataFrame) -> DataFrame:
-    """(path, fn, block, rank): the longest way from the entry along edges that are not back edges. Every block comes after all
-    that lead to it, as in a reverse postorder."""
-    forward = graphs.cut(steps.select(*FN, "block", "to").distinct().join(back_edges(steps, doms).select(*FN, "block", "to"), [*FN, "block", "to"], "left_anti"))
-    ways = graphs.closure(first.select(*FN, "block", F.lit(0).alias("rank")), lambda new: new.join(forward, [*FN, "block"]).select(*FN, F.col("to").alias("block"), (F.col("rank") + 1).alias("rank")))
-    return ways.groupBy(*FN, "block").agg(F.max("rank").alias("rank"))
+def back_edges(steps: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Edges to a block that dominates where they begin: the loops of a reducible graph. blocks: what structure() gives."""
+    here = blocks.select(*FN, "block", F.col("enter").alias("__at"))
+    there = blocks.select(*FN, F.col("block").alias("to"), "enter", "leave")
+    met = steps.join(here, [*FN, "block"]).join(there, [*FN, "to"]).filter("enter <= __at AND __at < leave")
+    return met.select(*steps.columns)
 
 
 # conditions
