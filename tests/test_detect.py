@@ -1,6 +1,7 @@
 """Own snippets that fire and that do not, for each engine: one parse and one job for all."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.detect import engines
 from tracewell.extract import facts
@@ -148,3 +149,35 @@ def test_severity_of_patterns_by_place(spark):
     rows = [(f"{near or 'none'}/{k}.ts", code) for near, codes in NEAR.items() for k, code in enumerate(codes)]
     found = engines.unsafe_regex(facts.extract(spark.createDataFrame(rows, "path string, content string"))).filter("message LIKE '%without end%'").collect()
     assert {r["path"]: r["severity"] for r in found} == {p: "error" if p.split("/")[0] in ("input", "route", "validator") else "warning" for p, _ in rows}
+
+
+def test_gaps_between_fields_read_and_checked(spark):
+    code = {
+        "dots": "app.post('/a', body('name').isString(), (req, res) => { save(req.body.name, req.body.role, req.query.q); });",
+        "taken": "app.post('/a', [body(['name', 'age'])], (req, res) => { const { name, age: years, role = 1, ...rest } = req.body; save(name, req.body.name); });",
+        "any": "router.put('/a/:id', check('id'), (req, res) => { load(req.params.id); load(req.params['id']); });",
+        "tested": "app.post('/a', (req, res) => { if (typeof req.body.n !== 'number') return; if (!req.body.m) return; save(req.body.n, req.body.m); });",
+        "none": "app.get('/a', (req, res) => { res.send('ok'); });",
+    }
+    rows = engines.field_gaps(facts.extract(spark.createDataFrame(list(code.items()), "path string, content string"))).collect()
+    got = {(r["path"], r["source"]): (sorted(r["accessed"]), sorted(r["covered"]), sorted(r["weak"]), sorted(r["missing"])) for r in rows}
+    assert got == {
+        ("dots", "body"): (["name", "role"], ["name"], [], ["role"]), ("dots", "query"): (["q"], [], [], ["q"]),
+        ("taken", "body"): (["age", "name", "role"], ["age", "name"], [], ["role"]), ("any", "params"): (["id"], ["id"], [], []), ("tested", "body"): (["m", "n"], ["n"], ["m"], ["m"]),
+    }
+    found = engines.missing_input_validation(facts.extract(spark.createDataFrame(list(code.items()), "path string, content string"))).collect()
+    assert sorted((r["path"], r["message"]) for r in found) == [
+        ("dots", "Partial validation gap: req.body.{ role } not covered"), ("dots", "Partial validation gap: req.query.{ q } not covered"),
+        ("taken", "Partial validation gap: req.body.{ role } not covered"), ("tested", "Partial validation gap: req.body.{ m } not covered"),
+    ]
+
+
+def test_an_engine_that_fails_in_a_task_is_reported(spark, monkeypatch):
+    monkeypatch.setattr(engines, "ENGINES", dict(engines.ENGINES))
+    broken = lambda read: engines._issues(facts.of_kind(read, "regex").withColumn("x", F.raise_error(F.lit("broken engine"))).filter("x IS NULL"), "broken", "error", "high", F.lit("m"), "s")
+    engines.register("broken", broken)
+    read = facts.extract(spark.createDataFrame([("a.ts", "const r = /(a+)+$/;")], "path string, content string"))
+    known = spark.createDataFrame([("express",)], "name string")
+    failed = []
+    assert [r["engine"] for r in engines.detect(read, known, failed=failed).collect()] == ["unsafe-regex"]
+    assert [n for n, _ in failed] == ["broken"] and "broken engine" in failed[0][1]

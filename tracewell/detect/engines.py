@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.extract.facts import is_told, of_kind, told
 from tracewell.functions import names, paths, patterns, scalars
+from tracewell.operators import graphs
 
 # Names and substrings that decide results.
 BUILTINS = (
@@ -204,18 +205,48 @@ def _routes(facts: DataFrame) -> DataFrame:
     return of_kind(facts, "call").filter(F.col("name").rlike(r"(?i)^(app|router|server|fastify|api|\w*router)\.(get|post|put|patch|delete|all|route)$") & told("args").rlike(r"^['\"`]/"))
 
 
+_REQUEST = r"\b(?:req|request)\."
+#: Functions that declare a check of a field, by where the field stands; check() looks everywhere.
+_CHECKED_BY = {"body": "body|check", "params": "param|check", "query": "query|check"}
+
+
+def field_gaps(facts: DataFrame) -> DataFrame:
+    """(path, line, column, end_line, name, source, accessed, covered, weak, missing): for each route and each of req.body, req.params
+    and req.query that it reads fields of, the fields read, those that a check of the chain or of the handler covers, those that are
+    only tested for presence, and those that nothing covers. Each source has one row however often it is used.
+    """
+    args = told("args")
+    every = lambda pattern: F.regexp_extract_all(args, F.lit(pattern), F.lit(1))
+    listed = lambda inner: F.filter(F.transform(F.flatten(F.transform(inner, lambda x: F.split(x, ","))), lambda x: F.regexp_extract(x, r"^\s*['\"]?([A-Za-z_$][\w$]*)", 1)), lambda x: x != "")
+    one = []
+    for source, checks in _CHECKED_BY.items():
+        field = rf"{_REQUEST}{source}(?:\.|\?\.)([A-Za-z_$][\w$]*)"
+        accessed = F.array_distinct(F.concat(every(field), every(rf"{_REQUEST}{source}\[['\"]([^'\"]+)['\"]\]"), listed(every(rf"\{{([^{{}}]*)\}}\s*=\s*{_REQUEST}{source}\b"))))
+        declared = F.concat(every(rf"(?<![\w.$])(?:{checks})\(\s*['\"]([^'\"]+)['\"]"), listed(every(rf"(?<![\w.$])(?:{checks})\(\s*\[([^\]]*)\]")))
+        tested = F.concat(every(rf"typeof\s+{field}\s*[!=]==?"), every(rf"\b(?:Number\.is\w+|isNaN|Array\.isArray|parseInt|parseFloat|Number|validator\.\w+)\(\s*{field}"))
+        one.append(F.struct(F.lit(source).alias("source"), accessed.alias("accessed"), F.array_intersect(accessed, F.concat(declared, tested)).alias("covered"), F.array_intersect(accessed, every(rf"!\s*{field}\s*(?:\)|\|\||&&)")).alias("weak")))
+    rows = _routes(facts).select("path", "line", "column", "end_line", "name", F.explode(F.array(*one)).alias("s")).select("path", "line", "column", "end_line", "name", "s.*").filter(F.size("accessed") > 0)
+    return rows.withColumn("weak", F.array_except("weak", "covered")).withColumn("missing", F.array_except("accessed", "covered"))
+
+
 def missing_input_validation(facts: DataFrame) -> DataFrame:
-    """Route handlers that use request data in a file or chain without any validation."""
+    """Route handlers that use request data in a file or chain without any validation, or with one that covers only some fields."""
+    place = ["path", "line", "column", "end_line", "name"]
+    gaps = field_gaps(facts)
     handled = _routes(facts).filter(told("args").rlike(USER_INPUT))
     checks = of_kind(facts, "call").filter(F.col("name").rlike(VALIDATION)).select("path", F.col("line").alias("check_line")).distinct()
     global_ = of_kind(facts, "call").filter(F.col("name").rlike(r"^(app|router)\.use$") & told("args").rlike(r"(?i)validat")).select("path").distinct()
-    open_ = handled.filter(~told("args").rlike(r"(?i)validat|schema|celebrate|zod|joi")).join(global_, "path", "left_anti")
-    met = open_.join(checks, "path", "left").groupBy("path", "line", "column", "end_line", "name", "about").agg(F.count_if((F.col("check_line") >= F.col("line")) & (F.col("check_line") <= F.col("end_line"))).alias("inside"))
+    some = gaps.groupBy(*place).agg(F.max(F.size("covered")).alias("covered")).filter("covered > 0").select(*place)
+    open_ = handled.filter(~told("args").rlike(r"(?i)validat|schema|celebrate|zod|joi")).join(global_, "path", "left_anti").join(some, place, "left_anti")
+    met = open_.join(checks, "path", "left").groupBy(*place, "about").agg(F.count_if((F.col("check_line") >= F.col("line")) & (F.col("check_line") <= F.col("end_line"))).alias("inside"))
     hit = met.filter("inside = 0")
     risky = told("args").rlike(WRITES.replace("$", r"\b") + "|query\\(|exec\\(|eval\\(")
     body = told("args").rlike(r"\.body\b")
     severity = F.when(risky, "error").when(body, "warning").otherwise("info")
-    return _issues(hit, "missing-input-validation", severity, F.when(risky, "high").otherwise("medium"), F.concat(F.lit("Request data is used without validation in "), F.col("name")), "Validate the data with a schema before it is used")
+    whole = _issues(hit, "missing-input-validation", severity, F.when(risky, "high").otherwise("medium"), F.concat(F.lit("Request data is used without validation in "), F.col("name")), "Validate the data with a schema before it is used")
+    partial = gaps.filter("size(missing) > 0").join(some, place, "left_semi").join(global_, "path", "left_anti")
+    shown = F.concat(F.lit("Partial validation gap: req."), F.col("source"), F.lit(".{ "), F.array_join("missing", ", "), F.lit(" } not covered"))
+    return whole.unionByName(_issues(partial, "missing-input-validation", "error", "medium", shown, "Validate these fields as well"))
 
 
 def idor(facts: DataFrame) -> DataFrame:
@@ -244,7 +275,8 @@ def register(name: str, engine: Engine) -> None:
 def detect(facts: DataFrame, known_packages: DataFrame, rules: dict[str, str] | None = None, aliases: tuple[str, ...] = (), failed: list[tuple[str, str]] | None = None) -> DataFrame:
     """Issues of all engines but those whose rule is off, in the order of engines within a file; a rule's level sets the severity.
 
-    If failed is given, an engine that cannot be planned is noted there (name, error) and the others still run.
+    If failed is given, every engine runs as a job of its own whose rows are kept in the shared folder; one that cannot be
+    planned or fails in a task is noted there (name, error) and the others still answer. Else all run in one plan.
     """
     levels = rules or {}
     found = None
@@ -255,6 +287,8 @@ def detect(facts: DataFrame, known_packages: DataFrame, rules: dict[str, str] |
         try:
             rows = engine(facts, known_packages, aliases) if name == "hallucinated-deps" else engine(facts)
             rows.schema  # noqa: B018  plans it
+            if failed is not None:
+                rows = graphs.cut(rows)
         except Exception as e:
             if failed is None:
                 raise

@@ -450,3 +450,25 @@ def q84(spark, sf_dir):
     pick = lambda values, of: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(n / of[0]) % of[1] + 1).cast("int"))
     text = F.concat(F.when(F.floor(n / 720) % 2 == 1, "^").otherwise(""), F.lit("("), pick(_MARKS, (120, 2)), pick(_CLASSES, (1, 5)), pick(_INNER, (5, 4)), F.lit(")"), pick(_OUTER, (20, 6)), pick(_TAILS, (240, 3)))
     return table(spark, sf_dir, "part").select(n.alias("number"), patterns.judgement(text).alias("kind"))
+
+
+# fields of requests
+
+
+@register("q86_unvalidated_fields", """WITH c AS (SELECT c_custkey AS n, range(0, c_custkey % 5 + 1) AS ks FROM customer)
+  SELECT 'src/route/r' || n || '.ts' AS path, array_to_string(list_transform(list_filter(ks, lambda k: (n + k) % 3 = 0), lambda k: 'f' || k), ' ') AS covered,
+    array_to_string(list_transform(list_filter(ks, lambda k: (n + k) % 3 <> 0), lambda k: 'f' || k), ' ') AS missing FROM c""")
+def q86(spark, sf_dir):
+    """Routes made of customers read one to five fields, the odd ones by destructuring, and check every third."""
+    share_code(spark)
+    n = F.col("c_custkey")
+    fields = F.sequence(F.lit(0).cast("long"), n % 5)
+    named = lambda pick, show, sep: F.array_join(F.transform(F.filter(fields, pick), show), sep)
+    field = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    checks = named(lambda k: (n + k) % 3 == 0, lambda k: F.concat(F.lit("body('"), field(k), F.lit("').isString(), ")), "")
+    taken = named(lambda k: k % 2 == 1, field, ", ")
+    dots = named(lambda k: k % 2 == 0, lambda k: F.concat(F.lit("req.body."), field(k)), ", ")
+    text = F.concat(F.lit("app.post('/r"), n.cast("string"), F.lit("', "), checks, F.lit("(req, res) => {\n  const { "), taken, F.lit(" } = req.body;\n  store.save("), dots, F.lit(");\n});\n"))
+    made = table(spark, sf_dir, "customer").select(F.concat(F.lit("src/route/r"), n.cast("string"), F.lit(".ts")).alias("path"), text.alias("content"))
+    shown = lambda name: F.array_join(F.array_sort(name), " ").alias(name)
+    return engines.field_gaps(facts.extract(made)).select("path", shown("covered"), shown("missing"))
