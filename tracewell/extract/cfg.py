@@ -308,9 +308,9 @@ class Graph:
         return out
 
 
-def read_graphs(text: str) -> list[dict]:
-    flows = Flows(text)
-    out = []
+def graphs_of(flows: Flows) -> tuple[dict[str, Graph], list[dict]]:
+    """The first graph of each name, and the rows of all."""
+    out: list[dict] = []
     graphs: dict[str, Graph] = {}
     for j, (k, _, _, start, end) in enumerate(flows.heads):
         name = flows.name_of(k, j)
@@ -318,6 +318,12 @@ def read_graphs(text: str) -> list[dict]:
         graph.run(start, min(end, len(flows.s.tokens) - 1))
         graphs.setdefault(name, graph)
         out += graph.rows()
+    return graphs, out
+
+
+def read_graphs(text: str) -> list[dict]:
+    flows = Flows(text)
+    graphs, out = graphs_of(flows)
     first: dict[str, int] = {}
     marks = [k for k, t in enumerate(flows.s.tokens) if t.kind == "mark" and t.text in ("=", "+=", "-=", "*=", "??=", "||=", "&&=")]
     none = {"to": None, "label": None, "end_line": None}
