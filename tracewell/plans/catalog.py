@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tracewell.plans import findings, sources, corpus  # noqa: F401, I001
+    from tracewell.plans import findings, sources, corpus, heaps  # noqa: F401, I001
 
 
 def queries() -> dict[str, Query]:

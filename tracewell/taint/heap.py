@@ -122,12 +122,14 @@ class _Heap:
 
     def add_aliases(self) -> None:
         """Adds what is written to the fields of an object by its other names."""
+        maybe = graphs.cut(_through_others(self.paths, _stores(self.ops)))
+        if not self.ops.filter("op = 'copy'").limit(1).count() or not maybe.limit(1).count():
+            return  # no object has two names
         kept = self.defs.filter("op = 'copy'").select(*FN, "block", F.col("ix").alias("at"), F.col("asked").alias("p"), F.col("p").alias("to_p"))
         hop = graphs.cut(self.seen(kept).join(kept, list(_AT)).select(*FN, "p", "ix", "to_p", F.col("at").alias("to_ix")))
         made = self.defs.filter("op <> 'copy' AND (op <> 'derive' OR startswith(p[0], '@'))")
         name = F.concat_ws(".", F.concat(F.lit("o"), F.col("ix").cast("string")), F.col("rest"))
         holds = graphs.cut(graphs.closure(made.select(*FN, "p", "ix", name.alias("made")), lambda new: new.join(hop, [*FN, "p", "ix"]).select(*FN, F.col("to_p").alias("p"), F.col("to_ix").alias("ix"), "made")))
-        maybe = graphs.cut(_through_others(self.paths, _stores(self.ops)))
         at = lambda which: maybe.select(*FN, "block", F.col("ix").alias("at"), F.col(which).alias("p"))
         objects = graphs.cut(self.seen(at("holder").unionByName(at("object"))).join(holds, [*FN, "p", "ix"]).select(*_AT, "made").distinct())
         mine = objects.select(*FN, "block", F.col("at").alias("ix"), F.col("p").alias("holder"), "made")
