@@ -8,11 +8,13 @@ Objects are the places that made them (a `new`, or a path as it is at the entry)
 object: a write to a field of one is then a write to that field of the other, which adds. This works both ways.
 
 Paths count with their first DEPTH parts; what is longer counts as the path that leads to it, and writing there adds. So there are
-finitely many rows, and loops end. Every table is keyed by path and fn; a function's rows are as many as its text brings.
+finitely many rows, and loops end. Every table is keyed by path and fn; a function's rows are as many as its text brings. Which
+writes reach which blocks is found for one function at a time; the rest are closures over the tables of all functions at once.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,42 @@ DEPTH = 5
 _AT = (*FN, "block", "at", "p")
 
 
+_REACH = "path string, fn string, p array<string>, block long, ix long"
+
+
+def _function(told: pa.Table) -> pa.Table:
+    """What reaches the blocks of one function: from each write along the edges, up to the blocks that replace its path.
+
+    told: an edge has no p; a write has its ix, a block that replaces p has neither ix nor label, an edge that settles p its label.
+    """
+    after: dict[int, list[tuple[int, str | None]]] = {}
+    begun, ends, settled = [], set(), set()
+    for p, block, ix, label, to in zip(*(told.column(c).to_pylist() for c in ("p", "block", "ix", "label", "to")), strict=True):
+        if p is None:
+            after.setdefault(block, []).append((to, label))
+        elif ix is not None:
+            begun.append((tuple(p), block, ix))
+        elif label is None:
+            ends.add((tuple(p), block))
+        else:
+            settled.add((tuple(p), block, label))
+    paths, blocks, numbers = [], [], []
+    for p, block, ix in begun:
+        seen, work = set(), [block]
+        while work:
+            at = work.pop()
+            for to, label in after.get(at, ()):
+                if to not in seen and (p, at, label) not in settled:
+                    seen.add(to)
+                    if (p, to) not in ends:
+                        work.append(to)
+        paths += [list(p)] * len(seen)
+        blocks += seen
+        numbers += [ix] * len(seen)
+    same = lambda name: pa.array([told.column(name)[0].as_py()] * len(blocks), pa.string())
+    return pa.table({"path": same("path"), "fn": same("fn"), "p": pa.array(paths, pa.list_(pa.string())), "block": pa.array(blocks, pa.int64()), "ix": pa.array(numbers, pa.int64())})
+
+
 def _limited(path: Column) -> Column:
     return F.slice(path, 1, DEPTH)
 
@@ -98,13 +136,13 @@ class _Heap:
 
     def _reaching(self, defs: DataFrame) -> DataFrame:
         """(path, fn, p, block, ix): writes that may still hold where a block begins."""
-
-        def along(rows: DataFrame) -> DataFrame:
-            moved = rows.join(self.steps, [*FN, "block"]).join(self.settled, [*FN, "block", "label", "p"], "left_anti")
-            return moved.select(*FN, "p", F.col("to").alias("block"), "ix")
-
-        out = defs.join(self.last, [*FN, "p", "block"], "left").filter("last IS NULL OR ix >= last").select(*FN, "p", "block", "ix")
-        return graphs.closure(along(out), lambda new: along(new.join(self.last, [*FN, "p", "block"], "left_anti")))
+        none = F.lit(None)
+        out = defs.join(self.last, [*FN, "p", "block"], "left").filter("last IS NULL OR ix >= last").select(*FN, "p", "block", "ix", none.cast("string").alias("label"))
+        ends = self.last.select(*FN, "p", "block", none.cast("long").alias("ix"), none.cast("string").alias("label"))
+        settled = self.settled.select(*FN, "p", "block", none.cast("long").alias("ix"), "label")
+        edges = self.steps.select(*FN, none.cast("array<string>").alias("p"), "block", none.cast("long").alias("ix"), "label", "to")
+        told = out.unionByName(ends).unionByName(settled).withColumn("to", none.cast("long")).unionByName(edges)
+        return told.groupBy(*FN).applyInArrow(_function, _REACH)
 
     def seen(self, asked: DataFrame) -> DataFrame:
         """asked (path, fn, block, at, p) with ix: the writes that p may hold just before number `at` of its block. The result of
