@@ -160,6 +160,20 @@ def test_summaries_from_code(project):
     assert up == {("src/h.ts#handle", "db-query")}
 
 
+def test_a_source_is_returned_over_files(spark):
+    code = {
+        "src/read.ts": "export function q(req) { const v = req.query.q; return v; }\nexport function clean(req) { return escapeHtml(req.query.q); }\n",
+        "src/mid.ts": "import { q } from './read';\nexport function over(req) { const t = q(req); return t; }\nexport function other() { return over2(); }\n",
+        "src/use.ts": "import { over } from './mid';\nimport { clean } from './read';\nexport function h(r) { const x = over(r); db.query(x); }\nexport function g(r) { db.query(clean(r)); }\nexport function f(r) { over(r); db.query('fixed'); }\n",
+    }
+    files = spark.createDataFrame(list(code.items()), "path string, content string")
+    read, bound = facts.extract(files).cache(), bindings.extract(files).cache()
+    found = flows.forward(summaries.build(bound, resolve.links(bound, read, files))).collect()
+    assert [(r["source_fn"], r["source_kind"], r["sink_fn"], [(t["fn"], t["how"]) for t in r["trace"]]) for r in found] == [
+        ("src/read.ts#q", "req-query", "src/use.ts#h", [("src/read.ts#q", "source"), ("src/mid.ts#over", "return"), ("src/use.ts#h", "return")])
+    ]
+
+
 def test_names_of_imports(spark):
     rows = [("a.ts", "import d, { x as y, type T } from './m';\nimport * as ns from './n';\nconst r = require('./o');\nimport './side';\n")]
     read = facts.extract(spark.createDataFrame(rows, "path string, content string"))

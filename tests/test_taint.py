@@ -46,14 +46,15 @@ def chain(spark):
 
 def test_forward_flows(chain):
     got = {(r["sink_fn"], r["line"]): r for r in flows.forward(chain).collect()}
-    assert set(got) == {("C", 30), ("A", 10)}
+    assert set(got) == {("C", 30), ("A", 10), ("A", 9)}  # what E hands back comes to the caller that gave it
+    assert [(t["fn"], t["how"], t["line"]) for t in got["A", 9]["trace"]] == [("A", "source", None), ("E", "through", 7)] and got["A", 9]["confidence"] == "likely"
     assert [t["fn"] for t in got["C", 30]["trace"]] == ["A", "B", "C"] and got["C", 30]["hops"] == 1 and got["C", 30]["files"] == 2
     every = {(r["sink_fn"], r["line"]): (r["sanitized"], r["confidence"]) for r in flows.forward(chain, include_sanitized=True).collect()}
     assert every[("D", 40)] == (True, "definite")
 
 
 def test_a_walk_does_not_come_back(spark):
-    """A return to the function that it came from is another visit; a helper's own return does reach another caller."""
+    """What a helper reads and returns comes to its caller."""
     s = tables(
         spark,
         [("A", "a.ts", False, None), ("E", "e.ts", False, None), ("B", "b.ts", False, None)],
@@ -69,7 +70,7 @@ def test_options(chain):
     assert flows.forward(chain, sink_kinds=["eval"]).count() == 1
     assert flows.forward(chain, source_kinds=["cookie"]).count() == 0
     assert {r["sink_fn"] for r in flows.forward(chain, depth=1).collect()} == {"A"}
-    assert flows.cross_file(flows.forward(chain)).count() == 1
+    assert {r["line"] for r in flows.cross_file(flows.forward(chain)).collect()} == {9, 30}  # to C, and through E
 
 
 def test_backward_flows(chain):
@@ -78,10 +79,50 @@ def test_backward_flows(chain):
     assert flows.backward(chain, "E").count() == 0
 
 
+def test_a_value_returns_to_the_caller_that_gave_it(spark):
+    """Both A and B call E, which hands its parameter back; only A gives it a request. D reads one and returns it over G."""
+    s = tables(
+        spark,
+        [(f, f"{f}.ts", f == "H", "escape" if f == "H" else None) for f in "ABDEGH"],
+        [("A", "req.body", "body", []), ("D", "req.query", "return", [])],
+        [(f, k, value(x), "eval", "eval", False, [], 10 + k) for f, k, x in (("A", 0, "x"), ("B", 1, "x"), ("B", 2, "y"), ("A", 3, "z"))],
+        [("A", 0, "E", 1, "x"), ("B", 0, "E", 2, "x"), ("B", 1, "G", 3, "y"), ("G", 0, "D", 4, "return"), ("A", 1, "H", 5, "z")],
+        [("A", 0, value("body"), 0), ("B", 0, value("fixed"), 0), ("A", 1, value("body"), 0)],
+        [("E", 0, "return", False, [], "definite"), ("H", 0, "return", False, ["numeric-cast"], "possible")],
+    )
+    found = {(r["source_fn"], r["sink_fn"], r["line"]): r for r in flows.forward(s, include_sanitized=True).collect()}
+    assert set(found) == {("A", "A", 10), ("D", "B", 12), ("A", "A", 13)}
+    assert [(t["fn"], t["how"]) for t in found["D", "B", 12]["trace"]] == [("D", "source"), ("G", "return"), ("B", "return")]
+    cleaned = found["A", "A", 13]
+    assert (cleaned["sanitized"], cleaned["sanitizations"], cleaned["confidence"]) == (True, ["escape", "numeric-cast"], "possible")
+    assert {(r["source_fn"], r["line"]) for r in flows.forward(s).collect()} == {("A", 10), ("D", 12)}
+    assert flows.forward(s, include_sanitized=True, least="likely").count() == 2
+
+
+def test_states_are_few_where_walks_are_many(spark):
+    """Ten diamonds in a row have 1,024 ways of 20 calls; a recursion swaps its parameters."""
+    calls = [x for k in range(10) for x in ((f"a{k}", 0, f"l{k}"), (f"a{k}", 1, f"r{k}"), (f"l{k}", 0, f"a{k + 1}"), (f"r{k}", 0, f"a{k + 1}"))]
+    s = tables(
+        spark,
+        [(f, f"{f}.ts", False, None) for f in sorted({x for c in calls for x in (c[0], c[2])} | {"swap", "aside"})],
+        [("a0", "req.body", "body", []), ("swap", "env", "env", []), ("aside", "env", "env", [])],
+        [("a10", 0, param(0), "eval", "eval", False, [], 7), ("swap", 0, param(0), "eval", "eval", False, [], 8)],
+        [(a, k, b, 1, None) for a, k, b in calls] + [("swap", 2, "swap", 2, None), ("swap", 3, "swap", 3, None), ("a10", 5, "aside", 9, None)],
+        [(a, k, value("body") if a == "a0" else param(0), 0) for a, k, b in calls] + [("swap", 2, param(1), 0), ("swap", 3, value("env"), 1), ("a10", 5, param(0), 0)],
+    )
+    met = flows.states(s, s.hits.filter("fn = 'a10'"), 20)
+    assert met.count() == 31 and met.filter("fn IN ('swap', 'aside')").count() == 0
+    got = {r["source_fn"]: (r["depth"], [t["fn"] for t in r["trace"]]) for r in flows.forward(s, depth=20).collect()}
+    assert got["a0"] == (20, [x for k in range(10) for x in (f"a{k}", f"l{k}")] + ["a10"])
+    assert got["swap"] == (2, ["swap", "swap", "swap"]) and "aside" not in got
+    assert {r["source_fn"] for r in flows.forward(s).collect()} == {"swap"}  # ten calls at most
+    assert flows.forward(s, source_kinds=["nothing"]).count() == 0 and flows.backward(s, "aside").count() == 0
+
+
 def test_summary_and_sinks(chain):
     found = flows.forward(chain, include_sanitized=True)
     told = {(r["by"], r["value"]): r["flows"] for r in flows.summary(found).collect()}
-    assert told[("all", None)] == 3 and told[("sink", "sql-query")] == 2 and told[("source", "req.body")] == 3
+    assert told[("all", None)] == 4 and told[("sink", "sql-query")] == 2 and told[("source", "req.body")] == 4
     assert flows.rendered(found).first()[0].startswith("[CRITICAL]")
     shown = [json.loads(r[0]) for r in flows.sarif_flows(found).collect()]
     longest = max(shown, key=lambda r: len(r["codeFlows"][0]["threadFlows"][0]["locations"]))

@@ -217,6 +217,11 @@ def build(bindings: DataFrame, links: DataFrame, names: Catalogue | None = None,
     calls = known.join(lines, ["id", "ix"]).select(F.col("id").alias("caller"), F.col("ix").alias("edge_ix"), F.col("callee_fn").alias("callee"), "line", F.concat(F.lit("@"), F.col("ix").cast("string")).alias("assigned_to"))
     args = meets(b.filter("kind = 'arg' AND arg >= 0").join(known, ["id", "ix"])).select(F.col("id").alias("caller"), F.col("ix").alias("edge_ix"), _input().alias("input"), F.col("arg").alias("callee_param")).distinct()
     sources = first.filter("kind = 'value' AND label NOT LIKE '@%'").select("fn", F.col("label").alias("kind"), "label", F.array().cast("array<string>").alias("path"))
+    # what is returned as it is: a source is one of the callers as well, and so is a call's result
+    returned = way.filter("kind = 'value' AND node = 'return' AND size(kinds) = 0")
+    sources = sources.unionByName(returned.filter("label NOT LIKE '@%'").select("fn", F.col("label").alias("kind"), F.lit("return").alias("label"), F.array().cast("array<string>").alias("path"))).distinct()
+    handed = returned.select(F.col("fn").alias("caller"), F.col("label").alias("assigned_to")).join(calls, ["caller", "assigned_to"]).withColumn("assigned_to", F.lit("return"))
+    calls = calls.unionByName(handed.select(*calls.columns))
     hits = graphs.cut(hits)
     return flows.Summaries(functions(b, moves, hits), graphs.cut(sources), hits, graphs.cut(calls), graphs.cut(args), moves)
 
