@@ -181,3 +181,22 @@ def test_an_engine_that_fails_in_a_task_is_reported(spark, monkeypatch):
     failed = []
     assert [r["engine"] for r in engines.detect(read, known, failed=failed).collect()] == ["unsafe-regex"]
     assert [n for n, _ in failed] == ["broken"] and "broken engine" in failed[0][1]
+
+
+def test_async_functions_of_other_files(spark):
+    """Over a re-export, as a default and as a member of a module; what is awaited, voided, shadowed by no import or not async is left."""
+    code = {
+        "src/lib.ts": "export async function load(x) { return x; }\nexport function plain(x) { return x; }\nexport default async function main(x) { return x; }\n",
+        "src/all.ts": "export * from './lib';\n",
+        "src/a.ts": "import { load as go, plain } from './all';\nimport start from './lib';\nasync function f(v) {\n  go(v);\n  plain(v);\n  start(v);\n  await go(v);\n  void go(v);\n  return go(v);\n}\n",
+        "src/b.ts": "import * as lib from './lib';\nasync function f(v) {\n  lib.load(v);\n  lib.plain(v);\n  load(v);\n  end(v);\n}\nfunction g(v) { lib.load(v); }\n",
+        "src/c.ts": "import { push } from 'q';\nasync function f(v) {\n  push(v);\n  push(v).catch(log);\n  end(v);\n}\n",
+    }
+    files = spark.createDataFrame(list(code.items()), "path string, content string")
+    read = facts.extract(files).cache()
+    found = {(r["path"], r["line"], r["severity"], r["confidence"]) for r in engines.missing_await(read, files).collect()}
+    assert found == {("src/a.ts", 4, "error", "high"), ("src/a.ts", 6, "error", "high"), ("src/b.ts", 3, "error", "high"), ("src/c.ts", 3, "warning", "medium")}
+    known = spark.createDataFrame([("q",)], "name string")
+    every = engines.detect(read, known, files=files).filter("engine = 'missing-await'")
+    assert {(r["path"], r["line"]) for r in every.collect()} == {f[:2] for f in found}
+    assert {r["path"] for r in engines.missing_await(read).collect()} == {"src/a.ts", "src/c.ts"}  # without the other files: awaited elsewhere alone

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracewell.extract.facts import is_told, of_kind, told
 from tracewell.functions import names, paths, patterns, scalars
 from tracewell.operators import graphs
+from tracewell.taint import resolve
 
 # Names and substrings that decide results.
 BUILTINS = (
@@ -93,20 +94,28 @@ def stack_trace_exposure(facts: DataFrame) -> DataFrame:
     return _issues(hit, "stack-trace-exposure", "error", F.when(stack, "high").otherwise("medium"), F.concat(F.lit("Error details are sent to the client by "), F.col("name")), "Log the error and send a generic message")
 
 
-def missing_await(facts: DataFrame) -> DataFrame:
-    """Calls whose promise nothing takes, by functions declared async in the file or by known interfaces."""
+def missing_await(facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Calls whose promise nothing takes: of functions declared async in the file or, if files are given, in the file that they
+    are imported from, of known interfaces, and of functions that the file waits for at another place (a warning at most)."""
     calls = of_kind(facts, "call").filter(
         ~is_told("awaited") & ~is_told("returned") & ~is_told("voided") & ~is_told("built") & ~is_told("argument") & (told("given") == "") & ~told("chained").isin("then", "catch", "finally") & is_told("in_async") & is_told("statement")
     )
     declared = of_kind(facts, "function").filter(is_told("async") & (F.col("name") != "(anonymous)")).select("path", F.col("name").alias("short"), F.lit(True).alias("declared")).distinct()
     plain = F.when(F.col("name").rlike(r"^(this\.)?\w+$"), _last())
-    named = calls.withColumn("short", plain).join(declared, ["path", "short"], "left")
+    waited = of_kind(facts, "call").filter(F.col("name").rlike(r"^\w+$") & (is_told("awaited") | told("chained").isin("then", "catch"))).select("path", F.col("name").alias("short"), F.lit(True).alias("waited")).distinct()
+    if files is not None:
+        away = resolve.async_names(facts, files).select("path", F.col("callee").alias("name"), F.lit(True).alias("away"))
+        calls = calls.join(away, ["path", "name"], "left")
+    else:
+        calls = calls.withColumn("away", F.lit(None).cast("boolean"))
+    named = calls.withColumn("short", plain).join(declared, ["path", "short"], "left").join(waited, ["path", "short"], "left")
+    named = named.withColumn("declared", F.coalesce("declared", "away"))
     api = F.col("name").isin(*[a for a, _ in ASYNC_APIS])
     write = F.col("name").rlike(WRITES) & F.col("name").rlike(DATABASE)
     read = F.col("name").rlike(READS) & F.col("name").rlike(DATABASE)
-    hit = named.filter(F.coalesce(F.col("declared"), F.lit(False)) | api | write | read)
+    hit = named.filter(F.coalesce(F.col("declared"), F.col("waited"), F.lit(False)) | api | write | read)
     forget = F.lower(_last()).rlike("^(log|track|send|publish|emit|queue|schedule|cache)")
-    severity = F.when(write, "error").when(forget, "info").when(F.coalesce(F.col("declared"), F.lit(False)) | api | read, "error")
+    severity = F.when(write, "error").when(forget, "info").when(F.coalesce(F.col("declared"), F.lit(False)) | api | read, "error").otherwise("warning")
     severity = F.when(is_told("last") & (severity == "error") & ~write & ~is_told("in_try"), "warning").otherwise(severity)
     confidence = F.when(forget, "low").when(write | api | F.coalesce(F.col("declared"), F.lit(False)), "high").otherwise("medium")
     return _issues(hit, "missing-await", severity, confidence, F.concat(F.lit("Missing await on "), F.col("name"), F.lit("()")), "Await the call, return it, or handle its rejection")
@@ -272,8 +281,9 @@ def register(name: str, engine: Engine) -> None:
     ENGINES[name] = engine
 
 
-def detect(facts: DataFrame, known_packages: DataFrame, rules: dict[str, str] | None = None, aliases: tuple[str, ...] = (), failed: list[tuple[str, str]] | None = None) -> DataFrame:
+def detect(facts: DataFrame, known_packages: DataFrame, rules: dict[str, str] | None = None, aliases: tuple[str, ...] = (), failed: list[tuple[str, str]] | None = None, files: DataFrame | None = None) -> DataFrame:
     """Issues of all engines but those whose rule is off, in the order of engines within a file; a rule's level sets the severity.
+    With files(path, content), calls are judged by functions of other files as well.
 
     If failed is given, every engine runs as a job of its own whose rows are kept in the shared folder; one that cannot be
     planned or fails in a task is noted there (name, error) and the others still answer. Else all run in one plan.
@@ -285,7 +295,7 @@ def detect(facts: DataFrame, known_packages: DataFrame, rules: dict[str, str] |
         if level == "off":
             continue
         try:
-            rows = engine(facts, known_packages, aliases) if name == "hallucinated-deps" else engine(facts)
+            rows = engine(facts, known_packages, aliases) if name == "hallucinated-deps" else engine(facts, files) if engine is missing_await else engine(facts)
             rows.schema  # noqa: B018  plans it
             if failed is not None:
                 rows = graphs.cut(rows)

@@ -204,7 +204,10 @@ class Reader:
                 self.add("import", target, k, form="reexport", type_only=s.word(k + 1) == "type", names=names, guarded=False)
             return
         if s.word(j) == "default":
-            self.add("export", "default", k, original=s.word(j + 1))
+            j = named = j + 1
+            while s.word(named) in ("async", "abstract", "function", "class", "*"):
+                named += 1
+            self.add("export", "default", k, original=s.word(named if s.kind(named) == "name" and s.word(named) not in ("extends", "implements") else j))
             return
         while s.word(j) in ("async", "abstract", "declare", "const", "let", "var", "function", "class", "interface", "type", "enum", "*"):
             j += 1

@@ -34,7 +34,7 @@ def analyze(spark: SparkSession, root: str, config: projects.Config | None = Non
     modules = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "package.json").load(root).select(F.regexp_replace("path", "^file:", "").alias("path"))
     known = projects.importable(engines.checked_imports(read, prefixes), manifests, projects.installed(modules))
     failed: list[tuple[str, str]] = []
-    detected = engines.created(engines.detect(read, known, config.rules, prefixes, failed), files)
+    detected = engines.created(engines.detect(read, known, config.rules, prefixes, failed, files), files)
     for name, why in failed:
         logging.getLogger("tracewell").warning("engine %s left out: %s", name, why)
     found = graphs.cut(issues_of(detected))

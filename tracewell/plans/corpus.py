@@ -472,3 +472,28 @@ def q86(spark, sf_dir):
     made = table(spark, sf_dir, "customer").select(F.concat(F.lit("src/route/r"), n.cast("string"), F.lit(".ts")).alias("path"), text.alias("content"))
     shown = lambda name: F.array_join(F.array_sort(name), " ").alias(name)
     return engines.field_gaps(facts.extract(made)).select("path", shown("covered"), shown("missing"))
+
+
+# promises that nothing takes
+
+
+@register("q90_calls_without_await", """WITH c AS (SELECT c_custkey AS n FROM customer), u AS (SELECT 'src/use/u' || n || '.ts' AS path, n FROM c)
+  SELECT path, 4 AS line, 'error' AS severity, 'high' AS confidence, 'Missing await on ' || CASE WHEN n % 3 = 1 THEN 'lib.load' || n ELSE 'go' END || '()' AS message FROM u WHERE n % 2 = 0 AND n % 5 > 1
+  UNION ALL SELECT path, 5, 'warning', 'medium', 'Missing await on push()' FROM u WHERE n % 7 = 0""")
+def q90(spark, sf_dir):
+    """Files made of customers call a function of another file: every second is async, some are imported over a file that hands
+    all on, some with their whole module; some calls are awaited or voided. Every seventh file waits for push at one place of two."""
+    share_code(spark)
+    n = F.col("c_custkey")
+    own, lit = n.cast("string"), F.lit
+    lib = F.concat(lit("export "), F.when(n % 2 == 0, "async ").otherwise(""), lit("function load"), own, lit("(x) { return x; }\n"))
+    named = F.concat(lit("import { load"), own, lit(" as go } from '../lib/"), F.when(n % 3 == 0, "b").otherwise("l"), own, lit("';\n"))
+    whole = F.concat(lit("import * as lib from '../lib/l"), own, lit("';\n"))
+    use = F.concat(
+        F.when(n % 3 == 1, whole).otherwise(named), lit("import { push } from 'queue';\nexport async function run(v) {\n  "), F.when(n % 5 == 0, "await ").when(n % 5 == 1, "void ").otherwise(""),
+        F.when(n % 3 == 1, F.concat(lit("lib.load"), own)).otherwise("go"), lit("(v);\n  push(v);\n  "), F.when(n % 7 == 0, "await push(v);").otherwise("done(v);"), lit("\n  done(v);\n}\n"),
+    )
+    file = lambda folder, text: F.struct(F.concat(lit(f"src/{folder}"), own, lit(".ts")).alias("path"), text.alias("content"))
+    made = table(spark, sf_dir, "customer").select(F.explode(F.array(file("lib/l", lib), file("lib/b", F.concat(lit("export * from './l"), own, lit("';\n"))), file("use/u", use))).alias("f")).select("f.*")
+    read = graphs.cut(facts.extract(made))
+    return engines.missing_await(read, made).select("path", "line", "severity", "confidence", "message")

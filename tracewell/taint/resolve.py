@@ -111,6 +111,18 @@ def async_calls(found: DataFrame, facts: DataFrame) -> DataFrame:
     return found.join(declared, "callee_fn", "left_semi")
 
 
+def async_names(facts: DataFrame, files: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """(path, callee): the names by which a file calls functions of other files that are declared async: an imported name, or a
+    member of a module that is imported whole. Re-exports are followed."""
+    shown = graphs.cut(exported_names(facts, files, prefixes))
+    known = symbols(facts, files, prefixes, shown)
+    direct = known.filter("origin IS NOT NULL").select("path", F.col("local").alias("callee"), "origin_path", "origin")
+    whole = known.filter("imported = '*' AND target IS NOT NULL").select(F.col("path").alias("from_path"), "local", F.col("target").alias("path"))
+    member = whole.join(shown, "path").select(F.col("from_path").alias("path"), F.concat("local", F.lit("."), "shown").alias("callee"), "origin_path", "origin")
+    declared = of_kind(facts, "function").filter(told("async") == "true").select(F.col("path").alias("origin_path"), F.col("name").alias("origin")).distinct()
+    return direct.unionByName(member).join(declared, ["origin_path", "origin"], "left_semi").select("path", "callee").distinct()
+
+
 def callers(found: DataFrame, callee_fn: str) -> DataFrame:
     """(caller) functions that call one."""
     return found.filter(F.col("callee_fn") == callee_fn).select(fn_id(F.col("path"), F.col("fn")).alias("caller")).distinct()
