@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -126,6 +127,34 @@ def test_components_of_many_edges_and_of_few_agree(spark):
     assert jaccard.components(df.limit(0)).count() == 0
 
 
+def test_repeated_members_are_counted_in_little_memory():
+    r = np.random.default_rng(3)
+    for n, least in itertools.product((0, 1, 2, 3, 4, 5, 50, 1000), (1, 2, 4)):
+        every = r.integers(0, n // 3 + 1, n).astype(np.uint64)
+        value, count = np.unique(every, return_counts=True)
+        got, times = jaccard.repeated(every.copy(), least)
+        assert got.tolist() == value[count >= least].tolist() and times.tolist() == count[count >= least].tolist()
+    every = r.integers(0, 2**63, 1 << 20).astype(np.uint64)
+    tracemalloc.start()
+    jaccard.repeated(every, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < every.nbytes / 2  # bounds and counts of all members took over three times their bytes
+
+
+def test_long_texts_are_cut_into_small_slices():
+    def sizes(text, n):
+        batch = pa.record_batch({"text": pa.array([text] * n)})
+        got = list(tables.parts(batch))
+        assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch])) if n else not got
+        return [x.num_rows for x in got]
+
+    assert sizes("some words", 2500) == [1024, 1024, 452] and sizes("", 0) == []
+    long = sizes("x" * 100_000, 300)
+    assert max(long) * 100_000 <= 8 << 20 and sum(long) == 300
+    assert sizes("x" * (9 << 20), 2) == [1, 1]
+
+
 def test_prefixes_of_linked_sets_meet():
     r = np.random.default_rng(4)
     order = jaccard.Order(r.integers(0, 2**63, 5).astype(np.uint64))

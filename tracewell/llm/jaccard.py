@@ -130,6 +130,15 @@ class Order:
         return first, members[late[np.argsort(rank, kind="stable")]][: size - len(first)]
 
 
+def repeated(every: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members that occur `least` times or more, and how often. Sorts in place: nothing but bits is made for each of the others."""
+    every.sort()
+    first = every[: max(0, len(every) - least + 1)] == every[least - 1 :]
+    first[1:] &= every[1 : len(first)] != every[: max(0, len(first) - 1)]
+    member = every[: len(first)][first]
+    return member, np.searchsorted(every, member, "right") - np.flatnonzero(first)
+
+
 def shared_members(docs: DataFrame, text_col: str, local: int = 4, least: int = 2 * FEW) -> np.ndarray:
     """Hashes of members that at least about `least` different sets hold, ascending by how many; at most SHARED.
 
@@ -139,20 +148,18 @@ def shared_members(docs: DataFrame, text_col: str, local: int = 4, least: int =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            found, size = [], 0
+            found = []
             for members in sets(*K.flat(batch.column(0))):
                 if len(members) and (name := set_hash(members)) not in seen:
                     seen.add(name)
                     found.append(members)
-                    size += len(members)
             if len(seen) > 1 << 20:
                 seen.clear()
             if found:
-                every = np.sort(np.concatenate(found))
-                edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-                count = np.diff(np.append(edge, len(every)))
-                often = count >= local
-                yield pa.RecordBatch.from_arrays([pa.array(every[edge[often]].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["member", "n"])
+                every = np.concatenate(found)
+                found.clear()  # the batch's members are held once
+                member, count = repeated(every, local)
+                yield pa.RecordBatch.from_arrays([pa.array(member.view(np.int64)), pa.array(count)], names=["member", "n"])
 
     local_counts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "member long, n long")
     counts = tables.cut(local_counts.groupBy("member").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))

@@ -57,8 +57,9 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def parts(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """A batch in slices, so that what a kernel makes on the way stays small beside the batch itself."""
+def parts(batch: pa.RecordBatch, rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, of fewer rows (about size bytes) if texts are long, so that what a kernel makes on the way stays small beside the batch itself."""
+    rows = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
