@@ -115,3 +115,28 @@ def test_elements_apart(spark):
 @pytest.mark.parametrize("text_", ["", "function", "x = {", "x = [", "const {", "const { a: [", "f(", "a[", "a[b", "a.b.", "function f(){ x = ", "function f(){ x = {...", "() => {", "({ a, b: { c }, ...d }) => a", "}}}", "(((", "a?.[0]?.(b)", "for (const x of", "function f(){ return"])
 def test_any_text_is_read(text_):
     read.Heap(text_).rows()
+
+
+def jobs_of(spark, name, make):
+    """How many jobs make() starts before its rows are asked for."""
+    spark.sparkContext.setJobGroup(name, name)
+    made = make()
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup(name)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return made, len(started)
+
+
+def test_functions_are_worked_on_in_one_pass(spark):
+    """No rounds over the tables of all functions; rows that lie by function already are sent once."""
+    from tracewell.plans import catalog
+
+    for name in ("q87_heap_flows", "q88_heap_reads"):
+        made, jobs = jobs_of(spark, name, lambda name=name: catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert jobs <= 1 and plan.count("Exchange hashpartitioning") == 1  # a job: the table's columns are read
+
+
+def test_a_long_function(spark):
+    steps = "".join(f"if (go) {{ o.x = b.y; b = o; }} x = x + {k}; " for k in range(400))
+    files = spark.createDataFrame([("a", f"function f(req) {{ let o = {{}}, b = {{}}, x = req.query.q; {steps} exec(x, b.y); }}")], "path string, content string")
+    assert {r["arg"] for r in heap.tainted(read.extract(files)).collect()} == {0}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,6 +24,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_SLICE = 256
+
+
+def each_group(rows: DataFrame, keys: tuple[str, ...], work: Callable[[tuple, list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """What work(key, rows) gives for the rows of every key; the rows are tuples of the other columns, in their order.
+
+    A key's rows come to one task, as one row; where they lie together already, they are put together before they are sent.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    packed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("__rows"))
+    names = StructType.fromDDL(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_schema(names)
+        for batch in batches:
+            for first in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(first, _SLICE)
+                lists = part.column(len(keys))
+                flat = list(zip(*[c.to_pylist() for c in lists.flatten().flatten()], strict=True))
+                at, out = 0, []
+                for key, n in zip(zip(*[part.column(k).to_pylist() for k in range(len(keys))], strict=True), lists.value_lengths().to_pylist(), strict=True):
+                    out += work(key, flat[at : at + n])
+                    at += n
+                columns = list(zip(*out, strict=True)) or [()] * len(kind)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+
+    return packed.mapInArrow(run, schema)
+
+
 def closure(start: DataFrame, step, rounds: int | None = None) -> DataFrame:
     """The rows of start and all that step(rows) leads to: semi-naive, each round works on the new rows alone.
 

@@ -60,23 +60,25 @@ _SOURCES = (("req", "query"), ("v0",), ("v1", "a"), ("v0", "b"), ("v1",))
 _END = 1_000_000
 
 
-def _line_heap(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two orders are a function and each line is a block of one write; some lines may skip the next one."""
+def _line_heap(spark, sf_dir: str) -> DataFrame:
+    """Two orders are a function and each line is a block of one write; some lines may skip the next one. What is read in the end
+    stands beside the first line. Lines are sent once; all rows of a function are made where its lines are."""
     texts = lambda parts: F.array(*[F.lit(x) for x in parts])
-    lines = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 2).cast("string").alias("fn"), "l_orderkey", "l_linenumber", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("int").alias("q")).distinct()
-    lines = lines.groupBy("fn").agg(F.count("*").alias("n"), F.collect_list(F.struct("l_orderkey", "l_linenumber", "p", "s", "q")).alias("all")).select("fn", "n", F.posexplode(F.array_sort("all")).alias("k", "l")).select("fn", "n", (F.col("k") + 1).alias("block"), "l.*")
+    lines = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 2).cast("string").alias("fn"), F.struct("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("int").alias("q")).alias("l"))
+    lines = lines.groupBy("fn").agg(F.array_sort(F.collect_set("l")).alias("all")).select("fn", F.size("all").alias("n"), F.posexplode("all").alias("k", "l")).select("fn", "n", (F.col("k") + 1).alias("block"), "l.*")
     op = F.col("p") % 5
     target = F.concat(F.array(F.concat(F.lit("v"), (F.col("s") % 2).cast("string"))), F.when(F.col("q") % 3 == 1, texts(["a"])).when(F.col("q") % 3 == 2, texts(["b"])).otherwise(F.array().cast("array<string>")))
     source = F.element_at(F.array(*[texts(x) for x in _SOURCES]), (F.floor(F.col("p") / 5) % 5 + 1).cast("int"))
-    base = [F.lit("p").alias("path"), "fn"]
-    none = {"to": F.lit(None).cast("int"), "label": F.lit(None).cast("string"), "line": F.lit(1), "ix": F.lit(None).cast("int"), "op": F.lit(None).cast("string"), "target": F.lit(None).cast("array<string>"), "source": F.lit(None).cast("array<string>")}
-    row = lambda kind, block, **more: [*base, F.lit(kind).alias("kind"), block.cast("int").alias("block"), *[c.alias(k) for k, c in (none | more).items()]]
-    writes = lines.select(*row("write", F.col("block"), ix=F.col("block").cast("int"), op=F.when(op == 0, "new").when(op == 3, "derive").otherwise("value"), label=F.when(op == 4, "escape"), target=target, source=F.when(op != 0, source)))
-    to = F.array_union(F.array(F.when(F.col("block") < F.col("n"), F.col("block") + 1).otherwise(_END)), F.when((F.col("p") % 3 == 0) & (F.col("block") + 2 <= F.col("n")), F.array(F.col("block") + 2)).otherwise(F.array().cast("array<int>")))
-    steps = lines.withColumn("to", F.explode(to)).select(*row("edge", F.col("block"), to=F.col("to"), label=F.lit("next")))
-    first = lines.filter("block = 1").select(*row("edge", F.lit(0), to=F.lit(1), label=F.lit("next")))
-    reads = lines.filter("block = 1").select(*base, F.lit(_END).cast("long").alias("block"), F.lit(_END).cast("long").alias("at"), F.explode(F.array(*[texts(x) for x in _READS])).alias("p"))
-    return writes.unionByName(steps).unionByName(first), reads
+    block, kinds = F.col("block"), {"to": "int", "label": "string", "line": "int", "ix": "int", "op": "string", "target": "array<string>", "source": "array<string>"}
+    row = lambda kind, block, **more: F.struct(F.lit(kind).alias("kind"), block.cast("int").alias("block"), *[more.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
+    write = row("write", block, line=F.lit(1), ix=block, op=F.when(op == 0, "new").when(op == 3, "derive").otherwise("value"), label=F.when(op == 4, "escape"), target=target, source=F.when(op != 0, source))
+    edge = lambda at, to: row("edge", at, to=to, label=F.lit("next"))
+    end = F.lit(_END)
+    skips = F.when((F.col("p") % 3 == 0) & (block + 2 <= F.col("n")), F.array(edge(block, block + 2)))
+    first = F.when(block == 1, F.array(edge(F.lit(0), F.lit(1)), *[row("asked", end, ix=end, target=texts(x)) for x in _READS]))
+    none = F.array().cast(f"array<struct<kind:string,block:int,{','.join(f'{k}:{t}' for k, t in kinds.items())}>>")
+    told = F.concat(F.array(write, edge(block, F.when(block < F.col("n"), block + 1).otherwise(end))), F.coalesce(skips, none), F.coalesce(first, none))
+    return lines.select(F.lit("p").alias("path"), "fn", F.explode(told).alias("r")).select("path", "fn", "r.*")
 
 
 _LIST = lambda parts: "[" + ", ".join(f"'{p}'" for p in parts) + "]"
@@ -94,5 +96,4 @@ _LIST = lambda parts: "[" + ", ".join(f"'{p}'" for p in parts) + "]"  # noqa: E7
 def q88(spark, sf_dir):
     """Which of six paths may hold a request's query after all lines, and whether it is sanitized on every way."""
     share_code(spark)
-    rows, reads = _line_heap(spark, sf_dir)
-    return heap.taint_of(rows, reads).select("fn", F.array_join("p", ".").alias("asked"), "sanitized")
+    return heap.taint_of(_line_heap(spark, sf_dir)).select("fn", F.array_join("p", ".").alias("asked"), "sanitized")

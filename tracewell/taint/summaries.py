@@ -73,6 +73,10 @@ class Catalogue:
             out = F.when((use == name) | use.startswith(name + "."), kind).otherwise(out)
         return out
 
+    def source_of(self, use: str) -> str | None:
+        """source_kind() of one name."""
+        return next((kind for name, kind in self.sources if use == name or use.startswith(name + ".")), None)
+
     def sink_kind(self, callee: Column) -> Column:
         out = F.lit(None).cast("string")
         for kind, names in reversed(self.sinks):
