@@ -135,3 +135,47 @@ def test_entropy_agrees_with_definition(spark):
     text = "hello world"
     want = -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
     assert abs(spark.range(1).select(scalars.entropy(F.lit(text))).first()[0] - want) < 1e-12
+
+
+def test_a_closure_of_bits_is_that_of_rounds(spark):
+    """Gaps, negative ids, nulls, cycles, nodes outside the graph, starts at several nodes; more starts than a word has bits."""
+    import random
+
+    from tracewell.operators import graphs
+
+    r = random.Random(4)
+    ids = [r.randrange(-1000, 1000) for _ in range(150)]
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(170)] + [(None, 1), (2, None)]
+    starts = [(k, r.choice(ids)) for k in range(200) for _ in range(1 + k % 2)] + [(7, None), (500, None), (501, 10**12), (None, ids[0])]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    start = spark.createDataFrame(starts, "start int, node long")
+    after = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            after.setdefault(a, set()).add(b)
+    want = set()
+    for k, node in starts:
+        seen, todo = {node}, [node]
+        while todo:
+            for to in after.get(todo.pop(), ()):
+                if to not in seen:
+                    seen.add(to)
+                    todo.append(to)
+        want |= {(k, x) for x in seen}
+    got = [tuple(x) for x in graphs.reachable(edges, start, "a", "b").collect()]
+    assert set(got) == want and len(got) == len(want)
+    counted = {x["start"]: (x["reached"], x["least"], x["greatest"]) for x in graphs.reached(edges, start, "a", "b").collect()}
+    of = lambda k: [x for s, x in want if s == k]
+    some = lambda k: [x for x in of(k) if x is not None]
+    assert counted == {k: (len(of(k)), min(some(k), default=None), max(some(k), default=None)) for k, _ in want}
+    named = lambda df: df.selectExpr(*[f"cast({c} AS string) AS {c}" if c != "start" else c for c in df.columns])
+    assert {tuple(x) for x in graphs.reachable(named(edges), named(start).filter("start < 100 AND node IS NOT NULL"), "a", "b").collect()} == {(k, str(x)) for k, x in want if k is not None and k < 100 and x is not None}
+
+
+def test_a_closure_sends_starts_alone(spark):
+    """The pairs of a closure are not shuffled: only the starts are dealt out."""
+    from tracewell.plans import catalog
+
+    for name in ("q41_reverse_closure", "q61_reverse_closure_all"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1, plan
