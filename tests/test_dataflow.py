@@ -224,3 +224,51 @@ def test_reading_a_large_file_is_linear():
         began = time.perf_counter()
         assert read() > 16000
         assert time.perf_counter() - began < 8
+
+
+def test_one_pass_over_functions(spark):
+    """Dominators, loops, definitions and taint: no rounds over tables of all functions, and lines are sent once."""
+    from tracewell.plans import catalog
+
+    for name, most in (("q68_cfg_dominators", 1), ("q69_cfg_back_edges", 1), ("q71_taint_in_functions", 2)):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") <= most and "Scan ExistingRDD" not in plan, plan  # the second deals out the files
+
+
+def test_loops_and_lines_in_one_pass(spark):
+    r = random.Random(8)
+    pairs = sorted({(f, k, r.randrange(9)) for f in "abcdefgh" for k in range(9) for _ in range(2)})
+    steps = spark.createDataFrame([("p", *x) for x in pairs], "path string, fn string, block int, to int")
+    first = spark.createDataFrame([("p", f, 0) for f in "abcdefgh"], "path string, fn string, block int")
+    blocks = dataflow.structure(steps, first).cache()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(dataflow.dominated(steps, first)) == rows(dataflow.dominators(blocks))
+    back = rows(dataflow.back_edges(steps, blocks).select("path", "fn", "block", "to"))
+    assert rows(dataflow.loops(steps, first)) == back and back
+    chain = spark.range(700).selectExpr("'p' AS path", "'f' AS fn", "id AS block", "id + 1 AS to")
+    assert dataflow.dominated(chain, first.limit(1).selectExpr("'p' AS path", "'f' AS fn", "block")).count() == 701 * 702 // 2
+
+
+def test_definitions_of_a_large_function_are_shared_out(spark):
+    """More definitions than one share has: as a walk finds them, with edges that settle a variable."""
+    r = random.Random(2)
+    n = 700
+    pairs = sorted({(k, r.randrange(n), r.choice(["true", "false"])) for k in range(n) for _ in range(2)})
+    made = {(r.randrange(n), v): d for d, v in enumerate("xy" * 600)}
+    no = {(k, r.choice(["true", "false"]), "x") for k in range(0, n, 5)}
+    steps = spark.createDataFrame([("p", "f", *x) for x in pairs], "path string, fn string, block int, to int, label string")
+    defs = spark.createDataFrame([("p", "f", b, d, v) for (b, v), d in made.items()], "path string, fn string, block int, def int, var string")
+    refined = spark.createDataFrame([("p", "f", *x) for x in no], "path string, fn string, block int, label string, var string")
+    want = set()
+    for (block, v), d in made.items():
+        todo, seen = [block], set()
+        while todo:
+            at = todo.pop()
+            for a, b, label in pairs:
+                if a == at and (a, label, v) not in no and b not in seen:
+                    seen.add(b)
+                    if (b, v) not in made:
+                        todo.append(b)
+        want |= {(b, v, d) for b in seen}
+    got = [(x["block"], x["var"], x["def"]) for x in dataflow.reaching(defs, steps, refined).collect()]
+    assert set(got) == want and len(got) == len(want) and len(made) > 512

@@ -27,7 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_SLICE = 256
+_SLICE, _ROWS = 256, 1 << 15
 
 
 def each_group(rows: DataFrame, keys: tuple[str, ...], work: Callable[[tuple, list[tuple]], Iterable[tuple | pa.RecordBatch]], schema: str) -> DataFrame:
@@ -41,10 +41,9 @@ def each_group(rows: DataFrame, keys: tuple[str, ...], work: Callable[[tuple, li
     names = StructType.fromDDL(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = to_arrow_schema(names)
-        for batch in batches:
-            for first in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(first, _SLICE)
+        for many in batches:
+            for first in range(0, many.num_rows, _SLICE):
+                part = many.slice(first, _SLICE)
                 lists = part.column(len(keys))
                 flat = list(zip(*[c.to_pylist() for c in lists.flatten().flatten()], strict=True))
                 at, out = 0, []
@@ -52,15 +51,24 @@ def each_group(rows: DataFrame, keys: tuple[str, ...], work: Callable[[tuple, li
                     for found in work(key, flat[at : at + n]):
                         if isinstance(found, pa.RecordBatch):
                             yield found
-                        else:
-                            out.append(found)
+                            continue
+                        out.append(found)
+                        if len(out) >= _ROWS:  # a group can give many times its own rows
+                            yield batch(names, list(zip(*out, strict=True)))
+                            out = []
                     at += n
-                columns = list(zip(*out, strict=True)) or [()] * len(kind)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+                if out:
+                    yield batch(names, list(zip(*out, strict=True)))
 
     return packed.mapInArrow(run, schema)
 
 
+def batch(names: StructType, columns: list) -> pa.RecordBatch:
+    """Columns, as Arrow arrays or as values, in the types of a schema."""
+    kind = to_arrow_schema(names)
+    return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+
+
 def closure(start: DataFrame, step, rounds: int | None = None) -> DataFrame:
     """The rows of start and all that step(rows) leads to: semi-naive, each round works on the new rows alone.
 

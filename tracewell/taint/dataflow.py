@@ -1,19 +1,25 @@
 """Data flow inside functions, over the rows of extract.cfg: reachability, dominators, reaching definitions and taint.
 
-Dominators, order and frontiers come from one pass over each function's graph; the rest are closures over tables of all
-functions at once, keyed by path and function; a fixpoint ends when a round finds nothing new. Facts only grow, so no bound on passes and no widening is needed.
+Functions are grouped, and each is worked on in one pass by one task; reaching definitions alone share a large function out, by its
+definitions. A fixpoint ends when a round finds nothing new. Facts only grow, so no bound on passes and no widening is needed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracewell.operators import graphs
 from tracewell.taint.summaries import Catalogue, root
 
 FN = ("path", "fn")
+_SHARE = 512
 
 
 def edges(cfg: DataFrame) -> DataFrame:
@@ -72,13 +78,17 @@ def _tree(ranked: list[int], after: dict[int, list[int]]) -> tuple[list[int], li
     return idom, before, frontier
 
 
-def _function(table: pa.Table) -> pa.Table:
-    block, to = table.column("block").to_pylist(), table.column("to").to_pylist()
+def _graph(told: list[tuple]) -> tuple[list[int], dict[int, list[int]]]:
+    """Blocks that the entry leads to, in reverse postorder, and where each leads; an entry's row has no block."""
     after: dict[int, list[int]] = {}
-    for x, y in sorted({(x, y) for x, y in zip(block, to, strict=True) if x is not None and y is not None}):
+    for x, y in sorted({(x, y) for x, y in told if x is not None and y is not None}):
         after.setdefault(x, []).append(y)
-    entries = [y for x, y in zip(block, to, strict=True) if x is None]
-    ranked = _numbered(min(entries), after) if entries else []
+    entries = [y for x, y in told if x is None]
+    return (_numbered(min(entries), after) if entries else []), after
+
+
+def _blocks(key: tuple, told: list[tuple]) -> list[tuple]:
+    ranked, after = _graph(told)
     idom, _, frontier = _tree(ranked, after) if ranked else ([], [], [])
     under: list[list[int]] = [[] for _ in ranked]
     depth, enter, leave = [0] * len(ranked), [0] * len(ranked), [0] * len(ranked)
@@ -94,40 +104,59 @@ def _function(table: pa.Table) -> pa.Table:
         enter[k], clock = clock, clock + 1
         work.append((k, True))
         work += [(u, False) for u in reversed(under[k])]
-    n = len(ranked)
-    return pa.table({
-        "path": pa.array([table.column("path")[0].as_py()] * n, pa.string()), "fn": pa.array([table.column("fn")[0].as_py()] * n, pa.string()), "block": pa.array(ranked, pa.int64()),
-        "rank": pa.array(range(n), pa.int32()), "idom": pa.array([ranked[i] if k else None for k, i in enumerate(idom)], pa.int64()), "depth": pa.array(depth, pa.int32()),
-        "enter": pa.array(enter, pa.int32()), "leave": pa.array(leave, pa.int32()), "frontier": pa.array([sorted(ranked[x] for x in f) for f in frontier], pa.list_(pa.int64())),
-    })
+    return [(*key, b, k, ranked[idom[k]] if k else None, depth[k], enter[k], leave[k], sorted(ranked[x] for x in frontier[k])) for k, b in enumerate(ranked)]
+
+
+def _together(steps: DataFrame, first: DataFrame | None) -> DataFrame:
+    long = lambda name: F.col(name).cast("long")
+    told = steps.select(*FN, long("block").alias("block"), long("to").alias("to"))
+    return told if first is None else told.unionByName(first.select(*FN, F.lit(None).cast("long").alias("block"), long("block").alias("to")))
 
 
-def structure(steps: DataFrame, first: DataFrame) -> DataFrame:
+def structure(steps: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """A row for each block that its function's entry leads to: rank in reverse postorder, idom (immediate dominator; null for the
     entry), depth in the dominator tree, its interval there [enter, leave), and frontier (the dominance frontier, ascending).
 
-    steps (path, fn, block, to), first (path, fn, block). Functions are grouped, and one function's graph is one task's: it
-    came from one parse of one file. A block dominates another if its interval has the other's in it.
+    steps (path, fn, block, to), first (path, fn, block); without first, steps hold the entries, as rows without a block. Functions
+    are grouped, and one function's graph is one task's: it came from one parse of one file. A block dominates another if its
+    interval has the other's in it.
     """
-    long = lambda name: F.col(name).cast("long")
-    edges_ = steps.select(*FN, long("block").alias("block"), long("to").alias("to"))
-    entry = first.select(*FN, F.lit(None).cast("long").alias("block"), long("block").alias("to"))
-    return edges_.unionByName(entry).groupBy(*FN).applyInArrow(_function, _BLOCKS)
+    return graphs.each_group(_together(steps, first), FN, _blocks, _BLOCKS)
 
 
-def reachable(steps: DataFrame, first: DataFrame) -> DataFrame:
+def reachable(steps: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """(path, fn, block) that first(path, fn, block) leads to."""
-    return structure(steps, first).select(*FN, "block")
+    return graphs.each_group(_together(steps, first), FN, lambda key, told: [(*key, b) for b in _graph(told)[0]], "path string, fn string, block long")
+
+
+_PAIRS = "path string, fn string, block long, dominator long"
+
+
+def _lines(key: tuple, idom: dict[int, int | None]) -> Iterator[tuple]:
+    for block in idom:
+        at: int | None = block
+        while at is not None:
+            yield (*key, block, at)
+            at = idom[at]
 
 
 def dominators(blocks: DataFrame) -> DataFrame:
     """(path, fn, block, dominator): every way from the entry to a block goes through its dominators, itself included.
 
-    blocks: what structure() gives. Each round goes up one step of every block's line, so there are as many rounds as the
-    deepest tree has levels, and as many rows as all lines have.
+    blocks: what structure() gives. As many rows as all lines of the dominator tree have, made function by function.
     """
-    up = graphs.cut(blocks.select(*FN, F.col("block").alias("dominator"), F.col("idom").alias("next")))
-    return graphs.closure(blocks.select(*FN, "block", F.col("block").alias("dominator")), lambda new: new.join(up, [*FN, "dominator"]).filter("next IS NOT NULL").select(*FN, "block", F.col("next").alias("dominator")))
+    return graphs.each_group(blocks.select(*FN, "block", "idom"), FN, lambda key, told: _lines(key, dict(told)), _PAIRS)
+
+
+def dominated(steps: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """dominators(structure(steps, first)) in one pass: edges are sent once, and nothing else."""
+
+    def work(key: tuple, told: list[tuple]) -> Iterator[tuple]:
+        ranked, after = _graph(told)
+        idom = _tree(ranked, after)[0] if ranked else []
+        return _lines(key, {b: ranked[idom[k]] if k else None for k, b in enumerate(ranked)})
+
+    return graphs.each_group(_together(steps, first), FN, work, _PAIRS)
 
 
 def back_edges(steps: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -138,6 +167,23 @@ def back_edges(steps: DataFrame, blocks: DataFrame) -> DataFrame:
     return met.select(*steps.columns)
 
 
+def loops(steps: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """(path, fn, block, to) of back_edges(), in one pass: edges are sent once, and nothing else."""
+
+    def work(key: tuple, told: list[tuple]) -> Iterator[tuple]:
+        ranked, after = _graph(told)
+        idom, before, _ = _tree(ranked, after) if ranked else ([], [], [])
+        for k, sources in enumerate(before):
+            for p in sources:
+                at = p
+                while at > k:  # a dominator has the smaller rank
+                    at = idom[at]
+                if at == k:
+                    yield (*key, ranked[p], ranked[k])
+
+    return graphs.each_group(_together(steps, first), FN, work, "path string, fn string, block long, to long")
+
+
 # conditions
 
 
@@ -159,18 +205,57 @@ def reaching(defs: DataFrame, steps: DataFrame, refined: DataFrame | None = None
 
     refined: edges (path, fn, block, label, var) that a variable's definitions do not pass.
     """
-    own = defs.select(*FN, "block", "var", "def").distinct()
-    last = graphs.cut(own.groupBy(*FN, "block", "var").agg(F.max("def").alias("def")))
-    kills = last.select(*FN, "block", "var")
-    hop = graphs.cut(steps.select(*FN, "block", "to", "label").distinct())
-
-    def along(rows: DataFrame) -> DataFrame:
-        moved = rows.join(hop, [*FN, "block"])
-        if refined is not None:
-            moved = moved.join(refined.select(*FN, "block", "label", "var"), [*FN, "block", "label", "var"], "left_anti")
-        return moved.select(*FN, F.col("to").alias("block"), "var", "def")
-
-    return graphs.closure(along(last), lambda new: along(new.join(kills, [*FN, "block", "var"], "left_anti")))
+    last = defs.groupBy(*FN, "block", "var").agg(F.max("def").alias("def"))
+    last = graphs.cut(last.filter("path IS NOT NULL AND fn IS NOT NULL AND block IS NOT NULL AND var IS NOT NULL AND def IS NOT NULL"))
+    kind = {c: last.schema[c].dataType.simpleString() for c in ("var", "def")} | {"to": steps.schema["to"].dataType.simpleString()}
+    schema = f"path string, fn string, block {kind['to']}, var {kind['var']}, def {kind['def']}"
+    none = lambda t: F.lit(None).cast(t)
+    block, to = F.col("block").cast("long").alias("block"), F.col("to").cast("long").alias("to")
+    told = steps.select(*FN, block, to, "label", none(kind["var"]).alias("var"), none(kind["def"]).alias("def")).filter("block IS NOT NULL AND to IS NOT NULL").distinct()
+    told = told.unionByName(last.select(*FN, block, none("long").alias("to"), none("string").alias("label"), "var", "def"))
+    if refined is not None:
+        told = told.unionByName(refined.select(*FN, block, none("long").alias("to"), "label", "var", none(kind["def"]).alias("def")))
+    # a function of many definitions is shared out by them: each share gets the whole graph
+    shares = last.groupBy(*FN).agg(F.ceil(F.count("*") / _SHARE).cast("int").alias("__n"))
+    told = told.join(shares, list(FN)).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+
+    def work(key: tuple, told: list[tuple]) -> Iterator[pa.RecordBatch]:
+        path, fn, n, k = key
+        all_edges, begun, settled = [], {}, {}
+        for block, to, label, var, number in told:
+            if to is not None:
+                all_edges.append((block, to, label))
+            elif number is not None:
+                begun.setdefault(var, []).append((block, number))
+            else:
+                settled.setdefault(var, set()).add((block, label))
+        shares, whole = {}, None
+        for place, (var, one) in enumerate(sorted((v, o) for v, ones in begun.items() for o in ones)):
+            if place % n == k:
+                shares.setdefault(var, []).append(one)
+        for var, mine in shares.items():
+            not_passed = settled.get(var, set())
+            kept = [e for e in all_edges if (e[0], e[2]) not in not_passed] if not_passed else all_edges
+            if whole is None or not_passed:
+                graph = graphs.Packed(np.array([b for ones in begun.values() for b, _ in ones], np.int64), np.array([e[0] for e in kept], np.int64), np.array([e[1] for e in kept], np.int64))
+                whole = None if not_passed else graph
+            else:
+                graph = whole
+            stops = np.zeros(len(graph.ids), bool)
+            stops[np.searchsorted(graph.ids, [b for b, _ in begun[var]])] = True
+            for first in range(0, len(mine), graph.most):
+                part = mine[first : first + graph.most]
+                held = graph.carried(np.searchsorted(graph.ids, [b for b, _ in part]), np.arange(len(part)), stops)
+                numbers = pa.array([d for _, d in part])
+                for word in range(held.shape[1]):
+                    bit, node = np.nonzero(graphs.of_word(held, word))
+                    for at in range(0, len(bit), 1 << 18):
+                        b = slice(at, at + (1 << 18))
+                        rows = len(bit[b])
+                        yield graphs.batch(schema_, [pa.array([path] * rows), pa.array([fn] * rows), pa.array(graph.ids[node[b]]), pa.array([var] * rows), numbers.take(pa.array(64 * word + bit[b]))])
+
+    schema_ = StructType.fromDDL(schema)
+    return graphs.each_group(told.select(*FN, "__n", "__k", "block", "to", "label", "var", "def"), (*FN, "__n", "__k"), work, schema)
 
 
 def chains(uses: DataFrame, defs: DataFrame, reach: DataFrame) -> DataFrame:
@@ -189,27 +274,116 @@ def tainted(cfg: DataFrame, names: Catalogue | None = None, parameters: bool = F
     """(path, fn, line, sink_kind, sink_callee, arg, origin, sanitized, sanitizations): what reaches a sink inside its function,
     along definitions and their uses. With parameters, every parameter counts as an origin ("param:name")."""
     names = names or Catalogue()
-    cfg = graphs.cut(cfg)
-    steps, defs = edges(cfg), graphs.cut(definitions(cfg))
-    reach = graphs.cut(reaching(defs, steps, refinements(cfg)))
-    empty = F.array().cast("array<string>")
-    into = defs.select(*FN, "block", F.col("def").alias("at"), F.explode("uses").alias("use"), "callee", F.col("var").alias("made"))
-    links = graphs.cut(chains(into, defs, reach).select(*FN, F.col("def").alias("from_def"), F.col("at").alias("def"), "callee").distinct())
-    kind = names.sanitizer_kind(F.col("callee"))
-    marked = F.when(kind.isNotNull(), F.array(kind)).otherwise(empty)
-    source = names.source_kind(F.col("use"))
-    begun = into.withColumn("origin", source).filter("origin IS NOT NULL").select(*FN, F.col("at").alias("def"), "origin", marked.alias("kinds"))
-    if parameters:
-        begun = begun.unionByName(defs.filter("param").select(*FN, "def", F.concat(F.lit("param:"), "var").alias("origin"), empty.alias("kinds")))
-    hop = links.select(*FN, F.col("from_def").alias("def"), F.col("def").alias("next"), marked.alias("more"))
-    state = graphs.closure(begun, lambda new: new.join(hop, [*FN, "def"]).select(*FN, F.col("next").alias("def"), "origin", F.array_sort(F.array_union("kinds", "more")).alias("kinds")))
-
-    args = cfg.filter("kind = 'arg' AND to >= 0").withColumn("sink_kind", names.sink_kind(F.col("var"))).filter(F.col("sink_kind").isNotNull() & names.takes(F.col("var"), F.col("to")))
-    shown = args.select(*FN, "block", F.col("ix").alias("at"), F.explode("uses").alias("use"), "line", "sink_kind", F.col("var").alias("sink_callee"), F.col("to").alias("arg"))
-    through = chains(shown, defs, reach).join(state, [*FN, "def"])
-    direct = shown.withColumn("origin", names.source_kind(F.col("use"))).filter("origin IS NOT NULL").withColumn("kinds", empty)
-    columns = [*FN, "line", "sink_kind", "sink_callee", "arg", "origin", "kinds"]
-    return through.select(*columns).unionByName(direct.select(*columns)).distinct().select(*FN, "line", "sink_kind", "sink_callee", "arg", "origin", (F.size("kinds") > 0).alias("sanitized"), F.col("kinds").alias("sanitizations"))
+    kind, var = F.col("kind"), F.col("var")
+    known = kind.isin("edge", "settled", "def") | ((kind == "arg") & (F.col("to") >= 0) & names.sink_kind(var).isNotNull() & names.takes(var, F.col("to")))
+    mark = F.when((kind == "def") & (F.col("label") != "param"), names.sanitizer_kind(F.col("label")))
+    told = cfg.filter(known).select(*FN, "kind", "block", "to", "label", "ix", F.when(kind.isin("def", "settled"), root(var)).otherwise(var).alias("var"), "uses", "line", mark.alias("mark"), F.when(kind == "arg", names.sink_kind(var)).alias("sink"))
+    source_of = names.source_of
+
+    def work(key: tuple, told: list[tuple]) -> list[tuple]:
+        return [(*key, *found) for found in _Function(told, source_of).taint(parameters)] if any(t[0] == "arg" for t in told) else []
+
+    return graphs.each_group(told, FN, work, _TAINTED)
+
+
+_TAINTED = "path string, fn string, line int, sink_kind string, sink_callee string, arg int, origin string, sanitized boolean, sanitizations array<string>"
+
+
+def _root(use: str) -> str:
+    """root() of one name."""
+    parts = use.split(".", 2)
+    return ".".join(parts[:2]) if use.startswith("this.") else parts[0]
+
+
+class _Function:
+    """Definitions of one function, where they hold and what they are made of."""
+
+    def __init__(self, told: list[tuple], source_of):
+        self.source_of, self.defs, self.args = source_of, [], []
+        self.after: dict[int, set[tuple[int, str]]] = {}
+        self.settled: dict[str, set[tuple[int, str]]] = {}
+        self.of: dict[str, list[tuple[int, int]]] = {}  # by variable: block and number of its definitions
+        for kind, block, to, label, ix, var, uses, line, mark, sink in told:
+            if kind == "edge":
+                self.after.setdefault(block, set()).add((to, label))
+            elif kind == "settled":
+                self.settled.setdefault(var, set()).add((block, label))
+            elif kind == "def":
+                self.defs.append((block, ix, var, uses or (), mark, label == "param"))
+                if var is not None:
+                    self.of.setdefault(var, []).append((ix, block))
+            else:
+                self.args.append((block, ix, uses or (), (line, sink, var, to)))
+        self.blocks = sorted(self.after)
+        self.reach: dict[str, tuple[dict[int, int], list[int]]] = {}
+        self.inside: dict[str, dict[int, list[int]]] = {}
+        for var, ones in self.of.items():
+            own = self.inside[var] = {}
+            for ix, block in sorted(ones):
+                own.setdefault(block, []).append(ix)
+
+    def reaching(self, var: str) -> tuple[dict[int, int], list[int]]:
+        """By block, bits of the definitions that may hold where it begins, and the definitions."""
+        if var not in self.reach:
+            last = {block: ixs[-1] for block, ixs in self.inside.get(var, {}).items()}
+            numbers, settled, into = list(last.values()), self.settled.get(var, ()), {}
+            begun, again = {block: 1 << k for k, block in enumerate(last)}, True
+            while again:  # once more for each edge back on a way
+                again = False
+                for block in self.blocks:
+                    bits = begun[block] if block in begun else into.get(block, 0)
+                    for to, label in self.after[block] if bits else ():
+                        if bits & ~into.get(to, 0) and (block, label) not in settled:
+                            into[to] = into.get(to, 0) | bits
+                            again |= to <= block
+            self.reach[var] = into, numbers
+        return self.reach[var]
+
+    def seen(self, block: int, at: int, use: str) -> set[int]:
+        """chains() of one use."""
+        var = _root(use)
+        if var.startswith("@"):
+            return {ix for ix, _ in self.of.get(var, ())}
+        near = self.inside.get(var, {}).get(block, ())
+        if place := bisect_left(near, at):
+            return {near[place - 1]}
+        into, numbers = self.reaching(var)
+        bits, found = into.get(block, 0), set()
+        while bits:
+            low = bits & -bits
+            found.add(numbers[low.bit_length() - 1])
+            bits ^= low
+        return found
+
+    def taint(self, parameters: bool) -> set[tuple]:
+        """(line, sink_kind, sink_callee, arg, origin, sanitized, sanitizations)."""
+        state: dict[int, set[tuple[str, tuple]]] = {}
+        hop: dict[int, set[tuple[int, str | None]]] = {}
+        for block, ix, var, uses, mark, param in self.defs:
+            if param and parameters:
+                state.setdefault(ix, set()).add((f"param:{var}", ()))
+            for use in uses:
+                if origin := self.source_of(use):
+                    state.setdefault(ix, set()).add((origin, () if mark is None else (mark,)))
+                for was in self.seen(block, ix, use):
+                    hop.setdefault(was, set()).add((ix, mark))
+        work = {at: set(held) for at, held in state.items()}
+        while work:
+            at, fresh = work.popitem()
+            for to, mark in hop.get(at, ()):
+                known = state.setdefault(to, set())
+                new = {(o, k if mark is None or mark in k else tuple(sorted((*k, mark)))) for o, k in fresh} - known
+                if new:
+                    known |= new
+                    work.setdefault(to, set()).update(new)
+        found = set()
+        for block, at, uses, place in self.args:
+            for use in uses:
+                held = {h for was in self.seen(block, at, use) for h in state.get(was, ())}
+                if origin := self.source_of(use):
+                    held.add((origin, ()))
+                found |= {(*place, o, bool(k), k) for o, k in held}
+        return found
 
 
 def confidence(steps: Column) -> Column:
