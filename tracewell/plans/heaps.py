@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.extract import heap as read
 from tracewell.plans.catalog import register
-from tracewell.plans.corpus import values
+from tracewell.plans.corpus import customers, values
 from tracewell.session import share_code
 from tracewell.sources.issues import table
 from tracewell.taint import heap
@@ -44,7 +44,7 @@ BODIES = (
 def files(spark, sf_dir: str) -> DataFrame:
     n = F.col("c_custkey")
     body = F.element_at(F.array(*[F.lit(b) for b, *_ in BODIES]), (n % len(BODIES) + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("src/heap/h"), n.cast("string"), F.lit(".ts")).alias("path"), F.concat(F.lit("export function f"), n.cast("string"), F.lit("(req, res) {\n  "), body, F.lit("\n}\n")).alias("content"))
+    return customers(spark, sf_dir).select(F.concat(F.lit("src/heap/h"), n.cast("string"), F.lit(".ts")).alias("path"), F.concat(F.lit("export function f"), n.cast("string"), F.lit("(req, res) {\n  "), body, F.lit("\n}\n")).alias("content"))
 
 
 @register("q87_heap_flows", f"""SELECT 'src/heap/h' || c_custkey || '.ts' AS path, origin, sanitized = 1 AS sanitized, kinds, arg
