@@ -200,3 +200,11 @@ def test_async_functions_of_other_files(spark):
     every = engines.detect(read, known, files=files).filter("engine = 'missing-await'")
     assert {(r["path"], r["line"]) for r in every.collect()} == {f[:2] for f in found}
     assert {r["path"] for r in engines.missing_await(read).collect()} == {"src/a.ts", "src/c.ts"}  # without the other files: awaited elsewhere alone
+
+
+def test_parsed_rows_are_not_sent_whole(spark):
+    """The planner takes what is parsed from a table of keys for small at any size; q90's joins must not bring it to the driver."""
+    from tracewell.plans import catalog
+
+    plan = catalog.queries()["q90_calls_without_await"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan

@@ -105,10 +105,10 @@ def missing_await(facts: DataFrame, files: DataFrame | None = None) -> DataFrame
     waited = of_kind(facts, "call").filter(F.col("name").rlike(r"^\w+$") & (is_told("awaited") | told("chained").isin("then", "catch"))).select("path", F.col("name").alias("short"), F.lit(True).alias("waited")).distinct()
     if files is not None:
         away = resolve.async_names(facts, files).select("path", F.col("callee").alias("name"), F.lit(True).alias("away"))
-        calls = calls.join(away, ["path", "name"], "left")
+        calls = calls.join(graphs.sent(away), ["path", "name"], "left")
     else:
         calls = calls.withColumn("away", F.lit(None).cast("boolean"))
-    named = calls.withColumn("short", plain).join(declared, ["path", "short"], "left").join(waited, ["path", "short"], "left")
+    named = calls.withColumn("short", plain).join(graphs.sent(declared), ["path", "short"], "left").join(graphs.sent(waited), ["path", "short"], "left")
     named = named.withColumn("declared", F.coalesce("declared", "away"))
     api = F.col("name").isin(*[a for a, _ in ASYNC_APIS])
     write = F.col("name").rlike(WRITES) & F.col("name").rlike(DATABASE)

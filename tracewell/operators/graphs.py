@@ -27,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """rows as a side of a join to which both sides are sent by key. What is parsed from a small table, or follows from that, is held
+    small by the planner, which then would send it whole to the driver and to every task, however large it is."""
+    return rows.hint("merge")
+
+
 _SLICE, _ROWS = 256, 1 << 15
 
 
@@ -100,7 +106,7 @@ def cheapest(start: DataFrame, keys: list[str], cost: str, step) -> DataFrame:
     while True:
         was = known.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(cost).alias("__was"))
         equal = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys])
-        met = best(step(fresh).select(*keys, cost)).join(was, equal, "left").filter(F.col("__was").isNull() | (F.col(cost) < F.col("__was")))
+        met = best(step(fresh).select(*keys, cost)).join(sent(was), equal, "left").filter(F.col("__was").isNull() | (F.col(cost) < F.col("__was")))
         fresh = cut(met.select(*keys, cost))
         if not fresh.limit(1).count():
             return known

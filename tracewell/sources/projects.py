@@ -212,8 +212,8 @@ def resolved(imports: DataFrame, files: DataFrame, prefixes: dict[str, str] | No
     options = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(t).alias("tail")) for o, t in enumerate(tries)])
     keyed = imports.select("path", "name", plain_path(base).alias("base")).filter("base IS NOT NULL").distinct()
     probes = keyed.select("path", "name", F.explode(options).alias("t"), "base").select("path", "name", "t.o", F.concat("base", "t.tail").alias("target"))
-    hits = probes.join(files.select(F.col("path").alias("target")).distinct(), "target", "left_semi").groupBy("path", "name").agg(F.min_by("target", "o").alias("target"))
-    return imports.join(hits, ["path", "name"], "left")
+    hits = probes.join(files.select(F.col("path").alias("target")).distinct().hint("merge"), "target", "left_semi").groupBy("path", "name").agg(F.min_by("target", "o").alias("target"))
+    return imports.join(hits.hint("merge"), ["path", "name"], "left")
 
 
 def plain_path(path: Column) -> Column:

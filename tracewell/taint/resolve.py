@@ -41,8 +41,8 @@ def exported_names(facts: DataFrame, files: DataFrame, prefixes: dict[str, str]
     named, star = graphs.cut(named.distinct()), graphs.cut(star.distinct())
 
     def step(new: DataFrame) -> DataFrame:
-        by_name = new.join(named, ["path", "shown"]).select(F.col("from_path").alias("path"), F.col("as_name").alias("shown"), "origin_path", "origin", (F.col("rank") + 1).alias("rank"))
-        by_star = new.filter("shown <> 'default'").join(star, "path").select(F.col("from_path").alias("path"), "shown", "origin_path", "origin", (F.col("rank") + 100).alias("rank"))
+        by_name = new.join(graphs.sent(named), ["path", "shown"]).select(F.col("from_path").alias("path"), F.col("as_name").alias("shown"), "origin_path", "origin", (F.col("rank") + 1).alias("rank"))
+        by_star = new.filter("shown <> 'default'").join(graphs.sent(star), "path").select(F.col("from_path").alias("path"), "shown", "origin_path", "origin", (F.col("rank") + 100).alias("rank"))
         return by_name.unionByName(by_star)
 
     every = graphs.cheapest(own, ["path", "shown", "origin_path", "origin"], "rank", step)
@@ -62,7 +62,7 @@ def symbols(facts: DataFrame, files: DataFrame, prefixes: dict[str, str] | None
     names = projects.resolved(imported_names(facts).distinct(), files, prefixes)
     exports = exported_names(facts, files, prefixes) if exports is None else exports
     exports = exports.select(F.col("path").alias("target"), F.col("shown").alias("imported"), "origin_path", "origin")
-    return names.join(exports, ["target", "imported"], "left").select("path", "local", "imported", "name", "target", "origin_path", "origin")
+    return names.join(graphs.sent(exports), ["target", "imported"], "left").select("path", "local", "imported", "name", "target", "origin_path", "origin")
 
 
 def links(bindings: DataFrame, facts: DataFrame, files: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
@@ -118,9 +118,9 @@ def async_names(facts: DataFrame, files: DataFrame, prefixes: dict[str, str] | N
     known = symbols(facts, files, prefixes, shown)
     direct = known.filter("origin IS NOT NULL").select("path", F.col("local").alias("callee"), "origin_path", "origin")
     whole = known.filter("imported = '*' AND target IS NOT NULL").select(F.col("path").alias("from_path"), "local", F.col("target").alias("path"))
-    member = whole.join(shown, "path").select(F.col("from_path").alias("path"), F.concat("local", F.lit("."), "shown").alias("callee"), "origin_path", "origin")
+    member = whole.join(graphs.sent(shown), "path").select(F.col("from_path").alias("path"), F.concat("local", F.lit("."), "shown").alias("callee"), "origin_path", "origin")
     declared = of_kind(facts, "function").filter(told("async") == "true").select(F.col("path").alias("origin_path"), F.col("name").alias("origin")).distinct()
-    return direct.unionByName(member).join(declared, ["origin_path", "origin"], "left_semi").select("path", "callee").distinct()
+    return direct.unionByName(member).join(graphs.sent(declared), ["origin_path", "origin"], "left_semi").select("path", "callee").distinct()
 
 
 def callers(found: DataFrame, callee_fn: str) -> DataFrame:
